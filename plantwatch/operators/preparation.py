@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from plantwatch.functions.expressions import nan_to_null
-from plantwatch.operators.quantiles import exact_percentiles
+from plantwatch.operators.quantiles import exact_percentiles, melt
 from plantwatch.session import SMALL_TABLE_ROWS, pin_small
 
 
@@ -32,9 +32,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
 def scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column."""
-    row = df.agg(*[F.struct(F.avg(nan_to_null(F.col(f"`{c}`").cast("double"))),
-                            F.stddev_pop(nan_to_null(F.col(f"`{c}`").cast("double")))).alias(c) for c in columns]).first()
-    return {c: (row[c][0], row[c][1]) for c in columns}
+    rows = melt(df, columns).groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+    return {r["feature"]: (r["m"], r["s"]) for r in rows}
 
 
 def categories(df: DataFrame, column: str, most: int = SMALL_TABLE_ROWS) -> list[str]:

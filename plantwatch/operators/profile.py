@@ -7,7 +7,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from plantwatch import constants as K
 from plantwatch.functions.expressions import nan_to_null, ratio
-from plantwatch.operators.quantiles import exact_percentiles
+from plantwatch.operators.quantiles import exact_percentiles, melt
 from plantwatch.session import pin_small
 
 
@@ -45,11 +45,8 @@ def rate_by_group(df: DataFrame, group: str, target: str) -> DataFrame:
 
 def stats_by_class(df: DataFrame, label: str, columns: list[str], digits: int = 4) -> DataFrame:
     """Mean, median and sample deviation per class and feature."""
-    wide = df.groupBy(label).agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c)
-                                   for c in columns])
-    long = wide.select(label, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std"))
-        for c in columns])))
+    long = melt(df, columns, [label]).groupBy(label, "feature").agg(
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     medians = exact_percentiles(df, columns, [0.5], [label])
     return (long.join(medians, [label, "feature"])
             .select(label, "feature", F.round("mean", digits).alias("mean"),
@@ -76,43 +73,44 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def target_correlations(df: DataFrame, columns: list[str], target: Column | str, k: int | None = None) -> DataFrame:
     """Correlation of each feature with a target, by absolute size; undefined ones dropped."""
     t = F.col(target) if isinstance(target, str) else target
-    clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns],
-                      t.cast("double").alias("_t"))
-    wide = clean.agg(*[safe_corr(F.col(c), F.col("_t")).alias(c) for c in columns])
-    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r"))
-                                          for c in columns])))
+    work = df.select(*[F.col(f"`{c}`") for c in columns], t.cast("double").alias("_t"))
+    long = melt(work, columns, ["_t"]).groupBy("feature").agg(safe_corr(F.col("v"), F.col("_t")).alias("r"))
     out = long.filter(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature")
     return out.limit(k) if k else out
 
 
+def _moments(count: str) -> list[Column]:
+    return [F.count("v").alias(count), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max")]
+
+
 def describe_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per feature, one row per feature."""
-    clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    wide = clean.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                                F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns])
-    long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(c)[s].alias(s) for s in ("count", "mean", "std", "min", "max")])
-        for c in columns])))
-    q = exact_percentiles(clean, columns, [0.25, 0.5, 0.75]).groupBy("feature").pivot(
+    long = melt(df, columns).groupBy("feature").agg(*_moments("count"))
+    q = exact_percentiles(df, columns, [0.25, 0.5, 0.75]).groupBy("feature").pivot(
         "share", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("feature", "p25", "p50", "p75")
     return long.join(q, "feature").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
                                           ).orderBy("feature")
 
 
-def _modes(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Per feature: distinct values (missing counts as one), the most common one and its rows.
+def _modes(long: DataFrame) -> DataFrame:
+    """From (feature, v): distinct values (missing counts as one), the most common and its rows.
 
-    Values are counted per (feature, value) with map-side combining, so a dominant
+    Values are counted per (feature, v) with map-side combining, so a dominant
     value never gathers in one task; ties go to the smaller value, missing last.
     """
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), v.alias("v")) for f, v in values.items()])
-    counts = (df.select(F.explode(cells).alias("x")).groupBy("x.feature", "x.v")
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
     top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").isNull().alias("null"), F.col("v")))
     return counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"), top.alias("t")).select(
         "feature", "n_unique", F.col("t.v").alias("most_common_value"), (-F.col("t.neg")).alias("most_common_count"))
 
 
+def _dtype(df: DataFrame, columns: list[str]) -> Column:
+    """Type name of the column that ``feature`` names."""
+    names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.create_map(*[F.lit(x) for c in columns for x in (c, names[c])])[F.col("feature")]
+
+
 def _flags(df: DataFrame, near: float) -> DataFrame:
     constant = F.col("n_unique") <= 1
     return df.withColumns({"is_constant": constant,
@@ -121,15 +119,9 @@ def _flags(df: DataFrame, near: float) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str], near: float = K.NEAR_CONSTANT_SHARE,
                     id_like: float = K.ID_LIKE_RATIO) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    wide = clean.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                 F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns])
-    long = wide.select("_rows", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(types[c]).alias("dtype"),
-                 *[F.col(c)[s].alias(s) for s in ("n", "mean", "std", "min", "max")]) for c in columns])))
-    out = long.join(_modes(clean, {c: F.col(c) for c in columns}), "feature")
+    long = melt(df, columns)
+    out = (long.groupBy("feature").agg(F.count(F.lit(1)).alias("_rows"), *_moments("n"))
+           .withColumn("dtype", _dtype(df, columns)).join(_modes(long), "feature"))
     out = out.select(
         "feature", "dtype", "n_unique", (F.col("_rows") - F.col("n")).alias("missing_count"),
         (ratio(F.col("_rows") - F.col("n"), F.col("_rows")) * 100).alias("missing_pct"),
@@ -151,12 +143,11 @@ def _text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         if df.schema[c].dataType.typeName() in ("double", "float"):
             col = nan_to_null(col)
         texts[c] = col.cast("string")
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(t).alias(f"_n_{c}") for c, t in texts.items()])
-    long = wide.select("_rows", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(types[c]).alias("dtype"), F.col(f"`_n_{c}`").alias("n"))
-        for c in columns])))
-    return long.join(_modes(df, texts), "feature").select(
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), t.alias("v")) for c, t in texts.items()])
+    values = df.select(F.inline(cells))
+    long = (values.groupBy("feature").agg(F.count(F.lit(1)).alias("_rows"), F.count("v").alias("n"))
+            .withColumn("dtype", _dtype(df, columns)))
+    return long.join(_modes(values), "feature").select(
         "feature", "dtype", "n_unique", ratio(F.col("n_unique"), F.col("_rows")).alias("unique_ratio"),
         (F.col("_rows") - F.col("n")).alias("missing_count"),
         (ratio(F.col("_rows") - F.col("n"), F.col("_rows")) * 100).alias("missing_pct"),

@@ -10,9 +10,15 @@ from plantwatch.session import fits_one_task, pin_small
 ACCURACY = 100_000
 
 
-def _clean(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"_c{i}")
-                              for i, c in enumerate(columns)])
+def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Long form (keep..., feature, v) of numeric columns; NaN becomes NULL.
+
+    The plan has the same size for any number of columns, and every aggregate over
+    it combines per feature before the shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v"))
+                      for c in columns])
+    return df.select(*(keep or []), F.inline(cells)).withColumn("v", nan_to_null("v"))
 
 
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
@@ -25,55 +31,41 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     bracket and to list what lies inside it. The exact rank is picked from that list.
     """
     keys = keys or []
-    work = _clean(df, columns, keys)
-    if fits_one_task(work):
-        wide = work.groupBy(*keys).agg(*[
-            F.percentile(f"_c{i}", F.array(*[F.lit(s) for s in shares])).alias(f"_c{i}")
-            for i in range(len(columns))])
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(s).alias("share"),
-                                   F.col(f"_c{i}")[j].alias("value"))
-                          for i, c in enumerate(columns) for j, s in enumerate(shares)])
-        return wide.select(*keys, F.inline(cells))
-    return _by_bracket(work, columns, shares, keys)
-
+    long = melt(df, columns, keys)
+    ks = [*keys, "feature"]
+    if fits_one_task(df):
+        q = long.groupBy(*ks).agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q"))
+        return q.select(*ks, F.inline(F.array(*[
+            F.struct(F.lit(s).alias("share"), F.col("q")[j].alias("value")) for j, s in enumerate(shares)])))
 
-def _by_bracket(work: DataFrame, columns: list[str], shares: list[float], keys: list[str]) -> DataFrame:
     e = 2.0 / ACCURACY
     marks = [m for s in shares for m in (max(s - e, 0.0), min(s + e, 1.0))]
-    aggs = []
-    for i in range(len(columns)):
-        c = F.col(f"_c{i}")
-        aggs += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"),
-                 F.percentile_approx(c, F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY)).alias(f"_q{i}")]
-    # One constant key keeps the keyless case on the same path; the table has one row then.
-    ks = keys or ["_one"]
-    work = work if keys else work.withColumn("_one", F.lit(1))
-    brackets = pin_small(work.groupBy(*ks).agg(*aggs))
-    rows = work.join(brackets, ks)
-    cells, below = [], []
-    for i, name in enumerate(columns):
-        v = F.col(f"_c{i}")
-        for j, s in enumerate(shares):
-            lo = F.when(F.lit(s - e <= 0), F.col(f"_lo{i}")).otherwise(F.col(f"_q{i}")[2 * j])
-            hi = F.when(F.lit(s + e >= 1), F.col(f"_hi{i}")).otherwise(F.col(f"_q{i}")[2 * j + 1])
-            cells.append(F.when((v >= lo) & (v <= hi), F.struct(
-                F.lit(name).alias("feature"), F.lit(s).alias("share"), v.alias("v"))))
-            below.append(F.sum((v < lo).cast("bigint")).alias(f"_b{i}_{j}"))
-    inside = (rows.select(*ks, F.explode(F.array_compact(F.array(*cells))).alias("x"))
-              .groupBy(*ks, "x.feature", "x.share", "x.v").agg(F.count(F.lit(1)).alias("n")))
-    under = rows.groupBy(*ks).agg(*below, *[F.first(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))])
-    under = pin_small(under.select(*ks, F.inline(F.array(*[
-        F.struct(F.lit(name).alias("feature"), F.lit(s).alias("share"),
-                 F.coalesce(F.col(f"_b{i}_{j}"), F.lit(0)).alias("below"), F.col(f"_n{i}").alias("total"))
-        for i, name in enumerate(columns) for j, s in enumerate(shares)]))))
-    w = W.partitionBy(*ks, "feature", "share").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    brackets = long.groupBy(*ks).agg(
+        F.count("v").alias("total"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
+        F.percentile_approx("v", F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY)).alias("q"))
+    ranges = F.array(*[F.struct(
+        F.lit(s).alias("share"),
+        (F.col("lowest") if s - e <= 0 else F.col("q")[2 * j]).alias("lo"),
+        (F.col("highest") if s + e >= 1 else F.col("q")[2 * j + 1]).alias("hi"))
+        for j, s in enumerate(shares)])
+    brackets = pin_small(brackets.select(*ks, "total", ranges.alias("ranges")))
+    rows = long.join(brackets.select(*ks, "ranges"), ks).filter(F.col("v").isNotNull())
+    inside = (rows.select(*ks, "v", F.explode(F.filter("ranges", lambda r: F.col("v").between(r["lo"], r["hi"])
+                                                       )["share"]).alias("share"))
+              .groupBy(*ks, "share", "v").agg(F.count(F.lit(1)).alias("n")))
+    below = rows.groupBy(*ks).agg(*[F.sum((F.col("v") < F.col("ranges")[j]["lo"]).cast("bigint")).alias(f"b{j}")
+                                    for j in range(len(shares))])
+    below = below.select(*ks, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("share"), F.col(f"b{j}").alias("below")) for j, s in enumerate(shares)])))
+    ranks = pin_small(below.join(brackets.select(*ks, "total"), ks))
+    w = W.partitionBy(*ks, "share").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     place = F.col("share") * (F.col("total") - 1)
-    ranked = (inside.join(under, [*ks, "feature", "share"])
-              .withColumn("cum", F.sum("n").over(w) + F.col("below")))
-    picked = ranked.groupBy(*ks, "feature", "share").agg(
-        F.min(F.when(F.col("cum") > F.floor(place), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") > F.ceil(place), F.col("v"))).alias("b"),
-        F.first(place - F.floor(place)).alias("f"))
+    picked = (inside.join(ranks, [*ks, "share"])
+              .withColumn("cum", F.sum("n").over(w) + F.col("below"))
+              .groupBy(*ks, "share").agg(
+                  F.min(F.when(F.col("cum") > F.floor(place), F.col("v"))).alias("a"),
+                  F.min(F.when(F.col("cum") > F.ceil(place), F.col("v"))).alias("b"),
+                  F.first(place - F.floor(place)).alias("f")))
     value = F.when(F.col("f") == 0, F.col("a")).otherwise(
         F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f"))
-    return picked.select(*keys, "feature", "share", value.alias("value"))
+    return picked.select(*ks, "share", value.alias("value"))
