@@ -21,13 +21,44 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {r["feature"]: r["value"] for r in rows}
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent present value per column, the smallest on ties."""
+def text_values(df: DataFrame, columns: list[str], most: int = SMALL_TABLE_ROWS) -> tuple[dict, dict]:
+    """Most frequent value (the smallest on ties) and sorted value list per column.
+
+    Only the value counts are fetched, and no more than ``most`` of them: a column
+    with more values is not a category.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
-    counts = (df.select(F.explode(cells).alias("x")).filter(F.col("x.v").isNotNull())
-              .groupBy("x.f", "x.v").count())
-    top = counts.groupBy("f").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("t"))
-    return {r["f"]: r["t"]["v"] for r in top.collect()}
+    counts = df.select(F.inline(cells)).filter(F.col("v").isNotNull()).groupBy("f", "v").count()
+    rows = counts.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"columns {columns} have more than {most} categories; do not encode them")
+    values = {c: sorted((r for r in rows if r["f"] == c), key=lambda r: (-r["count"], r["v"])) for c in columns}
+    return ({c: v[0]["v"] for c, v in values.items() if v},
+            {c: sorted(r["v"] for r in v) for c, v in values.items()})
+
+
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    return text_values(df, columns)[0]
+
+
+def categories(df: DataFrame, column: str) -> list[str]:
+    return text_values(df, [column])[1][column]
+
+
+def filled_scales(df: DataFrame, values: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column once missing cells hold the given value.
+
+    Worked out from the moments of the present cells and the number of missing ones.
+    """
+    rows = melt(df, list(values)).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("m"),
+        F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("q")).collect()
+    out = {}
+    for r in rows:
+        share, gap = r["k"] / r["n"], values[r["feature"]] - r["m"]
+        mean = r["m"] + (1 - share) * gap
+        out[r["feature"]] = (mean, (share * r["q"] + share * (1 - share) * gap * gap) ** 0.5)
+    return out
 
 
 def scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -36,14 +67,6 @@ def scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     return {r["feature"]: (r["m"], r["s"]) for r in rows}
 
 
-def categories(df: DataFrame, column: str, most: int = SMALL_TABLE_ROWS) -> list[str]:
-    rows = (df.select(F.col(f"`{column}`").cast("string").alias("v")).filter(F.col("v").isNotNull())
-            .distinct().orderBy("v").limit(most + 1).collect())
-    if len(rows) > most:
-        raise ValueError(f"column {column} has more than {most} categories; do not one-hot encode it")
-    return [r["v"] for r in rows]
-
-
 def fill_medians(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(nan_to_null(F.col(f"`{c}`").cast("double")), F.lit(v))
                            for c, v in values.items()})
@@ -93,10 +116,9 @@ class Preprocessor:
         if self.numeric:
             self.medians = {c: (0.0 if v is None else v) for c, v in medians(df, self.numeric).items()}
             if self.scale:
-                self.scales = scales(fill_medians(df, self.medians), self.numeric)
+                self.scales = filled_scales(df, self.medians)
         if self.categorical:
-            self.modes = modes(df, self.categorical)
-            self.categories = {c: categories(df, c) for c in self.categorical}
+            self.modes, self.categories = text_values(df, self.categorical)
         return self
 
     @property

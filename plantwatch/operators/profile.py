@@ -62,12 +62,13 @@ def safe_corr(a: Column, b: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long matrix (a, b, r); one pass, each pair computed once."""
     clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    wide = clean.agg(*[safe_corr(F.col(columns[i]), F.col(columns[j])).alias(f"_{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"),
-                      F.col(f"_{min(i, j)}_{max(i, j)}").alias("r"))
-             for i in range(len(columns)) for j in range(len(columns))]
-    return wide.select(F.inline(F.array(*cells)))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
+                      for a, b in pairs])
+    upper = clean.select(F.inline(cells)).groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "r"))).otherwise(F.array(
+        F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")))
+    return upper.select(F.inline(both))
 
 
 def target_correlations(df: DataFrame, columns: list[str], target: Column | str, k: int | None = None) -> DataFrame:

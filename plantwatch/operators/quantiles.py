@@ -26,7 +26,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     """Long table: keys, feature, share, value.
 
     ``percentile`` keeps every distinct value of a group in one buffer, so it is used
-    only when the table fits one task. A bigger table is read twice: once for a
+    only when the table fits one task, and on value counts. A bigger table is read twice: once for a
     narrow bracket around each wanted rank, and once to count what lies below the
     bracket and to list what lies inside it. The exact rank is picked from that list.
     """
@@ -34,7 +34,8 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     long = melt(df, columns, keys)
     ks = [*keys, "feature"]
     if fits_one_task(df):
-        q = long.groupBy(*ks).agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q"))
+        counts = long.groupBy(*ks, "v").agg(F.count(F.lit(1)).alias("n"))
+        q = counts.groupBy(*ks).agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("q"))
         return q.select(*ks, F.inline(F.array(*[
             F.struct(F.lit(s).alias("share"), F.col("q")[j].alias("value")) for j, s in enumerate(shares)])))
 

@@ -84,9 +84,22 @@ COLS = {"featuresCol": "_features", "rawPredictionCol": "_raw", "probabilityCol"
         "predictionCol": "_prediction"}
 
 
-def _prepared(df: DataFrame, prep: Preprocessor, label: str, weight: str | None) -> DataFrame:
-    cols = ["_features", label] + ([weight] if weight else [])
-    return prep.transform(df, "_features").select(*cols)
+def _fit(estimator, df: DataFrame, prep: Preprocessor, label: str, weight: str):
+    """Fit on the prepared vectors, which every pass over the data reads again.
+
+    They are written once to the shared folder, so a lost executor re-reads them and
+    nothing upstream runs twice, and kept in memory while the fit lasts.
+    """
+    vectors = prep.transform(df, "_features").select("_features", label, weight)
+    data = materialise(vectors, "training")
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < tasks:
+        data = data.repartition(tasks)
+    data = data.persist()
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
 def fit_dummy(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = ()) -> Detector:
@@ -99,21 +112,19 @@ def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: lis
                  max_iter: int = 2000) -> Detector:
     """Balanced logistic regression; the penalty equals C = 1 on the weighted sum."""
     prep = Preprocessor(list(numeric), list(categorical)).fit(df)
-    data = _prepared(with_class_weight(df, label, "_w"), prep, label, "_w")
     lr = LogisticRegression(labelCol=label, weightCol="_w", maxIter=max_iter, regParam=1.0 / df.count(),
                             elasticNetParam=0.0, standardization=False, **COLS)
-    return Detector("logistic", prep, lr.fit(data))
+    return Detector("logistic", prep, _fit(lr, with_class_weight(df, label, "_w"), prep, label, "_w"))
 
 
 def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), trees: int = 200,
                depth: int = 12, min_leaf: int = 2, seed: int = K.SEED, scale: bool = False) -> Detector:
     """Class-balanced random forest."""
     prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(df)
-    data = _prepared(with_class_weight(df, label, "_w"), prep, label, "_w")
     rf = RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, maxBins=64,
                                 minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
                                 maxMemoryInMB=1024, **COLS)
-    return Detector("forest", prep, rf.fit(data))
+    return Detector("forest", prep, _fit(rf, with_class_weight(df, label, "_w"), prep, label, "_w"))
 
 
 def positive_weight(df: DataFrame, label: str) -> float:
@@ -134,13 +145,13 @@ def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list
     """
     prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(df)
     w = positive_weight(df, label) if pos_weight is None else pos_weight
-    data = _prepared(df.withColumn("_w", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0))), prep, label, "_w")
     gbt = GBTClassifier(labelCol=label, weightCol="_w", maxIter=n_estimators, maxDepth=max_depth,
                         stepSize=learning_rate, minInstancesPerNode=int(min_child_weight), subsamplingRate=subsample,
                         featureSubsetStrategy=str(float(colsample_bytree)) if colsample_bytree < 1 else "all",
                         minInfoGain=gamma / max(df.count(), 1), seed=seed, maxBins=64, maxMemoryInMB=1024,
                         featuresCol=COLS["featuresCol"], predictionCol=COLS["predictionCol"])
-    model = gbt.fit(data)
+    weighted = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
+    model = _fit(gbt, weighted, prep, label, "_w")
     model.setRawPredictionCol(COLS["rawPredictionCol"]).setProbabilityCol(COLS["probabilityCol"])
     return Detector("boosted", prep, model)
 

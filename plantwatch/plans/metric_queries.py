@@ -14,6 +14,7 @@ from plantwatch.plans import views as V
 from plantwatch.plans.audit_queries import SPLIT
 from plantwatch.plans.profile_queries import rounded
 from plantwatch.plans.registry import query
+from plantwatch.session import spread
 
 RATES = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "negative_recall", "predicted_positive_rate"]
 RATES_SQL = """round(cast(tp + tn as double) / (tp + tn + fp + fn), 6) as accuracy,
@@ -158,7 +159,8 @@ HEXW = """case when h < '5e2d58d8' then 0 when h < 'bc5ab1b1' then 1 when h < 'e
   select y, score, r as rep, substr(md5(row_id || ':' || r), 1, 8) as h from scored, range(20) t(r)))""") +
        " union all ".join(boot_sql(m, t) for m, t in MODES.items()))
 def bootstrap_hash(spark, sf):
-    out = B.hash_bootstrap(scored(spark, sf), "row_id", "y", "score", MODES)
+    # Twenty hashes per row: worth sharing out a scan of one split.
+    out = B.hash_bootstrap(spread(scored(spark, sf)), "row_id", "y", "score", MODES)
     return rounded(out, ["point", "ci_low", "ci_high"])
 
 

@@ -11,7 +11,7 @@ from plantwatch.plans.audit_queries import SPLIT
 from plantwatch.plans.metric_queries import RATES, RATES_SQL, counts_sql
 from plantwatch.plans.profile_queries import NUM, rounded
 from plantwatch.plans.registry import query
-from plantwatch.session import materialise
+from plantwatch.session import materialise, spread
 
 CAT = ["l_returnflag"]
 MODES = {"primary": 0.77, "early_warning": 0.07}
@@ -93,15 +93,15 @@ def leave_family_out(spark, sf):
 
 
 WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": 0.00001, "l_discount": -3.0, "l_tax": 1.5}
-LIN = "m as (select " + ", ".join(f"round(avg({c}), 6) as m_{c}" for c in WEIGHTS) + """ from scored),
+LIN = "m as (select " + ", ".join(f"round(avg({c}), 9) as m_{c}" for c in WEIGHTS) + """ from scored),
   lin as (""" + " union all ".join(
       f"select row_id, score, '{c}' as feature, {c} as value, cast({w:.8f} as double) * ({c} - m_{c}) as shap from scored, m"
       for c, w in WEIGHTS.items()) + ")"
 
 
 def linear(spark, sf):
-    s = V.scored(spark, sf).select("row_id", "score", *WEIGHTS)
-    means = s.agg(*[F.round(F.avg(c), 6).alias(c) for c in WEIGHTS]).first().asDict()
+    s = spread(V.scored(spark, sf).select("row_id", "score", *WEIGHTS))
+    means = s.agg(*[F.round(F.avg(c), 9).alias(c) for c in WEIGHTS]).first().asDict()
     return s, X.linear_contributions(s, "row_id", WEIGHTS, means)
 
 

@@ -69,6 +69,18 @@ def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
     return df.count() <= (limit or rows_per_task(df.sparkSession))
 
 
+def spread(df: DataFrame, most_splits: int = 16) -> DataFrame:
+    """Share a scan of very few splits among the cores.
+
+    A file with one row group is one task, however many cores there are. Only a scan
+    of at most ``most_splits`` splits (about 2 GB) is redistributed; anything bigger
+    is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits <= most_splits and splits * 2 <= cores else df
+
+
 def pin_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Turn a small result into a local table, so joins with it need no shuffle.
 
