@@ -54,19 +54,29 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     inside = (rows.select(*ks, "v", F.explode(F.filter("ranges", lambda r: F.col("v").between(r["lo"], r["hi"])
                                                        )["share"]).alias("share"))
               .groupBy(*ks, "share", "v").agg(F.count(F.lit(1)).alias("n")))
-    below = rows.groupBy(*ks).agg(*[F.sum((F.col("v") < F.col("ranges")[j]["lo"]).cast("bigint")).alias(f"b{j}")
-                                    for j in range(len(shares))])
-    below = below.select(*ks, F.inline(F.array(*[
-        F.struct(F.lit(s).alias("share"), F.col(f"b{j}").alias("below")) for j, s in enumerate(shares)])))
-    ranks = pin_small(below.join(brackets.select(*ks, "total"), ks))
+    # A bracket may miss the wanted rank by one on either side; the neighbours cover that.
+    edges = []
+    for j in range(len(shares)):
+        lo, hi = F.col("ranges")[j]["lo"], F.col("ranges")[j]["hi"]
+        edges += [F.sum((F.col("v") < lo).cast("bigint")).alias(f"n{j}"),
+                  F.max(F.when(F.col("v") < lo, F.col("v"))).alias(f"a{j}"),
+                  F.min(F.when(F.col("v") > hi, F.col("v"))).alias(f"b{j}")]
+    outside = rows.groupBy(*ks).agg(*edges).select(*ks, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("share"), F.col(f"n{j}").alias("below"), F.col(f"a{j}").alias("under"),
+                 F.col(f"b{j}").alias("over")) for j, s in enumerate(shares)])))
+    ranks = pin_small(outside.join(brackets.select(*ks, "total"), ks))
     w = W.partitionBy(*ks, "share").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     place = F.col("share") * (F.col("total") - 1)
+
+    def at(rank):
+        found = F.min(F.when(F.col("cum") > rank, F.col("v")))
+        return (F.when(F.first(rank) < F.first("below"), F.first("under"))
+                .otherwise(F.coalesce(found, F.first("over"))))
+
     picked = (inside.join(ranks, [*ks, "share"])
               .withColumn("cum", F.sum("n").over(w) + F.col("below"))
-              .groupBy(*ks, "share").agg(
-                  F.min(F.when(F.col("cum") > F.floor(place), F.col("v"))).alias("a"),
-                  F.min(F.when(F.col("cum") > F.ceil(place), F.col("v"))).alias("b"),
-                  F.first(place - F.floor(place)).alias("f")))
+              .groupBy(*ks, "share").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"),
+                                         F.first(place - F.floor(place)).alias("f")))
     value = F.when(F.col("f") == 0, F.col("a")).otherwise(
         F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f"))
     return picked.select(*ks, "share", value.alias("value"))

@@ -138,6 +138,17 @@ def tree_shap(spark, sf):
     return X.top_contributions(out, 3).select("row_id", "base_value", F.inline("contributions"))
 
 
+@query("tree_shap_additivity", V.with_views(SPLIT_SCORED) + "select row_id, true as adds_up from s where split = 'validation'")
+def tree_shap_additivity(spark, sf):
+    """Whether base value and contributions of each row add up to the log-odds of its score."""
+    train, val = parts(machines(spark, sf))
+    det = boosted_fit(train)
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap"])
+    sums = X.tree_contributions(det, val, "row_id").select("row_id", total.alias("total"))
+    odds = F.log(F.col("probability") / (1 - F.col("probability")))
+    return det.score(val).join(sums, "row_id").select("row_id", (F.abs(odds - F.col("total")) < 1e-6).alias("adds_up"))
+
+
 @query("tree_shap_forest")
 def tree_shap_forest(spark, sf):
     train, val = parts(V.vectors(spark, sf))

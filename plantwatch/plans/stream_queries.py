@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from plantwatch.operators import timeline as tl, training as T, validation as VA
 from plantwatch.operators.metrics import metric_row
 from plantwatch.plans import views as V
+from plantwatch.plans.audit_queries import SPLIT
 from plantwatch.plans.metric_queries import counts_sql
 from plantwatch.plans.model_queries import machines
 from plantwatch.plans.profile_queries import NUM
@@ -134,16 +135,19 @@ def artifact_manifest(spark, sf):
     return A.artifact_manifest(spark, root, "part-*")
 
 
-@query("stored_model")
+VALIDATION_ROWS = V.with_views(V.SCORED, "s as (select *, " + SPLIT.format(key="row_id") + " as split from scored)")
+
+
+@query("stored_model", VALIDATION_ROWS + "select row_id, true as same from s where split = 'validation'")
 def stored_model(spark, sf):
-    """Scores of a stored and reloaded model; ``same`` says that they equal the ones before."""
+    """Whether a stored and reloaded model gives each row the score it had before."""
     df = machines(spark, sf)
     det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM, max_iter=20)
     path = fresh_path(spark, "model")
     det.save(spark, path)
     val = df.filter("split = 'validation'")
     out = T.load_detector(path).score(det.score(val, "before"), "after")
-    return out.select("row_id", "before", "after", (F.col("before") == F.col("after")).alias("same"))
+    return out.select("row_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query("stream_quarantine", QUARANTINE)
@@ -158,15 +162,19 @@ def stream_quarantine(spark, sf):
     return ok.unionByName(bad)
 
 
-@query("stream_score")
+@query("stream_score", VALIDATION_ROWS + "select row_id, true as same from s")
 def stream_score(spark, sf):
+    """Whether the stream gives each row the score and tier that the batch gives it."""
     df = machines(spark, sf)
     det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM, max_iter=20)
     src = A.write_table(df, "machines")
     out = fresh_path(spark, "scored")
-    ST.run_available(ST.score_stream(ST.read_stream(spark, src, df.schema), det).select(
-        "row_id", "attack_probability", "attack", "classification", "risk_level"), out)
-    return spark.read.parquet(out)
+    columns = ["row_id", "attack_probability", "attack", "classification", "risk_level"]
+    ST.run_available(ST.score_stream(ST.read_stream(spark, src, df.schema), det).select(*columns), out)
+    twin = ST.score_stream(spark.read.parquet(src), det).select(
+        "row_id", F.struct(*columns[1:]).alias("batch"))
+    both = spark.read.parquet(out).select("row_id", F.struct(*columns[1:]).alias("stream")).join(twin, "row_id", "full")
+    return both.select("row_id", F.coalesce(F.col("batch") == F.col("stream"), F.lit(False)).alias("same"))
 
 
 def flow_files(spark, sf, files: int = 4):
