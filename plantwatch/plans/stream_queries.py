@@ -18,7 +18,7 @@ from plantwatch.session import fresh_path
 from plantwatch.sources import artifacts as A, tables as S
 from plantwatch.streaming import streams as ST
 
-READINGS = """readings as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row_id,
+READINGS = """readings as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice*100) as bigint)) as row_id,
   case l_returnflag when 'A' then 'L' when 'N' then 'M' else 'X' end as "Type",
   case when l_orderkey % 97 = 0 then null else 265 + l_quantity * 1.25::double end as air,
   290 + l_quantity::double as process, l_extendedprice / 30 as speed, l_quantity * 2.1::double as torque,
@@ -31,7 +31,7 @@ def readings(spark, sf):
     """Machine readings from lineitem; some are missing, out of range or of an unknown type."""
     q = F.col("l_quantity")
     return V.table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        V.line_id().alias("row_id"),
         F.when(F.col("l_returnflag") == "A", "L").when(F.col("l_returnflag") == "N", "M").otherwise("X").alias("Type"),
         F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(265 + q * F.lit(1.25)).alias("Air temperature"),
         (q + 290).alias("Process temperature"), (F.col("l_extendedprice") / 30).alias("Rotational speed"),

@@ -20,17 +20,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def line_id():
+    """Key of an order line; the price tells apart the few lines that share all keys."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Score with many ties and a correlated 0/1 label."""
     s = F.round(F.lit(0.7) * F.col("l_quantity") / 50 + F.lit(0.3) * F.col("l_tax") / F.lit(0.08), 6)
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        line_id().alias("row_id"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", s.alias("score"),
         (F.col("l_quantity") + F.col("l_orderkey") % 20 > 35).cast("int").alias("y"))
 
 
-SCORED = """scored as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row_id,
+SCORED = """scored as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice*100) as bigint)) as row_id,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
   l_returnflag, l_linestatus, l_shipdate,
   round(cast(0.7 as double)*l_quantity/50 + cast(0.3 as double)*l_tax/cast(0.08 as double), 6) as score,
@@ -40,7 +46,7 @@ SCORED = """scored as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey
 def dup_items(spark: SparkSession, sf: str) -> DataFrame:
     """Small-domain feature vectors, so many duplicates, with a label that conflicts."""
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        line_id().alias("row_id"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
@@ -49,7 +55,7 @@ def dup_items(spark: SparkSession, sf: str) -> DataFrame:
 
 DUP_FEATURES = ["qty", "disc", "tax", "l_linestatus", "l_linenumber"]
 DUP = """dup as (select *, md5(concat_ws('|;', qty, disc, tax, l_linestatus, l_linenumber)) as gid from (
-  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row_id,
+  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice*100) as bigint)) as row_id,
   cast(l_quantity as bigint) as qty, cast(round(l_discount*100) as bigint) as disc,
   cast(round(l_tax*100) as bigint) as tax, l_linestatus, l_linenumber, l_returnflag as label from lineitem))"""
 
