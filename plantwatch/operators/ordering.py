@@ -7,6 +7,8 @@ totals gives every slot its offset, and the window runs inside a slot only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -35,33 +37,37 @@ def range_splits(df: DataFrame, value: Column, limit: int | None = None) -> list
 def assign_slot(df: DataFrame, value: Column, splits: list[float], name: str = "_slot") -> DataFrame:
     """Number of the range a value lies in: slot i holds splits[i-1] <= value < splits[i]."""
     if not splits:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     bounds = [float("-inf"), *splits, float("inf")]
     tmp = f"{name}_in"
     out = Bucketizer(splits=bounds, inputCol=tmp, outputCol=name, handleInvalid="keep").transform(
         df.withColumn(tmp, value.cast("double")))
-    return out.drop(tmp)
+    return out.withColumn(name, F.col(name).cast("int")).drop(tmp)
+
 
+def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [left[x] == right[y] for x, y in pairs])
 
-def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
-    cond = None
-    for a, b in pairs:
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
-    return cond
 
+def add_offsets(df: DataFrame, keys: list[str], slot: str, sums: dict[str, Column],
+                only: Column | None = None) -> DataFrame:
+    """Add to each row the totals of all earlier slots of its key, one column per sum.
 
-def add_offsets(df: DataFrame, keys: list[str], slot: str, sums: dict[str, Column]) -> DataFrame:
-    """Add to each row the totals of all earlier slots of its key, one column per sum."""
+    ``only`` limits the slot table to the rows that are slotted; others get 0. The
+    join and a window over (keys, slot) need the same partitioning, so the rows are
+    shuffled once for both.
+    """
     names = list(sums)
-    totals = df.groupBy(*keys, slot).agg(*[F.sum(sums[n]).alias(n) for n in names])
+    slotted = df if only is None else df.filter(only)
+    totals = slotted.groupBy(*keys, slot).agg(*[F.sum(sums[n]).alias(n) for n in names])
     earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(slot).rowsBetween(
         W.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys], F.col(slot).alias("_o_slot"),
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in names])
+        *[F.sum(n).over(earlier).alias(f"_off_{n}") for n in names])
     pairs = [(k, f"_o_{k}") for k in keys] + [(slot, "_o_slot")]
-    return df.join(offsets, _same(df, offsets, pairs), "inner").drop(*[b for _, b in pairs])
+    out = df.join(offsets, _match(df, offsets, pairs), "left").drop(*[b for _, b in pairs])
+    return out.withColumns({f"_off_{n}": F.coalesce(f"_off_{n}", F.lit(0)) for n in names})
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
@@ -71,7 +77,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
     ``by`` is a number that grows with ``order`` (its leading part). When no key
     can be big, this is one plain window. Otherwise rows of big keys are cut into
     slots along ``by``; ``slot`` replaces the measured cut when the caller has an
-    even one, such as leading digits of a hash.
+    even one, such as leading digits of a hash. Rows without a key are one group.
     """
     limit = rows_per_task(df.sparkSession)
     if fits_one_task(df, limit):
@@ -81,15 +87,17 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
         work = df.withColumn("_slot", slot)
     else:
         work = assign_slot(df, by, range_splits(df, by, limit))
+    only = None
     if keys:
         # At most rows / limit keys can be big, so this side is small by construction.
         big = (df.groupBy(*keys).count().filter(F.col("count") > limit)
                .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big")))
         pairs = [(k, f"_b_{k}") for k in keys]
-        work = (work.join(F.broadcast(big), _same(work, big, pairs), "left")
-                .withColumn("_slot", F.when(F.col("_big"), F.col("_slot")))
+        work = (work.join(F.broadcast(big), _match(work, big, pairs), "left")
+                .withColumn("_slot", F.when(F.col("_big"), F.col("_slot")).otherwise(F.lit(-1)))
                 .drop("_big", *[b for _, b in pairs]))
-    work = add_offsets(work, keys, "_slot", {"n": F.lit(1)})
+        only = F.col("_slot") >= 0
+    work = add_offsets(work, keys, "_slot", {"n": F.lit(1)}, only)
     w = W.partitionBy(*keys, "_slot").orderBy(*order)
     return (work.withColumn(name, (F.col("_off_n") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("_slot", "_off_n"))
