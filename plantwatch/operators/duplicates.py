@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from plantwatch.functions.expressions import as_col
 from plantwatch.functions.keys import content_key
-from plantwatch.operators.ordering import with_group_stats
+from plantwatch.operators.ordering import spread_join, with_group_stats
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -136,7 +135,6 @@ def value_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).subtract(b.select(column))
 
 
-def shared_rows(a: DataFrame, b: DataFrame, key: Column | str) -> DataFrame:
-    """Leakage probe: rows of ``a`` whose content also occurs in ``b``."""
-    keys = b.select(as_col(key).alias("_k")).distinct()
-    return a.withColumn("_k", as_col(key)).join(keys, "_k", "left_semi").drop("_k")
+def shared_rows(a: DataFrame, b: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Leakage probe: rows of ``a`` whose content key also occurs in ``b``."""
+    return spread_join(a, b.select(key).distinct(), key, F.col(row_id), "left_semi")

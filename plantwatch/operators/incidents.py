@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantwatch import constants as K
 from plantwatch.functions.keys import hash_hex, hash_mod, hex_cut
 from plantwatch.operators.ordering import ordered_index
-from plantwatch.session import pin_small, rows_per_task
+from plantwatch.session import SMALL_TABLE_ROWS, rows_per_task
 
 
 def readings_in_incidents(series: DataFrame, incidents: DataFrame, bucket: int | None = None) -> DataFrame:
@@ -52,6 +52,9 @@ def labelled_replay(series: DataFrame, incidents: DataFrame, pool: DataFrame, no
              .withColumn("_pos", hash_mod(key, f"pick{seed}", F.when(
                  F.col("_atk"), F.lit(attack_n)).otherwise(F.lit(benign_n)))))
     source = numbered[0].unionByName(numbered[1])
+    if benign_n + attack_n <= SMALL_TABLE_ROWS:
+        # Few flows mean few join keys with many readings each; a big pool spreads by itself.
+        source = F.broadcast(source)
     return (drawn.join(source, ["_atk", "_pos"]).drop("_pos")
             .withColumnRenamed("_atk", "true_attack"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plantwatch import constants as K
 from plantwatch.functions.expressions import at_least, decision, nan_to_null, ratio
-from plantwatch.operators.ordering import running_totals
+from plantwatch.operators.ordering import range_splits, running_totals
 from plantwatch.operators.quantiles import exact_percentiles
 from plantwatch.session import pin_small
 
@@ -57,7 +57,7 @@ def ranking(df: DataFrame, y: str, score: str, keys: list[str] | None = None) ->
     s = F.coalesce(nan_to_null(F.col(score).cast("double")), F.lit(float("-inf")))
     cells = df.groupBy(*keys, (-s).alias("_neg")).agg(
         F.sum(F.col(y).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    run = running_totals(cells, keys, "_neg", {"ctp": "tp", "cn": "n"})
+    run = running_totals(cells, keys, "_neg", {"ctp": "tp", "cn": "n"}, range_splits(df, -s))
     tp, n, ctp, cn = (F.col(c).cast("double") for c in ("tp", "n", "ctp", "cn"))
     p, m = F.sum("tp").cast("double"), F.sum(F.col("n") - F.col("tp")).cast("double")
     return run.groupBy(*keys).agg(

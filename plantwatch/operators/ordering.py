@@ -103,12 +103,15 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
             .drop("_slot", "_off_n"))
 
 
-def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, str],
+                   splits: list[float] | None = None) -> DataFrame:
     """Inclusive running sums along ascending ``value`` (unique inside a key).
 
-    ``sums`` maps an output name to the summed column.
+    ``sums`` maps an output name to the summed column. ``splits`` are cut points of
+    ``value`` from range_splits; when not given they are measured on ``df``.
     """
-    splits = range_splits(df, F.col(value))
+    if splits is None:
+        splits = range_splits(df, F.col(value))
     work = assign_slot(df, F.col(value), splits)
     if splits:
         work = add_offsets(work, keys, "_slot", {out: F.col(c) for out, c in sums.items()})
@@ -157,3 +160,24 @@ def with_group_stats(df: DataFrame, key: str, stats: list[Column], row_key: Colu
                         .otherwise(F.array(F.lit(0))))).drop("_n")
     return left.join(right, (left[key] == right["_k"]) & (left["_salt"] == right["_s"]),
                      "inner").drop("_k", "_s", "_salt")
+
+
+def spread_join(df: DataFrame, lookup: DataFrame, key: str, row_key: Column, how: str = "inner",
+                fanout: int = 64) -> DataFrame:
+    """Join rows with a table that has one row per key, whatever share of the rows a key has.
+
+    Rows of big keys are spread over ``fanout`` salts and only the lookup rows of
+    those keys are repeated.
+    """
+    limit = rows_per_task(df.sparkSession)
+    if fits_one_task(df, limit):
+        return df.join(lookup, key, how)
+    big = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+           .select(key, F.lit(True).alias("_big")))
+    salts = F.sequence(F.lit(0), F.lit(fanout - 1))
+    left = (df.join(F.broadcast(big), key, "left")
+            .withColumn("_salt", F.when(F.col("_big"), F.pmod(F.xxhash64(row_key), F.lit(fanout))).otherwise(F.lit(0))
+                        .cast("int")).drop("_big"))
+    right = (lookup.join(F.broadcast(big), key, "left")
+             .withColumn("_salt", F.explode(F.when(F.col("_big"), salts).otherwise(F.array(F.lit(0))))).drop("_big"))
+    return left.join(right, [key, "_salt"], how).drop("_salt")

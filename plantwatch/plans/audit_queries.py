@@ -141,7 +141,7 @@ SPLIT = """case when substr(md5({key} || ':42'), 1, 8) < 'a3d70a3d' then 'train'
        "select doc_id, gid from s where split <> 'test' and gid in (select gid from s where split = 'test')")
 def semi_join_leakage(spark, sf):
     s = S.hash_split(documents(spark, sf).select("doc_id", "gid"), "doc_id")
-    return D.shared_rows(s.filter("split <> 'test'"), s.filter("split = 'test'"), "gid").select("doc_id", "gid")
+    return D.shared_rows(s.filter("split <> 'test'"), s.filter("split = 'test'"), "gid", "doc_id").select("doc_id", "gid")
 
 
 @query("stratified_split", V.with_views(V.SCORED) + "select row_id, y, " + SPLIT.format(key="row_id") + " as split from scored")

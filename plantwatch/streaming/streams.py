@@ -98,11 +98,13 @@ def carry_stream(stream: DataFrame, order: list[str], depth: int, process: Calla
                 both = both.unionByName(before.withColumn("is_new", F.lit(False)))
             except AnalysisException as e:
                 raise RuntimeError(f"state of batch {batch_id - 1} is missing in {state}") from e
+        both = both.persist()
         _write_batch(process(both).filter("is_new").drop("is_new"), out, batch_id)
         w = W.partitionBy(key).orderBy(F.desc("is_new"), *[F.desc(c) for c in order])
         carry = (both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth)
                  .drop("_rn", "is_new"))
         carry.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        both.unpersist()
 
     run_batches(stream, on_batch, checkpoint=checkpoint)
 

@@ -28,6 +28,13 @@ def test_hot_group_is_complete(spark, tiny_tasks):
     assert [r["i"] for r in idx.collect()] == list(range(500))
 
 
+def test_hot_key_join_is_complete(spark, tiny_tasks):
+    rows = [("hot", i) for i in range(300)] + [(f"k{i % 20}", 1000 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "gid string, row_id long")
+    known = spark.createDataFrame([("hot",), ("k3",), ("absent",)], "gid string")
+    assert D.shared_rows(df, known, "gid", "row_id").count() == 303
+
+
 def test_running_totals_over_ranges(spark, tiny_tasks):
     pdf = pd.DataFrame({"v": np.arange(300) ** 2.0, "n": np.arange(300) % 7})
     got = running_totals(spark.createDataFrame(pdf), [], "v", {"c": "n"}).orderBy("v").toPandas()

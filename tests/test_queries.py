@@ -7,7 +7,7 @@ from plantwatch.plans.catalog import CHECKS, QUERIES
 
 SPLIT_PATHS = [
     "alert_timeline", "alert_events", "reaction_times", "incident_window_join", "machine_history", "labelled_replay",
-    "debounce", "flagged_subset", "duplicate_members", "drop_conflicting_groups", "duplicate_groups",
+    "debounce", "flagged_subset", "semi_join_leakage", "duplicate_members", "drop_conflicting_groups", "duplicate_groups",
     "exact_stratified_split", "stratified_kfold", "describe_features", "stats_by_class", "roc_auc", "average_precision",
     "sequential_row_id", "positional_alignment", "unseen_family_eval", "stream_debounce", "stream_events",
 ]
