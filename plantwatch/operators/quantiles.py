@@ -21,12 +21,30 @@ def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> Da
     return df.select(*(keep or []), F.inline(cells)).withColumn("v", nan_to_null("v"))
 
 
+def _by_sort(long: DataFrame, ks: list[str], shares: list[float]) -> DataFrame:
+    """Ranks from running counts over the sorted values of each feature."""
+    # Missing values count 0, so a feature without any value keeps its row, with NULLs.
+    counts = long.groupBy(*ks, "v").agg(F.count("v").alias("n"))
+    w = W.partitionBy(*ks)
+    ranked = counts.withColumns({
+        "cum": F.sum("n").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
+        "total": F.sum("n").over(w)})
+    cells = []
+    for s in shares:
+        place = F.lit(s) * (F.col("total") - 1)
+        at = lambda rank: F.min(F.when(F.col("cum") > rank, F.col("v")))
+        f = F.first(place - F.floor(place))
+        a, b = at(F.floor(place)), at(F.ceil(place))
+        cells.append(F.struct(F.lit(s).alias("share"), F.when(f == 0, a).otherwise(a * (1 - f) + b * f).alias("value")))
+    return ranked.groupBy(*ks).agg(F.array(*cells).alias("q")).select(*ks, F.inline("q"))
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
                       keys: list[str] | None = None) -> DataFrame:
     """Long table: keys, feature, share, value.
 
-    ``percentile`` keeps every distinct value of a group in one buffer, so it is used
-    only when the table fits one task, and on value counts. A bigger table is read twice: once for a
+    When the table fits one task per feature, the value counts are sorted. A bigger
+    table is read twice: once for a
     narrow bracket around each wanted rank, and once to count what lies below the
     bracket and to list what lies inside it. The exact rank is picked from that list.
     """
@@ -34,10 +52,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     long = melt(df, columns, keys)
     ks = [*keys, "feature"]
     if fits_one_task(df):
-        counts = long.groupBy(*ks, "v").agg(F.count(F.lit(1)).alias("n"))
-        q = counts.groupBy(*ks).agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("q"))
-        return q.select(*ks, F.inline(F.array(*[
-            F.struct(F.lit(s).alias("share"), F.col("q")[j].alias("value")) for j, s in enumerate(shares)])))
+        return _by_sort(long, ks, shares)
 
     e = 2.0 / ACCURACY
     marks = [m for s in shares for m in (max(s - e, 0.0), min(s + e, 1.0))]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantwatch.functions.expressions import binary_label
-from plantwatch.functions.keys import hash_mod
 from plantwatch.operators import duplicates as D, splits as S
 from plantwatch.plans import views as V
 from plantwatch.plans.registry import query

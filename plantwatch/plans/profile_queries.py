@@ -69,20 +69,21 @@ def feature_target_corr(spark, sf):
 
 def describe_sql(columns, source):
     return "select * from (" + " union all ".join(
-        f"""select '{c}' as feature, count({c}) as "count", round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
+        f"""select '{c}' as feature, count({c}) as "count", round(avg({c}), 7) as mean, round(stddev_samp({c}), 6) as std,
   cast(min({c}) as double) as "min", round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
   round(quantile_cont({c}, 0.75), 6) as p75, cast(max({c}) as double) as "max" from {source}""" for c in columns) + ")"
 
 
 @query("describe_features", describe_sql([*NUM, "l_linenumber"], "lineitem"))
 def describe_features(spark, sf):
-    return rounded(P.describe_features(V.table(spark, sf, "lineitem"), [*NUM, "l_linenumber"]),
-                   ["mean", "std", "p25", "p50", "p75"])
+    out = P.describe_features(V.table(spark, sf, "lineitem"), [*NUM, "l_linenumber"])
+    return rounded(rounded(out, ["std", "p25", "p50", "p75"]), ["mean"], 7)
 
 
 @query("describe_vectors", V.with_views(V.FEAT) + describe_sql(V.FEATURES, "feat"))
 def describe_vectors(spark, sf):
-    return rounded(P.describe_features(V.vectors(spark, sf), V.FEATURES), ["mean", "std", "p25", "p50", "p75"])
+    out = P.describe_features(V.vectors(spark, sf), V.FEATURES)
+    return rounded(rounded(out, ["std", "p25", "p50", "p75"]), ["mean"], 7)
 
 
 PROF = {"l_orderkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double"}
@@ -91,12 +92,12 @@ PROF = {"l_orderkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "
 @query("numeric_profile", "select *, n_unique <= 1 as is_constant, dominant_pct >= 99.5 as is_near_constant from (" + " union all ".join(
     f"""select '{c}' as feature, '{t}' as dtype, (select count(*) from (select distinct {c} from lineitem)) as n_unique,
   count(*) - count({c}) as missing_count, cast(count(*) - count({c}) as double) / count(*) * 100 as missing_pct,
-  round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, cast(min({c}) as double) as "min", cast(max({c}) as double) as "max",
+  round(avg({c}), 7) as mean, round(stddev_samp({c}), 6) as std, cast(min({c}) as double) as "min", cast(max({c}) as double) as "max",
   cast((select max(n) from (select count(*) as n from lineitem group by {c})) as double) / count(*) * 100 as dominant_pct,
   cast((select count(*) from (select distinct {c} from lineitem)) as double) / count(*) >= 0.9 as is_id_like
   from lineitem""" for c, t in PROF.items()) + ")")
 def numeric_profile(spark, sf):
-    return rounded(P.numeric_profile(V.table(spark, sf, "lineitem"), list(PROF)), ["mean", "std"])
+    return rounded(rounded(P.numeric_profile(V.table(spark, sf, "lineitem"), list(PROF)), ["std"]), ["mean"], 7)
 
 
 def text_sql(c, t, source):
