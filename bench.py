@@ -21,7 +21,7 @@ HEADLINE = [
     "metric_row", "average_precision", "model_comparison", "threshold_sweep", "operating_modes",
     "bootstrap_hash", "bootstrap_counts", "bootstrap_ranking", "class_breakdown", "mode_recall", "unseen_family_eval",
     "quarantine", "linear_contributions", "global_importance",
-    "dummy_classifier", "logistic", "forest", "boosted", "tree_shap",
+    "dummy_classifier", "logistic", "forest", "boosted",
     "stream_debounce", "stream_events", "stream_kpis",
 ]
 
