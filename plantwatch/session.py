@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK_KEY = "spark.plantwatch.rowsPerTask"
 ROWS_PER_TASK = 2_000_000
 SMALL_TABLE_ROWS = 100_000
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "plantwatch", master: str | None = None, **conf) -> SparkSession:
@@ -29,6 +32,27 @@ def build_session(app: str = "plantwatch", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that functions sent to them can import it.
+
+    Spark's own file server hands the archive out; it is sent once per Spark context.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        archive = os.path.join(tempfile.mkdtemp(prefix="plantwatch-package-"), "plantwatch.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
