@@ -23,10 +23,11 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The kept columns of a batch followed by new ones."""
-    names = [*keep, *new]
-    return pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *new.values()], names=names)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until the frame has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 class BoundedCache(dict):

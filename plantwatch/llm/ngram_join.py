@@ -50,7 +50,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hash
     """(bands, rows): the most selective rows whose bands reach the recall at the threshold."""
     best = None
     for rows in range(1, 65):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        bands = max(1, math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most_hashes:
             best = bands, rows
     if best is None:
@@ -283,17 +283,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ruled = rows.filter(F.col("_doc").isNotNull() & F.col("_node").isNotNull()).join(info.select("_node", "class_id"), "_node")
     drop = ruled.filter("_doc <> class_id").select("_doc", "_text_key").distinct()
     # One id may stand beside several texts of its own class; of those the smallest hash stays.
-    kept = ruled.filter("_doc = class_id").groupBy("class_id").agg(F.min("_text_key").alias("_text_key"), F.count(F.lit(1)).alias("_n"))
-    twice = materialise(kept.filter("_n > 1").select(F.col("class_id").alias("_doc"), F.col("_text_key").alias("_stays")), "repeated")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col(text_col))))
-    on = (keyed[id_col].cast("long") == drop["_doc"]) & (keyed["_key"] == drop["_text_key"])
-    left = keyed.join(drop, on, "left_anti")
+    kept = ruled.filter("_doc = class_id").groupBy("class_id").agg(F.min("_text_key").alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    twice = materialise(kept.filter("_n > 1").select(F.col("class_id").alias("_again"), "_stays"), "repeated")
+    columns = docs.columns
+    rows_ = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_key"))
+    left = rows_.join(drop, (rows_["_id"] == drop["_doc"]) & (rows_["_key"] == drop["_text_key"]), "left_anti")
     if twice.isEmpty():
-        return left.drop("_key")
-    ruled_ids = ruled.join(twice, "_doc", "left_semi").filter("_doc = class_id").select("_doc", "_text_key").distinct()
-    marked = (left.join(ruled_ids.withColumn("_multiple", F.lit(True)), (left[id_col].cast("long") == ruled_ids["_doc"]) &
-                        (left["_key"] == ruled_ids["_text_key"]), "left").drop("_doc", "_text_key"))
-    single = marked.filter(F.col("_multiple").isNull()).drop("_multiple")
-    again = marked.filter(F.col("_multiple")).drop("_multiple")
-    again = again.join(twice, (again[id_col].cast("long") == twice["_doc"]) & (again["_key"] == twice["_stays"]), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col])).drop("_key")
+        return left.select("_row.*")
+    marked = left.join(twice, left["_id"] == twice["_again"], "left")
+    single = marked.filter(F.col("_again").isNull()).select("_row")
+    again = marked.filter(F.col("_key") == F.col("_stays")).dropDuplicates(["_id"]).select("_row")
+    # Other classes and rows without words may use the same id; they are not copies.
+    mine = ruled.filter("_doc = class_id").select("_doc", "_text_key").distinct()
+    others = (marked.filter(F.col("_again").isNotNull())
+              .join(mine, (marked["_id"] == mine["_doc"]) & (marked["_key"].eqNullSafe(mine["_text_key"])), "left_anti").select("_row"))
+    return single.unionByName(again).unionByName(others).select("_row.*")

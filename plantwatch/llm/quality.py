@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantwatch.llm.arrow import BoundedCache, map_arrow, texts
+from plantwatch.llm.arrow import BoundedCache, free_name, map_arrow, texts
 
 TRAIN_ROWS = 3_000
 FOLDS = 5
@@ -182,15 +182,17 @@ def scorer(model: Model, cached_words: int = 300_000):
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and ``score``. The model is broadcast; its size is fixed by its shape."""
+    """The kept columns and ``score``, in place of a column of that name. The model is broadcast; its size is fixed by its shape."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
+    body_name = free_name(docs, "_text")
+    source = docs.select(*[c for c in keep if c != "score"], F.col(text_col).alias(body_name))
+    keep = source.columns[:-1]
 
     def run(batches):
         score = scorer(shared.value)
         for b in batches:
-            body = b.column("_text")
+            body = b.column(body_name)
             values = [score(t) for i in range(0, b.num_rows, 256) for t in texts(body.slice(i, 256))]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(values, pa.float64())],
                                              names=[*keep, "score"])

@@ -65,14 +65,14 @@ weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
          source_size * 2.0::DOUBLE AS full_size FROM totals),
 ranked AS (
-  SELECT *, full_size / w AS at, row_number() OVER (ORDER BY full_size / w, source NULLS LAST) AS place,
+  SELECT *, full_size / w AS full_at, row_number() OVER (ORDER BY full_size / w, source NULLS LAST) AS place,
          CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM weighed),
 levels AS (
   SELECT *, (total - coalesce(sum(full_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM ranked),
-chosen AS (SELECT min(place) AS first_place FROM levels WHERE lvl <= at),
+chosen AS (SELECT min(place) AS first_place FROM levels WHERE lvl <= full_at),
 targets AS (
-  SELECT source, source_size, CASE WHEN at <= lv THEN full_size ELSE lv * w END AS target
+  SELECT source, source_size, CASE WHEN full_at <= lv THEN full_size ELSE lv * w END AS target
   FROM levels, (SELECT lvl AS lv FROM levels, chosen WHERE place = first_place)),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets)
 SELECT d.doc_id, d.size, r.source_size, r.target,

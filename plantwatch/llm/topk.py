@@ -33,6 +33,7 @@ from plantwatch.llm.arrow import map_arrow
 from plantwatch.session import fresh_path
 
 LEAF = 96
+QUERY_LEAF = 24
 CHILDREN = 12
 BLOCK_ROWS = 8_192
 QUERIES_PER_JOB = 20_000
@@ -46,6 +47,7 @@ class Node:
     points: np.ndarray
     norm: float = 0.0
     children: list["Node"] = field(default_factory=list)
+    parent: "Node | None" = field(default=None, repr=False)
     worst: int = LOW
 
 
@@ -82,6 +84,7 @@ def cover_tree(vectors: np.ndarray, leaf: int = LEAF) -> Node:
             mine = part == c
             if mine.any():
                 n.children.append(node(n.points[mine], own[at], nearest[mine]))
+                n.children[-1].parent = n
         open_nodes += n.children
     return root
 
@@ -102,7 +105,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.tree = cover_tree(vectors)
+        self.tree = cover_tree(vectors, QUERY_LEAF)
         self.best = np.full((len(ids), k), LOW)
         self.best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.scored = 0
@@ -142,15 +145,9 @@ class Search:
             order = np.lexsort((i, -np.maximum(s, LOW + 1)), axis=1)[:, :self.k]
             self.best[at], self.best_ids[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             q.worst = int(self.best[mine, -1].min())
-            self._raise()
-
-    def _raise(self) -> None:
-        """Carry worst scores of leaves up the query tree."""
-        def up(n: Node) -> int:
-            if n.children:
-                n.worst = min(up(c) for c in n.children)
-            return n.worst
-        up(self.tree)
+            while q.parent:  # carry the worst score up the query tree
+                q = q.parent
+                q.worst = min(c.worst for c in q.children)
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = self.best_ids != np.iinfo(np.int64).max

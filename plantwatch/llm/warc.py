@@ -139,7 +139,8 @@ def _chains(batches):
         out = {}
         for place in sorted(follow, reverse=True):
             to = follow[place]
-            out[place] = out.get(to, to if to >= at else None)
+            # The last magic of a split begins the first record of the next one.
+            out[place] = out.get(to, to if to >= at - len(MAGIC) else None)
         columns = [[key[0]] * (len(out) + 1), [key[1]] * (len(out) + 1), [*out, None], [*out.values(), at]]
         return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
                                            pa.array(columns[3], pa.int64())], names=["file", "split", "place", "to"])

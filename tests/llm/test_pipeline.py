@@ -9,6 +9,11 @@ from plantwatch.llm import mixing, ngram_join, queries, secrets
 from .test_operators import brute_links, check_sequences, whole_ids
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf, tmp_path_factory):
     """Rows after each stage."""
