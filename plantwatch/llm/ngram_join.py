@@ -210,10 +210,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
              F.count(F.lit(1)).alias("_copies"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
         .select("_node", F.col("_first._doc").alias("_rep"), F.col("_first._text_key").alias("_text_key"), "_copies", "_size", "_bands"),
         "nodes")
-    keys = nodes.filter(F.col("_rep").isNotNull()).select("_node", F.posexplode("_bands").alias("_band", "_key"))
-    buckets = (keys.groupBy("_band", "_key").agg(F.min("_node").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    # A band's number is part of its hash, so the hash alone is the key of a bucket.
+    keys = nodes.filter(F.col("_rep").isNotNull()).select("_node", F.explode("_bands").alias("_key"))
+    buckets = (keys.groupBy("_key").agg(F.min("_node").alias("_low"), F.count(F.lit(1)).alias("_n"))
                .filter("_n > 1").drop("_n"))
-    ties = keys.join(buckets, ["_band", "_key"]).filter("_node <> _low").select(F.col("_node").alias("a"), F.col("_low").alias("b"))
+    ties = keys.join(buckets, "_key").filter("_node <> _low").select(F.col("_node").alias("a"), F.col("_low").alias("b"))
     family = components(ties)
     # Families and their blocks.
     member = materialise(family.join(nodes.drop("_bands"), F.col("node") == F.col("_node"))
@@ -231,7 +232,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # Full sets, once per node, from the texts of family members.
     wanted = member.select(F.col("_rep").alias("_doc"), F.col("_text_key").alias("_want"), F.col("node").alias("_name"))
     bodies = docs.select(F.col(id_col).cast("long").alias("_doc"), F.unhex(F.md5(F.col(text_col))).alias("_text_key"), F.col(text_col).alias("_text"))
-    chosen = bodies.join(wanted, (bodies["_doc"] == wanted["_doc"]) & (bodies["_text_key"] == wanted["_want"])).select("_name", "_text")
+    # The list grows with the corpus, so it is never broadcast; texts move once, by the same plan at every size.
+    chosen = bodies.join(wanted.hint("merge"), (bodies["_doc"] == wanted["_doc"]) & (bodies["_text_key"] == wanted["_want"])).select("_name", "_text")
 
     def full_sets(batches):
         for b in batches:
@@ -287,7 +289,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     twice = materialise(kept.filter("_n > 1").select(F.col("class_id").alias("_again"), "_stays"), "repeated")
     columns = docs.columns
     rows_ = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_key"))
-    left = rows_.join(drop, (rows_["_id"] == drop["_doc"]) & (rows_["_key"] == drop["_text_key"]), "left_anti")
+    left = rows_.join(drop.hint("merge"), (rows_["_id"] == drop["_doc"]) & (rows_["_key"] == drop["_text_key"]), "left_anti")
     if twice.isEmpty():
         return left.select("_row.*")
     marked = left.join(twice, left["_id"] == twice["_again"], "left")
