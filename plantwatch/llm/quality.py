@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import operator
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantwatch.llm.arrow import BoundedCache, free_name, map_arrow, texts
+from plantwatch.llm.words import mix
 
 TRAIN_ROWS = 3_000
 FOLDS = 5
@@ -53,13 +55,29 @@ class Model:
     bias: float
 
 
-def features(word: bytes, shape: Shape) -> list[int]:
-    """Buckets of a word and of the character n-grams of ``<word>``."""
-    out = [zlib.crc32(word) % shape.buckets]
-    text = f"<{word.decode('utf-8', 'replace')}>"
+_PLACES = np.random.default_rng(17).integers(1, 2**62, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def features(words: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of the character n-grams of ``<word>``, and which word each belongs to.
+
+    All words at once: n-grams are windows over one array of code points.
+    """
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in marked])
+    ids = [np.array([zlib.crc32(w) % shape.buckets for w in words], np.int64)]
+    whose = [np.arange(len(words))]
     for n in range(shape.shortest, shape.longest + 1):
-        out += [zlib.crc32(text[i:i + n].encode(), n) % shape.buckets for i in range(len(text) - n + 1)]
-    return out
+        m = len(codes) - n + 1
+        if m > 0:
+            inside = owner[:m] == owner[n - 1:]
+            h = np.full(m, n, np.uint64)
+            for k in range(n):
+                h += codes[k:k + m] * _PLACES[k]
+            ids.append((mix(h[inside]) % np.uint64(shape.buckets)).astype(np.int64))
+            whose.append(owner[:m][inside])
+    return np.concatenate(ids), np.concatenate(whose)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -73,21 +91,18 @@ def repeats(text: str, words: list[bytes]) -> tuple[int, int, int]:
     return (sum(map(operator.eq, words, words[1:])), windows - len(set(zip(words, words[1:], words[2:]))), len(lines) - len(set(lines)))
 
 
-def bag(text: str, shape: Shape, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and their share of all its features; marks follow the buckets."""
     words = words_of(text)
-    lists = [np.repeat(np.arange(shape.buckets, shape.buckets + MARKS, dtype=np.int32), repeats(text, words))]
-    for w in words:
-        f = known.get(w)
-        if f is None:
-            if len(known) > 200_000:
-                known.clear()
-            f = known[w] = np.array(features(w, shape), np.int32)
-        lists.append(f)
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids, n = np.unique(np.concatenate(lists), return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    counts = Counter(words)
+    ids, whose = features(list(counts), shape)
+    times = np.array([*counts.values()], float)[whose]
+    marks = np.arange(shape.buckets, shape.buckets + MARKS)
+    found, at = np.unique(np.concatenate([ids, marks]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([times, repeats(text, words)]))
+    return found[n > 0], (n[n > 0] / n.sum()).astype(np.float32)
 
 
 def fit(bodies: list[str], labels: list[int], shape: Shape = Shape(), epochs: int = 5, rate: float = 0.2,
@@ -96,8 +111,7 @@ def fit(bodies: list[str], labels: list[int], shape: Shape = Shape(), epochs: in
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / shape.width, 1 / shape.width, (shape.buckets + MARKS, shape.width)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (shape.width, 2)).astype(np.float32), np.zeros(2, np.float32)
-    known: dict = {}
-    bags = [bag(t, shape, known) for t in bodies]
+    bags = [bag(t, shape) for t in bodies]
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -157,26 +171,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **opti
 
 
 def scorer(model: Model, cached_words: int = 300_000):
-    """Score of a whole text: softmax probability of label 1."""
+    """Scores of whole texts: softmax probability of label 1."""
     known = BoundedCache(cached_words)
     margin, shape = model.margin, model.shape
 
-    def score(text: str) -> float:
-        total, n = 0.0, 0
+    def learn(words: list[bytes]) -> None:
+        ids, whose = features(words, shape)
+        sums, sizes = np.bincount(whose, margin[ids], len(words)), np.bincount(whose, minlength=len(words))
+        known.update(zip(words, zip(sums.tolist(), sizes.tolist())))
+
+    def score(bodies: list[str]) -> list[float]:
+        out = []
+        split = [words_of(t) for t in bodies]
         known.room()
-        words = words_of(text)
-        for mark, times in zip(margin[shape.buckets:], repeats(text, words)):
-            total += float(mark) * times
-            n += times
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                f = features(w, shape)
-                got = known[w] = (float(margin[f].sum()), len(f))
-            total += got[0]
-            n += got[1]
-        z = model.bias + (total / n if n else 0.0)
-        return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+        new = [w for w in set().union(*split) if w not in known]
+        if new:
+            learn(new)
+        for text, words in zip(bodies, split):
+            total, n = 0.0, 0
+            for mark, times in zip(margin[shape.buckets:], repeats(text, words)):
+                total += float(mark) * times
+                n += times
+            for (word_margin, size), times in ((known[w], k) for w, k in Counter(words).items()):
+                total += times * word_margin
+                n += times * size
+            z = model.bias + (total / n if n else 0.0)
+            out.append(1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z)))
+        return out
 
     return score
 
@@ -193,7 +214,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
         score = scorer(shared.value)
         for b in batches:
             body = b.column(body_name)
-            values = [score(t) for i in range(0, b.num_rows, 256) for t in texts(body.slice(i, 256))]
+            values = [x for i in range(0, b.num_rows, 128) for x in score(texts(body.slice(i, 128)))]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(values, pa.float64())],
                                              names=[*keep, "score"])
 
@@ -208,7 +229,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
         score = scorer(shared.value)
         for b in batches:
             body = b.column(text_col)
-            yield b.filter(pa.array([score(t) >= threshold for i in range(0, b.num_rows, 256)
-                                     for t in texts(body.slice(i, 256))], pa.bool_()))
+            yield b.filter(pa.array([x >= threshold for i in range(0, b.num_rows, 128)
+                                     for x in score(texts(body.slice(i, 128)))], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -34,17 +34,17 @@ MOST_WORDS = 400_000
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Log-probabilities of pieces, of one byte piece, and the length of the longest piece."""
+    """Log-probabilities of pieces and of one byte piece, and the ends of all pieces."""
     pieces: dict[str, float]
     byte: float
-    longest: int
+    tails: frozenset[str]
 
 
 def rank_vocabulary(pieces: list[str]) -> Vocabulary:
     """Probabilities from ranks: pieces in order of rank."""
     norm = math.log(sum(1 / (r + 1) for r in range(len(pieces)))) if pieces else 0.0
     scores = {p: -math.log(r + 1) - norm for r, p in reversed(list(enumerate(pieces)))}
-    return Vocabulary(scores, -math.log(len(pieces) + 1) - norm, max(map(len, pieces), default=0))
+    return Vocabulary(scores, -math.log(len(pieces) + 1) - norm, frozenset(p[i:] for p in pieces for i in range(len(p))))
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -78,8 +78,10 @@ class Trie:
         bytes_ = len(char.encode("utf-8", "surrogatepass"))
         best, fewest = self.score[at] + bytes_ * v.byte, self.count[at] + bytes_
         piece, back = "", len(self.parent) - 1
-        for _ in range(v.longest):
+        while True:
             piece = self.char[back] + piece
+            if piece not in v.tails:
+                break
             back = self.parent[back]
             p = v.pieces.get(piece)
             if p is not None:
@@ -124,8 +126,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     seen = Counter(text.encode().split())
                     if len(known) > MOST_WORDS:
                         known.clear()
-                    for w in seen.keys() - known.keys():
-                        known[w] = trie.tokens(w.decode())
+                    for w in seen:
+                        if w not in known:
+                            known[w] = trie.tokens(w.decode())
                     words.append(seen.total())
                     tokens.append(sum(n * known[w] for w, n in seen.items()))
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
