@@ -74,14 +74,14 @@ def largest_groups(df: DataFrame, features: list[str], k: int = 10) -> DataFrame
 
 
 def conflict_report(df: DataFrame, gid: str, label: str) -> DataFrame:
-    """Conflicting groups: rows, number of labels and the sorted label list.
+    """Conflicting groups: rows, number of labels and the sorted label list; a missing label is none.
 
     Labels are made distinct per group before they are listed, so the list is as
     long as the label set, however many rows the group has.
     """
     per_label = df.groupBy(gid, label).agg(F.count(F.lit(1)).alias("n"))
     return (per_label.groupBy(gid).agg(
-        F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("rows"),
+        F.count(label).alias("n_labels"), F.sum("n").alias("rows"),
         F.array_join(F.array_sort(F.collect_list(label)), ", ").alias("labels"))
         .filter(F.col("n_labels") > 1))
 

@@ -8,9 +8,12 @@ totals gives every slot its offset, and the window runs inside a slot only.
 from __future__ import annotations
 
 from functools import reduce
+from math import isfinite
+from os.path import commonprefix
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from plantwatch.session import fits_one_task, rows_per_task
 
@@ -31,7 +34,19 @@ def range_splits(df: DataFrame, value: Column, limit: int | None = None) -> list
     shares = [i / slots for i in range(1, slots)]
     row = df.agg(F.percentile_approx(
         value.cast("double"), F.array(*[F.lit(s) for s in shares]), F.lit(slots * 20)).alias("q")).first()
-    return sorted({float(x) for x in (row["q"] or []) if x == x})
+    # Missing values stand at an end of the order and are no cut.
+    return sorted({float(x) for x in (row["q"] or []) if isfinite(x)})
+
+
+def order_number(df: DataFrame, value: Column) -> Column:
+    """A number that grows with the value; texts and bytes count by six bytes after what all of them begin with."""
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if not isinstance(kind, (StringType, BinaryType)):
+        return value.cast("double")
+    ends = df.agg(F.hex(F.min(value).cast("binary")).alias("lo"), F.hex(F.max(value).cast("binary")).alias("hi")).first()
+    common = len(commonprefix([ends["lo"] or "", ends["hi"] or ""])) // 2
+    part = F.rpad(F.hex(F.substring(value.cast("binary"), common + 1, 6)), 12, "0")
+    return F.conv(part, 16, 10).cast("double")
 
 
 def assign_slot(df: DataFrame, value: Column, splits: list[float], name: str = "_slot") -> DataFrame:
@@ -46,7 +61,7 @@ def assign_slot(df: DataFrame, value: Column, splits: list[float], name: str = "
 
 
 def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[x] == right[y] for x, y in pairs])
+    return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
 def add_offsets(df: DataFrame, keys: list[str], slot: str, sums: dict[str, Column],
@@ -74,7 +89,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
                   by: Column, slot: Column | None = None) -> DataFrame:
     """0-based position of each row inside its key, dense and exact.
 
-    ``by`` is a number that grows with ``order`` (its leading part). When no key
+    ``by`` grows with ``order`` (its leading part): a number, a time as a number, or a text. When no key
     can be big, this is one plain window. Otherwise rows of big keys are cut into
     slots along ``by``; ``slot`` replaces the measured cut when the caller has an
     even one, such as leading digits of a hash. Rows without a key are one group.
@@ -86,6 +101,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
     if slot is not None:
         work = df.withColumn("_slot", slot)
     else:
+        by = order_number(df, by)
         work = assign_slot(df, by, range_splits(df, by, limit))
     only = None
     if keys:
@@ -93,7 +109,8 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
         big = (df.groupBy(*keys).count().filter(F.col("count") > limit)
                .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big")))
         pairs = [(k, f"_b_{k}") for k in keys]
-        work = (work.join(F.broadcast(big), _match(work, big, pairs), "left")
+        same = reduce(lambda a, b: a & b, [work[x].eqNullSafe(big[y]) for x, y in pairs])
+        work = (work.join(F.broadcast(big), same, "left")
                 .withColumn("_slot", F.when(F.col("_big"), F.col("_slot")).otherwise(F.lit(-1)))
                 .drop("_big", *[b for _, b in pairs]))
         only = F.col("_slot") >= 0
@@ -123,19 +140,20 @@ def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, s
 
 
 def tick_chunks(df: DataFrame, tick: str, overlap: int, size: int | None = None) -> DataFrame:
-    """Cut dense tick series into chunks for windows that look back ``overlap`` rows.
+    """Cut the series of each machine into chunks for windows that look back ``overlap`` rows.
 
-    The last rows of a chunk are repeated at the head of the next one and marked
+    Chunks are runs of row positions, so ticks may have gaps. The last rows of a chunk are repeated at the head of the next one and marked
     in ``_halo``; drop those rows after the window. A chunk never exceeds
     ``size + overlap`` rows, whatever the length of the series.
     """
     size = size or rows_per_task(df.sparkSession)
     size = max(size, overlap + 1)
-    base = F.floor(F.col(tick) / F.lit(size))
-    chunks = F.when(F.pmod(F.col(tick), F.lit(size)) >= size - overlap, F.array(base, base + 1)
+    rows = ordered_index(df, ["machine"], [tick], "_at", by=F.col(tick))
+    base = F.floor(F.col("_at") / F.lit(size))
+    chunks = F.when(F.pmod(F.col("_at"), F.lit(size)) >= size - overlap, F.array(base, base + 1)
                     ).otherwise(F.array(base))
-    return (df.withColumn("_base", base).withColumn("_chunk", F.explode(chunks))
-            .withColumn("_halo", F.col("_chunk") > F.col("_base")).drop("_base"))
+    return (rows.withColumn("_base", base).withColumn("_chunk", F.explode(chunks))
+            .withColumn("_halo", F.col("_chunk") > F.col("_base")).drop("_base", "_at"))
 
 
 def with_group_stats(df: DataFrame, key: str, stats: list[Column], row_key: Column,

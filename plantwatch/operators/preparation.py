@@ -96,8 +96,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    w = pin_small(class_weights(df, label)).select(label, F.col("weight").alias(name))
-    return df.join(w, label)
+    w = pin_small(class_weights(df, label)).select(F.col(label).alias("_class"), F.col("weight").alias(name))
+    return df.join(w, df[label].eqNullSafe(w["_class"])).drop("_class")
 
 
 @dataclass

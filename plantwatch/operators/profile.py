@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from plantwatch import constants as K
 from plantwatch.functions.expressions import nan_to_null, ratio
 from plantwatch.operators.quantiles import exact_percentiles, melt
-from plantwatch.session import pin_small
+from plantwatch.session import pin_small, ship_package
 
 
 def numeric_columns(df: DataFrame, exclude: set[str] = frozenset()) -> list[str]:
@@ -59,13 +61,44 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
+GRAM = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _gram(low: list[float]):
+    """Sums over complete pairs of columns, one row per pair and task, from matrix products of Arrow batches."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns]) - low
+            m = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.triu_indices(total.shape[1])
+            columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t[i, j]) for t in total]]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in GRAM.split(", ")])
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long matrix (a, b, r); one pass, each pair computed once."""
-    clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-                      for a, b in pairs])
-    upper = clean.select(F.inline(cells)).groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"))
+    """Long matrix (a, b, r) of Pearson correlations over complete pairs; NULL when a side is constant.
+
+    One pass that expands no row: a task adds up the Gram matrix of its batches, and only
+    columns x columns sums per task are shuffled. Values are taken from the column's
+    minimum, so that large offsets cost no digits and a constant column is exactly 0.
+    """
+    clean = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"c{k}") for k, c in enumerate(columns)])
+    low = [v or 0.0 for v in clean.agg(*[F.min(c) for c in clean.columns]).first()]
+    ship_package(df.sparkSession)
+    sums = clean.mapInArrow(_gram(low), GRAM).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    var_x, var_y = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    varies = (F.col("n") > 0) & (var_x > F.col("xx") * 1e-13) & (var_y > F.col("yy") * 1e-13)
+    r = F.when(F.col("n") > 0, F.when(varies, cov / F.sqrt(var_x * var_y)))
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
+    upper = sums.select(a.alias("a"), b.alias("b"), r.alias("r"))
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "r"))).otherwise(F.array(
         F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")))
     return upper.select(F.inline(both))

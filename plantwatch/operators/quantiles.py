@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plantwatch.functions.expressions import nan_to_null
@@ -10,6 +12,13 @@ from plantwatch.session import fits_one_task, pin_small
 ACCURACY = 100_000
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where two missing keys are equal."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, reduce(lambda a, b: a & b, same), how).drop(*[f"_r_{k}" for k in keys])
+
+
 def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """Long form (keep..., feature, v) of numeric columns; NaN becomes NULL.
 
@@ -65,7 +74,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
         (F.col("highest") if s + e >= 1 else F.col("q")[2 * j + 1]).alias("hi"))
         for j, s in enumerate(shares)])
     brackets = pin_small(brackets.select(*ks, "total", ranges.alias("ranges")))
-    rows = long.join(brackets.select(*ks, "ranges"), ks).filter(F.col("v").isNotNull())
+    rows = _join(long, brackets.select(*ks, "ranges"), ks).filter(F.col("v").isNotNull())
     inside = (rows.select(*ks, "v", F.explode(F.filter("ranges", lambda r: F.col("v").between(r["lo"], r["hi"])
                                                        )["share"]).alias("share"))
               .groupBy(*ks, "share", "v").agg(F.count(F.lit(1)).alias("n")))
@@ -79,7 +88,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
     outside = rows.groupBy(*ks).agg(*edges).select(*ks, F.inline(F.array(*[
         F.struct(F.lit(s).alias("share"), F.col(f"n{j}").alias("below"), F.col(f"a{j}").alias("under"),
                  F.col(f"b{j}").alias("over")) for j, s in enumerate(shares)])))
-    ranks = pin_small(outside.join(brackets.select(*ks, "total"), ks))
+    ranks = pin_small(_join(outside, brackets.select(*ks, "total"), ks))
     w = W.partitionBy(*ks, "share").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     place = F.col("share") * (F.col("total") - 1)
 
@@ -88,10 +97,12 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float],
         return (F.when(F.first(rank) < F.first("below"), F.first("under"))
                 .otherwise(F.coalesce(found, F.first("over"))))
 
-    picked = (inside.join(ranks, [*ks, "share"])
+    picked = (_join(inside, ranks, [*ks, "share"])
               .withColumn("cum", F.sum("n").over(w) + F.col("below"))
               .groupBy(*ks, "share").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"),
                                          F.first(place - F.floor(place)).alias("f")))
     value = F.when(F.col("f") == 0, F.col("a")).otherwise(
         F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f"))
-    return picked.select(*ks, "share", value.alias("value"))
+    wanted = brackets.select(*ks, F.explode(F.col("ranges")["share"]).alias("share"))
+    # A feature without any value keeps its row, with NULL.
+    return _join(wanted, picked.select(*ks, "share", value.alias("value")), [*ks, "share"], "left").select(*ks, "share", "value")

@@ -31,9 +31,10 @@ def _hash_position(df: DataFrame, by: list[str], key: str, seed: int | str, name
 
 def exact_stratified_split(df: DataFrame, label: str, key: str, seed: int = K.SEED,
                            shares=SHARES, name: str = "split") -> DataFrame:
-    """Split with exact counts per class: position by hash inside the class."""
-    totals = pin_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
-    work = _hash_position(df, [label], key, seed, "_i").join(totals, label)
+    """Split with exact counts per class: position by hash inside the class; missing labels are a class."""
+    totals = pin_small(df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+    work = _hash_position(df, [label], key, seed, "_i")
+    work = work.join(totals, work[label].eqNullSafe(totals["_class"])).drop("_class")
     out, bound = F.lit(shares[-1][0]), 0.0
     bounds = []
     for split, share in shares[:-1]:

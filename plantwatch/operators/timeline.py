@@ -1,7 +1,7 @@
 """Alert timeline: score -> status -> debounce -> fuse, then events, KPIs and views.
 
-Series are keyed by (machine, tick) with dense ticks from 0. Windows run over tick
-chunks (see ordering.tick_chunks), so one busy machine is still many tasks.
+Series are keyed by (machine, tick); ticks may have gaps. Windows run over chunks of
+row positions (see ordering.tick_chunks), so one busy machine is still many tasks.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ def trailing_flags(flows: DataFrame, flag: str = "flagged", window: int = K.CONF
             .withColumn("confirmed", F.col("n_flagged") >= count))
 
 
-def align(telemetry: DataFrame, flows: DataFrame | None, how: str = "inner") -> DataFrame:
+def align(telemetry: DataFrame, flows: DataFrame | None, how: str = "full") -> DataFrame:
     """Put the flow of the same machine and tick next to each reading.
 
-    Without flows the result is machine-only: nothing is flagged and the network
+    Every reading and every flow is kept: a tick without a flow is not flagged, a tick
+    without a reading has no probability and counts as healthy. Without flows the result is machine-only: nothing is flagged and the network
     columns are absent.
     """
     if flows is None:
@@ -39,7 +40,7 @@ def align(telemetry: DataFrame, flows: DataFrame | None, how: str = "inner") ->
     return telemetry.join(flows, KEY, how)
 
 
-def build_timeline(telemetry: DataFrame, flows: DataFrame | None, how: str = "inner",
+def build_timeline(telemetry: DataFrame, flows: DataFrame | None, how: str = "full",
                    primary: float = K.PRIMARY_THRESHOLD, early: float = K.EARLY_WARNING_THRESHOLD,
                    window: int = K.CONFIRM_WINDOW, count: int = K.CONFIRM_COUNT) -> DataFrame:
     """One row per (machine, tick) with status, debounced attack, level, reason and change.
@@ -56,7 +57,7 @@ def build_timeline(telemetry: DataFrame, flows: DataFrame | None, how: str = "in
     out = (tick_chunks(joined, "tick", window)
            .withColumn("status", X.machine_status("p", primary, early))
            .withColumn("n_flagged", F.sum(F.coalesce("flagged", F.lit(False)).cast("int")).over(recent))
-           .withColumn("n_seen", F.count(F.lit(1)).over(recent))
+           .withColumn("n_seen", (F.count("flagged") if flows is not None else F.count(F.lit(1))).over(recent))
            .withColumn("confirmed", (F.col("n_flagged") >= count) if flows is not None else F.lit(False))
            .withColumn("level", X.fuse("status", "confirmed"))
            .withColumn("prev_level", F.lag("level", 1, "OK").over(step))
@@ -130,7 +131,8 @@ def reaction_times(timeline: DataFrame, incidents: DataFrame) -> DataFrame:
     beyond = (series.groupBy("machine", "_c").agg(F.min("r").alias("r"), F.min("c").alias("c"))
               .select("machine", "_c", F.min("r").over(later).alias("far_r"),
                       F.min("c").over(later).alias("far_c")))
-    ahead = W.partitionBy("machine", "_c").orderBy("tick").rangeBetween(0, W.unboundedFollowing)
+    # Looking back along falling ticks keeps a running minimum; a frame that looks ahead is summed anew for each row.
+    ahead = W.partitionBy("machine", "_c").orderBy(F.desc("tick")).rangeBetween(W.unboundedPreceding, W.currentRow)
     near = (series.withColumns({"near_r": F.min("r").over(ahead), "near_c": F.min("c").over(ahead)})
             .filter(F.col("incident").isNotNull()))
     r, c = F.coalesce("near_r", "far_r"), F.coalesce("near_c", "far_c")
@@ -161,7 +163,7 @@ def level_grid(timeline: DataFrame, width: int = 10) -> DataFrame:
 
 def asset_peaks(timeline: DataFrame) -> DataFrame:
     """Machines by highest severity * 10 + probability; the first row is the riskiest."""
-    score = F.col("severity") * 10 + F.col("p")
+    score = F.col("severity") * 10 + F.coalesce("p", F.lit(0.0))
     return (timeline.groupBy("machine").agg(F.round(F.max(score), 5).alias("peak"))
             .orderBy(F.desc("peak"), "machine"))
 

@@ -68,14 +68,21 @@ class Detector:
             self.model.write().overwrite().save(f"{path}/model")
 
 
-@lru_cache(maxsize=8)
 def load_detector(path: str) -> Detector:
-    """Load a stored detector once per Python process."""
+    """Load a stored detector once per Python process; an overwritten one is loaded again."""
     spark = SparkSession.getActiveSession()
     try:
-        meta = json.loads(spark.read.text(f"{path}/schema").first()["value"])
+        schema = spark.read.text(f"{path}/schema").first()["value"]
     except Exception as e:
         raise FileNotFoundError(f"model artifact not found: {path}") from e
+    # The writer's note of a model holds the time it was written.
+    stored = json.loads(schema)["kind"] in KINDS
+    return _load(path, schema, spark.read.text(f"{path}/model/metadata").first()["value"] if stored else "")
+
+
+@lru_cache(maxsize=8)
+def _load(path: str, schema: str, written: str) -> Detector:
+    meta = json.loads(schema)
     model = KINDS[meta["kind"]].load(f"{path}/model") if meta["kind"] in KINDS else None
     return Detector(meta["kind"], Preprocessor.from_dict(meta["prep"]), model, meta["constant"])
 

@@ -15,11 +15,14 @@ def timeline(spark, sf):
                              primary=V.PRIMARY, early=V.EARLY)
 
 
-@query("alert_timeline", V.TIMELINE_SQL + """select machine, tick, p, status, attack_p, flagged, true_class,
-  true_attack, n_flagged, n_seen, confirmed, level, severity, reason from line""")
+@query("alert_timeline", V.TIMELINE_SQL + """select machine, tick, p, status, attack_p, coalesce(flagged, false) as flagged, true_class,
+  coalesce(true_attack, false) as true_attack, n_flagged, n_seen, confirmed, level, severity, reason from line""")
 def alert_timeline(spark, sf):
+    # A tick without a flow has no class; nothing is flagged and nothing attacks there.
+    no = F.lit(False)
     return timeline(spark, sf).select(
-        "machine", "tick", "p", "status", "attack_p", "flagged", "true_class", "true_attack",
+        "machine", "tick", "p", "status", "attack_p", F.coalesce("flagged", no).alias("flagged"), "true_class",
+        F.coalesce("true_attack", no).alias("true_attack"),
         "n_flagged", "n_seen", "confirmed", "level", "severity", "reason")
 
 
@@ -93,7 +96,7 @@ def level_grid(spark, sf):
     return tl.level_grid(timeline(spark, sf))
 
 
-@query("asset_peak_risk", V.TIMELINE_SQL + "select machine, round(max(severity*10 + p), 5) as peak from line group by 1")
+@query("asset_peak_risk", V.TIMELINE_SQL + "select machine, round(max(severity*10 + coalesce(p, 0)), 5) as peak from line group by 1")
 def asset_peak_risk(spark, sf):
     return tl.asset_peaks(timeline(spark, sf))
 

@@ -126,10 +126,12 @@ LINE = """line as (select *, case level when 'CRITICAL' then 'Machine is ' || lo
   from (select *, (t10 // 10) || '.' || (t10 % 10) || '%' as pct,
     case when confirmed and status <> 'NORMAL' then 'CRITICAL' when confirmed then 'NETWORK ALERT'
       when status = 'HIGH RISK' then 'ALARM' when status = 'EARLY WARNING' then 'WARNING' else 'OK' end as level
-    from (select t.machine, t.tick, round(t.p, 5) as p, cast(round(t.p*1000) as bigint) as t10,
+    from (select *, n_flagged >= 2 as confirmed from (select machine, tick, round(t.p, 5) as p, cast(round(t.p*1000) as bigint) as t10,
       case when t.p >= cast(0.77 as double) then 'HIGH RISK' when t.p >= cast(0.5 as double) then 'EARLY WARNING' else 'NORMAL' end as status,
-      c.event_id, c.true_class, c.true_attack, c.flagged, round(c.attack_p, 5) as attack_p, c.n_flagged, c.n_seen, c.confirmed
-      from tel t join conf c on t.machine = c.machine and t.tick = c.tick)))"""
+      c.event_id, c.true_class, c.true_attack, c.flagged, round(c.attack_p, 5) as attack_p,
+      cast(sum(case when c.flagged then 1 else 0 end) over w as bigint) as n_flagged, count(c.flagged) over w as n_seen
+      from tel t full join flow c using (machine, tick)
+      window w as (partition by machine order by tick rows between 2 preceding and current row)))))"""
 
 
 def with_views(*parts: str) -> str:
