@@ -17,7 +17,9 @@ columns other than the two that are named are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from plantwatch.llm.arrow import BoundedCache, map_arrow, texts
+from plantwatch.llm.arrow import map_arrow, texts
 
 #: A whole number whose bits above these are the number of the task.
 SEQUENCES_PER_TASK = 1 << 32
@@ -139,28 +141,95 @@ class Packer:
             yield self._fill(tokens)
 
 
+#: The steps before the model of a tokenizer whose plain words can skip them.
+LOWERING = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters, which NFC leaves alone, then ASCII marks.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words that are encoded in one call.
+ENCODED_AT_ONCE = 20_000
+
+
+def plain_model(tokenizer_json: str):
+    """The model of a tokenizer for words of lower-case Latin letters, without the steps that leave these alone.
+
+    None if the steps are not the ones that ``PLAIN_WORD`` was written for.
+    """
+    from tokenizers import Tokenizer
+
+    parts = json.loads(tokenizer_json)
+    steps, cuts = ((parts[k] or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    if ([s["type"] for s in steps] != LOWERING or [c["type"] for c in cuts] != ["Split", "ByteLevel"]
+            or cuts[0]["pattern"].get("Regex") != WORD_PATTERN or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]):
+        return None
+    return Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+
+
 def word_encoder(tokenizer_json: str, cached_words: int = CACHED_WORDS) -> Callable[[list[str]], list[bytes]]:
     """Ids of whole texts as little-endian 32-bit bytes, by one look-up per word.
 
     For tokenizers that drop white space, so that the ids of a text are those of its
-    words; a word is encoded once as long as it stays in the cache.
+    words; a word is encoded once as long as it stays in one of two generations of
+    ``cached_words`` words (and those of one batch). Most new words are letters
+    and marks after them: the tokenizer would cut there and lower the letters, so such a word is
+    its lowered letters, which many words share and which go straight to the model, and its marks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    known = BoundedCache(cached_words)
+    tokenizer, plain = Tokenizer.from_str(tokenizer_json), plain_model(tokenizer_json)
+    #: Words met lately, and those of the generation before: a frequent word moves on and is not encoded again.
+    known: dict[bytes, bytes] = {b"": b""}
+    older: dict[bytes, bytes] = {}
+
+    def learn_letters(new: list[str]) -> None:
+        for i in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[i:i + ENCODED_AT_ONCE]
+            found = plain.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            at = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            known.update(zip(map(str.encode, part), map(ids.__getitem__, map(slice, at, at[1:]))))
+
+    def learn(new: list[str]) -> None:
+        for i in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[i:i + ENCODED_AT_ONCE]
+            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+                known[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
+    def recall(words: set[bytes]) -> set[bytes]:
+        """Words that neither generation knows; those of the older one move to the younger."""
+        words = words.difference(known)
+        again = [w for w in words if w in older]
+        known.update(zip(again, map(older.__getitem__, again)))
+        return words.difference(again)
+
+    def meet(new: set[bytes]) -> None:
+        whole, joined, parts = [], [], set()
+        for w, word in zip(new, b"\n".join(new).decode().split("\n")):
+            if plain and (m := PLAIN_WORD.fullmatch(word)):
+                low, marks = m[1].lower().encode(), m[2].encode()
+                parts.add(low)
+                if w != low:
+                    parts.add(marks)
+                    joined.append((w, low, marks))
+            else:
+                whole.append(word)
+        letters = []
+        for w in recall(parts):
+            word = w.decode()
+            (letters if PLAIN_WORD.match(word) else whole).append(word)
+        learn(whole)
+        learn_letters(letters)
+        for w, low, marks in joined:
+            known[w] = known[low] + known[marks]
 
     def encode(batch: list[str]) -> list[bytes]:
-        out = []
-        for text in batch:
-            words = text.encode().split()
-            known.room()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        nonlocal known, older
+        split = [text.encode().split() for text in batch]
+        if len(known) >= cached_words:
+            known, older = {b"": b""}, known
+        meet(recall(set().union(*split)))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode
 

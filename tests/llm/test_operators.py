@@ -616,3 +616,19 @@ def test_line_rules_odd_rows(odd, nothing):
     assert Counter(zip(rows.n_words, rows.word_chars, rows.n_symbols, rows.n_dup_lines, rows.n_repeat_words, rows.base_failed)) == want
     assert rows.content_share.isin([0, 1]).all() and rows[rows.doc_id == 5].kept.all()
     assert line_rules.apply_rules(nothing, line_rules.fit([])).count() == 0
+
+
+def test_word_encoder_equals_the_tokenizer_on_odd_words_and_small_caches():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    with open(queries.TOKENIZER, encoding="utf-8") as f:
+        vocabulary = f.read()
+    bodies = ["ΑΣ Σ. İstanbul ǅ Straße Ünï ª µ º x's don't Foo'S 'S s' ×÷ ÿŸ ÀÖØÞß!~`^_", "a<|endoftext|> <|ENDOFTEXT|> a b c\x85d a_b_ 1a2 ...!?",
+              "é É. \x1c", "", " \n", "A" * 5000 + "!!!", "Foo, foo FOO foo. bar; bar"] * 2
+    tokenizer = Tokenizer.from_str(vocabulary)
+    wanted = [np.array(tokenizer.encode(b, add_special_tokens=False).ids, "<u4").tobytes() for b in bodies]
+    for size in (1, 5, 1_000):
+        encode = packing.word_encoder(vocabulary, size)
+        assert encode(bodies) == wanted
+        assert [encode([b])[0] for b in bodies] == wanted
