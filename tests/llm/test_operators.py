@@ -619,7 +619,6 @@ def test_line_rules_odd_rows(odd, nothing):
 
 
 def test_word_encoder_equals_the_tokenizer_on_odd_words_and_small_caches():
-    import numpy as np
     from tokenizers import Tokenizer
 
     with open(queries.TOKENIZER, encoding="utf-8") as f:
