@@ -32,6 +32,7 @@ from plantwatch.llm.arrow import map_arrow, texts
 
 #: A whole number whose bits above these are the number of the task.
 SEQUENCES_PER_TASK = 1 << 32
+#: Words of one generation of the cache; a worker keeps two.
 CACHED_WORDS = 400_000
 
 
@@ -150,19 +151,22 @@ PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 ENCODED_AT_ONCE = 20_000
 
 
-def plain_model(tokenizer_json: str):
+def plain_model(tokenizer):
     """The model of a tokenizer for words of lower-case Latin letters, without the steps that leave these alone.
 
-    None if the steps are not the ones that ``PLAIN_WORD`` was written for.
+    It shares the model's memory. None if the steps are not the ones that ``PLAIN_WORD`` was written for.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    parts = json.loads(tokenizer_json)
-    steps, cuts = ((parts[k] or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    steps, cuts = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    steps, cuts = steps.get("normalizers", []), cuts.get("pretokenizers", [])
     if ([s["type"] for s in steps] != LOWERING or [c["type"] for c in cuts] != ["Split", "ByteLevel"]
             or cuts[0]["pattern"].get("Regex") != WORD_PATTERN or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]):
         return None
-    return Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return plain
 
 
 def word_encoder(tokenizer_json: str, cached_words: int = CACHED_WORDS) -> Callable[[list[str]], list[bytes]]:
@@ -177,7 +181,8 @@ def word_encoder(tokenizer_json: str, cached_words: int = CACHED_WORDS) -> Calla
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, plain = Tokenizer.from_str(tokenizer_json), plain_model(tokenizer_json)
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    plain = plain_model(tokenizer)
     #: Words met lately, and those of the generation before: a frequent word moves on and is not encoded again.
     known: dict[bytes, bytes] = {b"": b""}
     older: dict[bytes, bytes] = {}
