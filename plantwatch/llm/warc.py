@@ -18,11 +18,16 @@ Defined results: a null payload is empty; a null id or address is left out of it
 rows with equal large payloads all that have the smallest id are responses, so repeated rows
 are too; payloads of unidentified rows are never first; an empty table gives no records. A file
 whose chain breaks (a border that is no record) yields the records before the break.
+
+Both passes split files alike whatever the cores (``fixed_splits``), and the records are written
+before ``read_warc`` returns, so no later evaluation can split otherwise. A split that the first
+pass did not see is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -108,6 +113,26 @@ def parse_head(value: bytes) -> Head | None:
     return Head(len(MAGIC) + stop + 4 + int(size) + 4, stop + 4, fields)
 
 
+@contextmanager
+def fixed_splits(spark: SparkSession):
+    """Within it Spark cuts files every spark.sql.files.maxPartitionBytes, at any number of cores and of files.
+
+    The size is the smaller of that setting and max(opening cost, all bytes / fewest partitions). An
+    opening cost of the setting fixes it. One as the fewest partitions does so too where that cost is
+    held by others: the size is then the setting, or no smaller than any file.
+    """
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    wanted = {"spark.sql.files.openCostInBytes": most, "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Bytes between magics, with file and split; rows of a split come in order, in one task."""
     return (spark.read.option("lineSep", MAGIC).text(path)
@@ -165,7 +190,8 @@ def split_entries(spark: SparkSession, path: str) -> DataFrame:
     A row with place null carries the length of its split. A candidate that starts at the magic
     just before its split's first row has place -len(MAGIC), so its offset is base + place.
     """
-    found = materialise(map_arrow(_lines(spark, path), _chains, "file string, split long, place long, to long"), "chains")
+    with fixed_splits(spark):
+        found = materialise(map_arrow(_lines(spark, path), _chains, "file string, split long, place long, to long"), "chains")
     before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     splits = found.filter("place is null").select("file", "split", F.col("to").alias("length"),
                                                   F.coalesce(F.sum("to").over(before), F.lit(0)).alias("base"))
@@ -232,7 +258,9 @@ def _follow(table: dict):
             if key != now:
                 close()
                 now = key
-                base, entry, end = table.get(key, (0, None, None))
+                if key not in table:
+                    raise RuntimeError(f"split {key[1]} of {key[0]} was not seen by the first pass")
+                base, entry, end = table[key]
                 part, here = base + at - len(MAGIC), False
             if not key[1] and not at:
                 continue  # what precedes the first magic of a file
@@ -316,7 +344,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                      # The last record of a file may be cut short; then it is no record.
                      .join(mine.groupBy("file").agg(F.max("end").alias("_end")), "file").filter(F.col("end") <= F.col("_end")).drop("_end"))
             whole = whole.unionByName(parts)
-        records = map_arrow(whole, _parse, RECORDS)
+        with fixed_splits(spark):
+            records = materialise(map_arrow(whole, _parse, RECORDS), "records", compression="zstd")
         out = records if out is None else out.unionByName(records)
     return out if out is not None else spark.createDataFrame([], RECORDS)
 

@@ -72,11 +72,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     writer = df.write
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

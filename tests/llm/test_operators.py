@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,32 @@ def test_broken_chain_keeps_what_came_before(spark, tmp_path):
     assert sorted(bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()) == [b"abc", b"defg"]
 
 
+def test_splits_do_not_follow_the_cores(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id as page_id", "concat('u', id) as url", "concat(id, repeat('x', 3000)) as html").coalesce(1)
+    path = warc.write_warc(pages, str(tmp_path / "w"))
+    keys = {"spark.sql.files.openCostInBytes": "1k", "spark.sql.files.maxPartitionBytes": "500k"}
+    cores = "spark.sql.files.minPartitionNum"  # what Spark takes the cores for
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        spark.conf.set(cores, "3")
+        got = warc.read_warc(spark, path)
+        splits = {r.split for r in warc.split_entries(spark, path).collect()}
+        assert len(splits) > 1 and spark.conf.get(cores) == "3"
+        spark.conf.set(cores, "7")
+        assert {r.split for r in warc.split_entries(spark, path).collect()} == splits
+        assert sorted(r.record_id for r in got.collect()) == sorted(f"<urn:page:{i}>" for i in range(400))
+    finally:
+        for k in [*keys, cores]:
+            spark.conf.unset(k)
+
+
+def test_an_unknown_split_is_an_error():
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([9]), pa.array([b"x"])], names=["file", "split", "value"])
+    with pytest.raises(RuntimeError, match="split 9"):
+        list(warc._follow({("f", 0): (0, 0, 5)})([batch]))
+
+
 def test_warc_odd_rows(spark, tmp_path):
     rows = [(1, None, "a" * 200), (1, None, "a" * 200), (None, "u", "a" * 200), (2, "u", "a" * 200), (None, None, None), (3, "u", "short"), (4, "u", "short")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
