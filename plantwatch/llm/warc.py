@@ -98,7 +98,7 @@ class Head:
 
 def parse_head(value: bytes) -> Head | None:
     """Headers of a candidate whose bytes follow the magic; None if they are no record's headers."""
-    stop = value.find(b"\r\n\r\n", 0, 1 << 16)
+    stop = value.find(b"\r\n\r\n")
     if stop < 0:
         return None
     fields = {}

@@ -306,6 +306,13 @@ def test_an_unknown_split_is_an_error():
         list(warc._follow({("f", 0): (0, 0, 5)})([batch]))
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(i, "u" * size, f"page {i}") for i, size in enumerate([3, 100_000, 5, 1_000_000, 7])]
+    path = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = {r.record_id: (r.target_uri, bytes(r.payload)) for r in warc.read_warc(spark, path).collect()}
+    assert got == {f"<urn:page:{i}>": (url, html.encode()) for i, url, html in rows}
+
+
 def test_warc_odd_rows(spark, tmp_path):
     rows = [(1, None, "a" * 200), (1, None, "a" * 200), (None, "u", "a" * 200), (2, "u", "a" * 200), (None, None, None), (3, "u", "short"), (4, "u", "short")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
