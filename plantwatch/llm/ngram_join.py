@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -140,14 +141,18 @@ def verify(group: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     owner, which = owner[use], number[which[use]]
     order = np.argsort(which, kind="stable")
     owner, which = owner[order], which[order]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n), np.int64)
     total, columns = int(shared.sum()), max(256, 2_000_000 // n)
     for start in range(0, total, columns):
         lo, hi = np.searchsorted(which, [start, start + columns])
         part = np.zeros((n, min(columns, total - start)), np.float32)
         part[owner[lo:hi], which[lo:hi] - start] = 1
-        common += part @ part.T
-    linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+        common += (part @ part.T).astype(np.int64)
+    # common / union >= p / q in whole numbers, so that exact ties are links.
+    ratio = Fraction(str(threshold)).limit_denominator(10**8)
+    p, q = ratio.numerator, ratio.denominator
+    whole = sizes.astype(np.int64)
+    linked = common * (p + q) >= p * (whole[:, None] + whole[None, :])
     np.fill_diagonal(linked, False)
     if cross:
         linked &= side[:, None] != side[None, :]

@@ -380,6 +380,25 @@ def test_links_equal_all_pairs(spark, docs, monkeypatch, one_block):
     assert sum(v > 0 for v in links.values()) > 50
 
 
+def test_exact_ties_are_links():
+    one = {"ab": 0, "ax": 0, "bb": 0, "bx": 0, "side": 0, "copies": 1}
+    for n in range(1, 401):
+        whole = np.arange(5 * n, dtype=np.uint64)
+        for a, b, tie in ((whole, whole[n:], True), (whole, whole[n + 1:], False),
+                          (whole[:4 * n + n // 2], whole[n // 2:], n % 2 == 0)):
+            group = pd.DataFrame([{**one, "node": b"a", "shingles": a.tobytes()}, {**one, "node": b"b", "shingles": b.tobytes()}])
+            both = len(np.intersect1d(a, b))
+            want = 5 * both >= 4 * (len(a) + len(b) - both)
+            assert (len(ngram_join.verify(group)) == 2) == want, (n, len(a), len(b))
+            assert want or not tie
+
+
+def test_a_tie_is_one_class(spark):
+    text = [f"w{i}" for i in range(34)]  # 30 shingles against the first 24 of them
+    got = ngram_join.join_documents(spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:28]))], "doc_id long, text string"))
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.8, 0.95), (0.5, 0.99)):
         b, r = ngram_join.choose_bands(threshold, recall)
