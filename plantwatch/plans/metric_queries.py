@@ -171,7 +171,7 @@ def bootstrap_counts(spark, sf):
 
 @query("bootstrap_ranking")
 def bootstrap_ranking(spark, sf):
-    return B.ranking_bootstrap(scored(spark, sf), "y", "score", replicates=1000)
+    return B.ranking_bootstrap(scored(spark, sf), "y", "score")
 
 
 FOLDS = """f as (select cast(l_linenumber as bigint) as candidate, cast(('0x' || substr(md5(row_id || ':42'), 1, 8)) as bigint) % 4 as fold,

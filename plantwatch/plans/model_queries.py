@@ -36,17 +36,17 @@ def dummy_classifier(spark, sf):
 @query("logistic")
 def logistic(spark, sf):
     train, val = parts(machines(spark, sf))
-    return M.evaluate(T.fit_logistic(train, "y", NUM, CAT, max_iter=100).score(val), "y", "probability")
+    return M.evaluate(T.fit_logistic(train, "y", NUM, CAT).score(val), "y", "probability")
 
 
 @query("forest")
 def forest(spark, sf):
     train, val = parts(V.vectors(spark, sf))
-    return M.evaluate(T.fit_forest(train, "y", V.FEATURES, trees=40, depth=8).score(val), "y", "probability")
+    return M.evaluate(T.fit_forest(train, "y", V.FEATURES).score(val), "y", "probability")
 
 
 def boosted_fit(df):
-    return T.fit_boosted(df, "y", NUM, CAT, n_estimators=15, max_depth=4, learning_rate=0.3)
+    return T.fit_boosted(df, "y", NUM, CAT)
 
 
 @query("boosted")
@@ -58,14 +58,13 @@ def boosted(spark, sf):
 @query("baseline_models")
 def baseline_models(spark, sf):
     train, val = parts(machines(spark, sf))
-    return T.baselines(train, val, "y", NUM, CAT, trees=20, depth=6)
+    return T.baselines(train, val, "y", NUM, CAT)
 
 
 @query("random_search")
 def random_search(spark, sf):
-    space = {**T.SEARCH_SPACE, "n_estimators": [5, 10], "max_depth": [2, 3, 4]}
     train, _ = parts(machines(spark, sf))
-    return T.random_search(train, "y", "row_id", NUM, CAT, space=space, n_iter=3, refit=False)[0]
+    return T.random_search(train, "y", "row_id", NUM, CAT)[0]
 
 
 @query("final_test")
@@ -82,14 +81,13 @@ def final_predictions(spark, sf):
 def ablation(spark, sf):
     train, val = parts(machines(spark, sf))
     sets = {"FULL": [], "NO_CATEGORICAL": CAT, "NO_QUANTITY": ["l_quantity"]}
-    return T.ablation(train, val, "y", NUM, CAT, sets, trees=20, depth=6)
+    return T.ablation(train, val, "y", NUM, CAT, sets)
 
 
 @query("leave_family_out")
 def leave_family_out(spark, sf):
     df = materialise(V.vectors(spark, sf).withColumn("gid", F.col("row_id")), "vectors")
-    return T.run_study(df, V.FEATURES, {"nine": [9], "five_six": [5, 6]}, [42], "y", "label", "gid", "row_id",
-                       trees=20, depth=6)
+    return T.run_study(df, V.FEATURES, {"nine": [9], "five_six": [5, 6]}, [42], "y", "label", "gid", "row_id")
 
 
 WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": 0.00001, "l_discount": -3.0, "l_tax": 1.5}
@@ -152,5 +150,5 @@ def tree_shap_additivity(spark, sf):
 @query("tree_shap_forest")
 def tree_shap_forest(spark, sf):
     train, val = parts(V.vectors(spark, sf))
-    det = T.fit_forest(train, "y", V.FEATURES, trees=20, depth=6)
+    det = T.fit_forest(train, "y", V.FEATURES)
     return X.global_importance(X.tree_contributions(det, val, "row_id"))

@@ -142,7 +142,7 @@ VALIDATION_ROWS = V.with_views(V.SCORED, "s as (select *, " + SPLIT.format(key="
 def stored_model(spark, sf):
     """Whether a stored and reloaded model gives each row the score it had before."""
     df = machines(spark, sf)
-    det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM, max_iter=20)
+    det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM)
     path = fresh_path(spark, "model")
     det.save(spark, path)
     val = df.filter("split = 'validation'")
@@ -166,7 +166,7 @@ def stream_quarantine(spark, sf):
 def stream_score(spark, sf):
     """Whether the stream gives each row the score and tier that the batch gives it."""
     df = machines(spark, sf)
-    det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM, max_iter=20)
+    det = T.fit_logistic(df.filter("split = 'train'"), "y", NUM)
     src = A.write_table(df, "machines")
     out = fresh_path(spark, "scored")
     columns = ["row_id", "attack_probability", "attack", "classification", "risk_level"]

@@ -148,3 +148,27 @@ def test_batch_calls(spark, data):
         api.predict_rt_iot2022_batch(rows.withColumn("c", F.lit(True)), det)
     with pytest.raises(ValueError, match="empty batch"):
         api.predict_rt_iot2022_batch(rows.limit(0), det)
+
+
+def test_registered_fits_use_the_defaults(spark, sf, monkeypatch):
+    from plantwatch.operators import bootstrap as B
+    from plantwatch.plans import model_queries as Q
+    from plantwatch.plans.catalog import QUERIES
+
+    class Called(Exception):
+        pass
+
+    def stop(*args, **options):
+        raise Called(options)
+
+    for module, name in ((T, "fit_forest"), (T, "fit_logistic"), (T, "fit_boosted"), (T, "baselines"), (T, "ablation"),
+                         (T, "random_search"), (T, "run_study"), (B, "ranking_bootstrap")):
+        monkeypatch.setattr(module, name, stop)
+    for query in ("forest", "logistic", "boosted", "baseline_models", "ablation", "random_search", "leave_family_out",
+                  "bootstrap_ranking", "tree_shap_forest"):
+        with pytest.raises(Called) as e:
+            QUERIES[query](spark, sf)
+        assert e.value.args[0] == {}, query
+    with pytest.raises(Called) as e:
+        Q.boosted_fit(None)
+    assert e.value.args[0] == {}
