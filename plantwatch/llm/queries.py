@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantwatch.llm import language_id, line_rules, mixing, ngram_join, packing, quality, secrets, token_counts, topk, warc
+from plantwatch.llm import (language_id, line_rules, mixing, ngram_join, packing, periodic_runs, prefix_trie, quality, secrets, simhash,
+                            token_counts, topk, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -151,3 +153,72 @@ def op9_top_k(spark, sf_dir):
 def op10_line_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return line_rules.apply_rules(docs, line_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_simhash")
+def op11_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, md5(octet_length(encode(r)) || ':' || r || x) AS id, octet_length(encode(x)) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(r)) || ':' || r || x)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+s AS (
+  SELECT c, count(*) AS own, c - c % 5 AS base, xor(list_reduce(list_transform(str_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda u, i: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END, xor(a, b)),
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 9 AS h FROM t GROUP BY c),
+p AS (SELECT s.*, least(s.h, coalesce(b.own, 0)) AS taken FROM s LEFT JOIN s b ON b.c = s.base),
+r AS (
+  SELECT p.c, t.pos + 1 AS depth, t.id, t.n FROM p JOIN t ON t.c = p.base AND t.pos < p.h
+  UNION ALL SELECT p.c, t.pos - p.h + p.taken + 1, t.id, t.n FROM p JOIN t ON t.c = p.c AND t.pos >= p.h),
+path AS (
+  SELECT c, depth, n, md5(string_agg(id, ',') OVER (PARTITION BY c ORDER BY depth)) AS k FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM p),
+node AS (SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM path GROUP BY k, depth),
+up AS (SELECT node.*, a.k AS pk FROM node LEFT JOIN path a ON a.c = node.conv_id AND a.depth = node.depth - 1),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY pk),
+full_ AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (k)),
+sub AS (
+  SELECT a.k, sum((f.n_convs - 1) * f.n) AS saved_tokens, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM full_ f JOIN path a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY a.k),
+ends AS (
+  SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS d
+  FROM (SELECT c, k FROM path QUALIFY depth = max(depth) OVER (PARTITION BY c)) GROUP BY k)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+  CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends.d, sha256('')) AS ends_sha256
+FROM full_ f JOIN sub USING (k) LEFT JOIN ends USING (k) LEFT JOIN node q ON q.k = f.pk AND q.depth = f.depth - 1
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))
+    return prefix_trie.describe(*prefix_trie.build_trie(*prefix_trie.rebuild(turns)))
+
+
+def planted_loop(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """The loop that the query's contract puts into the end of some texts of n words."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=planted_loop)
+    # Numbers below 2 ** 26 or so: different exponents differ as doubles, equal ones do not.
+    best = F.array_sort("runs", lambda x, y: F.when(x["length"] / x["period"] > y["length"] / y["period"], -1)
+                        .when(x["length"] / x["period"] < y["length"] / y["period"], 1)
+                        .when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int"))
+                        .otherwise(F.signum(x["period"] - y["period"]).cast("int")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                                            r["period"].cast("string")), F.lit("\n"))), "")
+    top = found.withColumn("_best", F.get(best, F.lit(0)))
+    return top.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Words are maximal runs of bytes other than space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
 _RANDOM = np.random.default_rng(20_240_901)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = int(_RANDOM.integers(1, 2**62)) * 2 + 1
@@ -66,6 +71,17 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(out)
 
 
+def byte_pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces of whole words, so that the words of a huge text are never one list."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        gap = _GAP.search(raw, end) if end < len(raw) else None
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     return hash_spans(data, *spans(data))
