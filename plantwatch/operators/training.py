@@ -1,16 +1,19 @@
-"""Detectors on Spark ML: fit, score, store, search, ablate, hold out families."""
+"""Detectors: fit, score, store, search, ablate, hold out families.
+
+Logistic regression is Spark ML's. Boosted trees, and forests on tables whose rows fit one task, are
+grown by ``operators.trees``; a forest on a bigger table is Spark ML's, with a limited depth.
+"""
 
 from __future__ import annotations
 
 import json
 import random
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,10 +22,10 @@ from plantwatch import constants as K
 from plantwatch.operators import errors as E, metrics as M
 from plantwatch.operators.preparation import Preprocessor, with_class_weight
 from plantwatch.operators.splits import stratified_kfold
-from plantwatch.session import materialise
+from plantwatch.operators.trees import Spec, TreeModel, cross_scores, fit_forest_trees, fit_models, load_trees
+from plantwatch.session import fits_one_task, materialise
 
-KINDS = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel,
-         "boosted": GBTClassificationModel}
+KINDS = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel}
 
 # --- Fixed values: search space of the boosted model --------------------------
 SEARCH_SPACE = {
@@ -55,16 +58,21 @@ class Detector:
         if self.kind == "dummy":
             return df.withColumn(name, F.lit(self.constant))
         keep = df.columns
+        if isinstance(self.model, TreeModel):
+            return self.model.add_scores(self.prep.transform(df, "_features"), "_features", name).select(*keep, name)
         out = self.model.transform(self.prep.transform(df, "_features"))
         # A model without probabilities is ranked by its decision value.
         source = "_probability" if "_probability" in out.columns else "_raw"
         return out.withColumn(name, vector_to_array(source)[1]).select(*keep, name)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        meta = {"kind": self.kind, "constant": self.constant, "prep": self.prep.to_dict()}
+        trees = isinstance(self.model, TreeModel)
+        meta = {"kind": self.kind, "constant": self.constant, "prep": self.prep.to_dict(), "trees": trees, "written": uuid.uuid4().hex}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/schema")
-        if self.model is not None:
+        if trees:
+            self.model.save(spark, f"{path}/model")
+        elif self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
 
 
@@ -75,15 +83,16 @@ def load_detector(path: str) -> Detector:
         schema = spark.read.text(f"{path}/schema").first()["value"]
     except Exception as e:
         raise FileNotFoundError(f"model artifact not found: {path}") from e
-    # The writer's note of a model holds the time it was written.
-    stored = json.loads(schema)["kind"] in KINDS
-    return _load(path, schema, spark.read.text(f"{path}/model/metadata").first()["value"] if stored else "")
+    return _load(path, schema)
 
 
 @lru_cache(maxsize=8)
-def _load(path: str, schema: str, written: str) -> Detector:
+def _load(path: str, schema: str) -> Detector:
     meta = json.loads(schema)
-    model = KINDS[meta["kind"]].load(f"{path}/model") if meta["kind"] in KINDS else None
+    if meta["trees"]:
+        model = load_trees(SparkSession.getActiveSession(), meta["kind"], f"{path}/model")
+    else:
+        model = KINDS[meta["kind"]].load(f"{path}/model") if meta["kind"] in KINDS else None
     return Detector(meta["kind"], Preprocessor.from_dict(meta["prep"]), model, meta["constant"])
 
 
@@ -125,15 +134,27 @@ def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: lis
 
 
 def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), trees: int = 200,
-               depth: int = 12, min_leaf: int = 2, seed: int = K.SEED, scale: bool = False) -> Detector:
-    """Class-balanced random forest."""
+               depth: int | None = None, min_leaf: int = 2, seed: int = K.SEED, scale: bool = False) -> Detector:
+    """Random forest, classes balanced in every bootstrap; trees of any depth unless ``depth`` limits it.
+
+    A table beyond one task's rows goes to Spark ML, which balances the classes once and takes
+    ``BIG_FOREST_DEPTH`` where no depth is given.
+    """
     prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(df)
-    rf = RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, maxBins=64,
+    if fits_one_task(df):
+        spec = Spec(kind="forest", n_estimators=trees, max_depth=depth, min_leaf=min_leaf, seed=seed)
+        model = fit_forest_trees(prep.transform(df.filter(F.col(label).isNotNull()), "_features"), "_features", len(prep.names), label, spec)
+        return Detector("forest", prep, model)
+    rf = RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth or BIG_FOREST_DEPTH, maxBins=64,
                                 minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
                                 maxMemoryInMB=1024, **COLS)
     return Detector("forest", prep, _fit(rf, with_class_weight(df, label, "_w"), prep, label, "_w"))
 
 
+#: Spark ML keeps whole levels of trees; deeper ones do not pay on big tables.
+BIG_FOREST_DEPTH = 16
+
+
 def positive_weight(df: DataFrame, label: str) -> float:
     row = df.agg(F.sum((F.col(label) == 0).cast("bigint")), F.sum((F.col(label) == 1).cast("bigint"))).first()
     if not row[1]:
@@ -145,21 +166,13 @@ def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list
                 max_depth: int = 8, learning_rate: float = 0.08, min_child_weight: int = 4, subsample: float = 1.0,
                 colsample_bytree: float = 0.9, gamma: float = 0.5, reg_lambda: float = 1.0, reg_alpha: float = 0.5,
                 seed: int = K.SEED, scale: bool = False, pos_weight: float | None = None) -> Detector:
-    """Gradient-boosted trees; positive rows weigh negatives / positives.
-
-    Spark has no L1/L2 penalty on leaf values: reg_lambda and reg_alpha are accepted
-    so that a search space can be passed through, and do not change the fit.
-    """
-    prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(df)
-    w = positive_weight(df, label) if pos_weight is None else pos_weight
-    gbt = GBTClassifier(labelCol=label, weightCol="_w", maxIter=n_estimators, maxDepth=max_depth,
-                        stepSize=learning_rate, minInstancesPerNode=int(min_child_weight), subsamplingRate=subsample,
-                        featureSubsetStrategy=str(float(colsample_bytree)) if colsample_bytree < 1 else "all",
-                        minInfoGain=gamma / max(df.count(), 1), seed=seed, maxBins=64, maxMemoryInMB=1024,
-                        featuresCol=COLS["featuresCol"], predictionCol=COLS["predictionCol"])
-    weighted = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
-    model = _fit(gbt, weighted, prep, label, "_w")
-    model.setRawPredictionCol(COLS["rawPredictionCol"]).setProbabilityCol(COLS["probabilityCol"])
+    """Gradient-boosted trees with L1 and L2 penalties; positive rows weigh negatives / positives."""
+    known = df.filter(F.col(label).isNotNull())
+    prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(known)
+    w = positive_weight(known, label) if pos_weight is None else pos_weight
+    spec = Spec("boosted", n_estimators, max_depth, learning_rate, min_child_weight, subsample, colsample_bytree, gamma, reg_lambda,
+                reg_alpha, pos_weight=w, seed=seed)
+    model = fit_models(prep.transform(known, "_features"), "_features", len(prep.names), label, [spec])[0]
     return Detector("boosted", prep, model)
 
 
@@ -191,35 +204,29 @@ def sample_candidates(space: dict[str, list], n: int, seed: int) -> list[dict]:
 
 def random_search(df: DataFrame, label: str, key: str, numeric: list[str], categorical: list[str] = (),
                   space: dict[str, list] = SEARCH_SPACE, n_iter: int = 30, folds: int = 4, seed: int = K.SEED,
-                  parallelism: int = 4, refit: bool = True) -> tuple[DataFrame, dict, Detector | None]:
+                  refit: bool = True) -> tuple[DataFrame, dict, Detector | None]:
     """Randomised search scored by average precision over stratified folds.
 
     Returns the history (one row per candidate, best first), the best parameters and
-    the detector refitted on all rows. Fits run side by side; each one is a
-    distributed job over the folds written once to the shared folder.
+    the detector refitted on all rows. All candidates and folds share one table of bins,
+    and the scores of all of them are ranked in one job.
     """
-    data = materialise(stratified_kfold(df.select(key, label, *numeric, *categorical), label, key, folds, seed), "folds")
+    known = df.filter(F.col(label).isNotNull()).select(key, label, *numeric, *categorical)
+    data = materialise(stratified_kfold(known, label, key, folds, seed), "folds")
     candidates = sample_candidates(space, n_iter, seed)
-    pos_weight = positive_weight(df, label)
-
-    def run(task):
-        c, f = task
-        det = fit_boosted(data.filter(F.col("fold") != f), label, numeric, categorical, seed=seed,
-                          pos_weight=pos_weight, **candidates[c])
-        ap = M.ranking(det.score(data).withColumn("part", F.when(F.col("fold") == f, "test").otherwise("train")),
-                       label, "probability", ["part"]).collect()
-        by = {r["part"]: r["average_precision"] for r in ap}
-        return c, f, by.get("test"), by.get("train")
-
-    tasks = [(c, f) for c in range(len(candidates)) for f in range(folds)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(run, tasks))
+    pos_weight = positive_weight(data, label)
+    prep = Preprocessor(list(numeric), list(categorical), scale=False).fit(data)
+    specs = [Spec(**c, pos_weight=pos_weight, seed=seed, fold=f) for c in candidates for f in range(folds)]
+    scores = cross_scores(prep.transform(data, "_features"), "_features", len(prep.names), label, "fold", specs)
+    ranked = M.ranking(scores, "y", "score", ["model", "outside"])
+    ap = F.col("average_precision")
+    table = ranked.groupBy("model").agg(F.max(F.when(F.col("outside"), ap)).alias("test_score"), F.max(F.when(~F.col("outside"), ap)).alias("train_score"))
+    runs = table.select(F.floor(F.col("model") / folds).cast("int").alias("candidate"), F.pmod("model", F.lit(folds)).cast("int").alias("fold"), "test_score", "train_score")
     spark = df.sparkSession
-    scores = spark.createDataFrame(rows, "candidate int, fold int, test_score double, train_score double")
     params = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(candidates)], "candidate int, params string")
-    history = E.cv_history(scores, "candidate", None).join(params, "candidate").orderBy("rank_test_score", "candidate")
+    history = materialise(E.cv_history(runs, "candidate", None).join(params, "candidate"), "search").orderBy("rank_test_score", "candidate")
     best = candidates[history.first()["candidate"]]
-    model = fit_boosted(df, label, numeric, categorical, seed=seed, **best) if refit else None
+    model = fit_boosted(df, label, numeric, categorical, seed=seed, pos_weight=pos_weight, **best) if refit else None
     return history, best, model
 
 

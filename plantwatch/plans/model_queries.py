@@ -26,6 +26,11 @@ def parts(df):
     return df.filter("split = 'train'"), df.filter("split = 'validation'")
 
 
+def evaluated(det, val):
+    """Metrics of one scoring pass."""
+    return M.evaluate(materialise(det.score(val).select("y", "probability"), "scored"), "y", "probability")
+
+
 @query("dummy_classifier", V.with_views(SPLIT_SCORED, "top as (select y as c from s where split = 'train' group by y order by count(*) desc, y limit 1)") +
        f"select tn, fp, fn, tp, {RATES_SQL} from (select {counts_sql('c = 1')} from s, top where split = 'validation')")
 def dummy_classifier(spark, sf):
@@ -36,13 +41,13 @@ def dummy_classifier(spark, sf):
 @query("logistic")
 def logistic(spark, sf):
     train, val = parts(machines(spark, sf))
-    return M.evaluate(T.fit_logistic(train, "y", NUM, CAT).score(val), "y", "probability")
+    return evaluated(T.fit_logistic(train, "y", NUM, CAT), val)
 
 
 @query("forest")
 def forest(spark, sf):
     train, val = parts(V.vectors(spark, sf))
-    return M.evaluate(T.fit_forest(train, "y", V.FEATURES).score(val), "y", "probability")
+    return evaluated(T.fit_forest(train, "y", V.FEATURES), val)
 
 
 def boosted_fit(df):
@@ -52,7 +57,32 @@ def boosted_fit(df):
 @query("boosted")
 def boosted(spark, sf):
     train, val = parts(machines(spark, sf))
-    return M.evaluate(boosted_fit(train).score(val), "y", "probability")
+    return evaluated(boosted_fit(train), val)
+
+
+MODEL_NAMES = ["boosted", "forest", "logistic"]
+
+
+@query("model_invariants", V.with_views(SPLIT_SCORED, "v as (select y from s where split = 'validation')") + " union all ".join(
+    f"select '{m}' as model, count(*) as n_rows, cast(sum(y) as bigint) as positives, true as in_range, true as beats_dummy, true as differs from v"
+    for m in MODEL_NAMES))
+def model_invariants(spark, sf):
+    """Three fits: every validation row is scored once, inside [0, 1], far better than by chance, and no two models agree in all rows."""
+    train, val = parts(machines(spark, sf))
+    fits = [boosted_fit(train), T.fit_forest(train, "y", NUM, CAT), T.fit_logistic(train, "y", NUM, CAT)]
+    scored = val.select("row_id", "y", *NUM, *CAT)
+    for m, d in zip(MODEL_NAMES, fits):
+        scored = d.score(scored, m)
+    scored = materialise(scored.select("row_id", "y", *MODEL_NAMES), "scored")
+    ranked = {m: M.ranking(scored, "y", m).select(F.lit(m).alias("model"), (F.col("roc_auc") > 0.8).alias("beats_dummy")) for m in MODEL_NAMES}
+    out = None
+    for k, m in enumerate(MODEL_NAMES):
+        other = MODEL_NAMES[k - 1]
+        row = scored.agg(F.lit(m).alias("model"), F.count_distinct("row_id").alias("n_rows"), F.sum("y").cast("bigint").alias("positives"),
+                         F.bool_and(F.col(m).between(0, 1)).alias("in_range"), F.bool_or(F.col(m) != F.col(other)).alias("differs"))
+        row = row.join(ranked[m], "model")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("baseline_models")

@@ -52,7 +52,7 @@ def test_tree_contributions(spark, data, kind):
         weights = [0.25] * 4
     else:
         det = T.fit_boosted(data, "y", NUM, n_estimators=4, max_depth=3, gamma=0.0)
-        weights = [2 * w for w in det.model.treeWeights]
+        weights = [1.0] * 4
     nodes = X.model_nodes(det, spark)
     trees = [p.set_index("id").to_dict("index") for _, p in nodes.groupby("tree")]
     some = data.filter("row_id < 12")
