@@ -34,13 +34,21 @@ class BoundedCache(dict):
     """A dict that forgets everything when it holds ``most`` keys.
 
     Natural text repeats its words, so a refill costs little; the bound keeps a
-    worker's memory the same however large the input is.
+    worker's memory the same however large the input is. Keys of more than
+    ``LONGEST_KEY`` characters are not kept.
     """
 
+    LONGEST_KEY = 128
+
     def __init__(self, most: int):
         super().__init__()
         self.most = most
 
+    def keep(self, key: str, value):
+        if len(key) <= self.LONGEST_KEY:
+            self[key] = value
+        return value
+
     def room(self) -> None:
         if len(self) >= self.most:
             self.clear()

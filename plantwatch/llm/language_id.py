@@ -43,18 +43,41 @@ EVIDENCE = 40.0
 HOST_STRENGTH = 5.0
 SIGNAL_STRENGTH = 2.0
 
-HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+OPENER = re.compile(r"<(script|style)\b|<!--", re.I)
+CLOSERS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "": re.compile("-->")}
 TAG = re.compile(r"<[^>]*>")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-f]+|\w+);", re.I)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def without_hidden(html: str) -> str:
+    """A page without scripts, styles and comments, in one pass: a kind whose end is missing once is not looked for again."""
+    out, kept, at, open_ended = [], 0, 0, set()
+    while (found := OPENER.search(html, at)) is not None:
+        kind = (found.group(1) or "").lower()
+        end = None if kind in open_ended else CLOSERS[kind].search(html, found.end())
+        if end is None:
+            open_ended.add(kind)
+            if len(open_ended) == len(CLOSERS):
+                break
+            at = found.start() + 1
+        else:
+            out.append(html[kept:found.start()])
+            kept = at = end.end()
+    out.append(html[kept:])
+    return " ".join(out)
+
+
 def visible(html: str) -> str:
     """Text of a page without markup, scripts, styles and comments."""
-    return ENTITY.sub(" ", TAG.sub(" ", HIDDEN.sub(" ", html)))
+    shown = without_hidden(html)
+    # Behind the last bracket no tag can end.
+    last = shown.rfind(">") + 1
+    return ENTITY.sub(" ", TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 def grams(word: str) -> list[int]:
+    """Buckets of the 1- to 3-grams of a word."""
     marked = f"<{word}>"
     return [zlib.crc32(marked[i:i + n].encode("utf-8", "surrogatepass"), n) % BUCKETS
             for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
@@ -109,7 +132,7 @@ def text_scorer(model: Model, cached_words: int = 300_000):
             got = known.get(word)
             if got is None:
                 ids = grams(word)
-                got = known[word] = (model.table[ids].sum(axis=0), len(ids))
+                got = known.keep(word, (model.table[ids].sum(axis=0), len(ids)))
             total += times * got[0]
             n += times * got[1]
         return total * (min(EVIDENCE, n) / n) if n else None
@@ -125,7 +148,7 @@ def host_of(url: Column) -> Column:
 def evidence(pages: DataFrame, model: Model, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, host, declared (null unless it is one of the languages), scores per language, first guess (-1: none)."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    declared = F.lower(F.regexp_extract(F.coalesce(html_col, F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(html_col, F.lit("")), r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
     source = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("_host"),
                           F.when(declared.isin(model.languages), declared).alias("_declared"), F.col(html_col).alias("_html"))
 

@@ -20,6 +20,7 @@ rows; without labelled documents all lines are content.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame
 
 from plantwatch.llm.arrow import map_arrow, texts
 from plantwatch.llm.quality import training_rows
-from plantwatch.llm.words import SPACE, hash_spans, mix, spans
+from plantwatch.llm.words import PIECE, SPACE, hash_spans, mix, spans
 
 FIT_ROWS = 1_200
 LEAST_SHARE = 0.5
+LINES_AT_ONCE = 1 << 16
 # The base rules.
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -45,13 +47,17 @@ NOTICES = (b"copyright", b"license", b"licence", b"rights reserved", b"cookie",
 
 
 def _flags(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int32)
+    out = np.zeros(256, np.uint8)
     out[list(chars)] = 1
     return out
 
 
 _COUNTED = np.stack([_flags(SYMBOLS), _flags(bytes(range(65, 91))), _flags(b"0123456789"), _flags(b"|"), _flags(b"!"),
-                     (~SPACE).astype(np.int32)])
+                     (~SPACE).astype(np.uint8)])
+
+
+#: Bytes that begin a character of a word: not white space, no later byte of a character.
+_FIRST_BYTES = ((~SPACE) & ((np.arange(256) & 0xC0) != 0x80)).astype(np.uint8)
 
 
 @dataclass
@@ -76,40 +82,65 @@ def repeated_words(hashes: np.ndarray) -> np.ndarray:
     if len(hashes) < 4:
         return out
     window = mix(mix(mix(hashes[:-2]) + hashes[1:-1]) + hashes[2:])
-    _, which, counts = np.unique(window, return_inverse=True, return_counts=True)
-    again = counts[which] > 1
+    ordered = np.sort(window)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    again = np.zeros(len(window), bool)
+    if len(twice):
+        for i in range(0, len(window), PIECE):
+            part = window[i:i + PIECE]
+            again[i:i + PIECE] = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
     out[:-2] |= again
     out[1:-1] |= again
     out[2:] |= again
     return out
 
 
+def _line_sums(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bytes of each counted kind from each line's first byte to the next one's, some lines at a time."""
+    out = np.zeros((len(_COUNTED), len(first)), np.int64)
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + PIECE, "right")) - 1)
+        stop = first[j] if j < len(first) else len(data)
+        if stop - first[i] <= 2 * PIECE:
+            part = data[first[i]:stop]
+            for k, flags in enumerate(_COUNTED):
+                out[k, i:j] = np.add.reduceat(flags[part], first[i:j] - first[i], dtype=np.int64)
+        else:
+            # One line (j = i + 1, or short ones before a huge one): count it byte by byte value.
+            for line in range(i, j):
+                end = first[line + 1] if line + 1 < len(first) else len(data)
+                values = sum((np.bincount(data[a:min(a + PIECE, end)], minlength=256) for a in range(first[line], end, PIECE)), np.zeros(256, np.int64))
+                out[:, line] = _COUNTED @ values
+        i = j
+    return out
+
+
 def sheet(text: str) -> Sheet:
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     start, end = spans(data)
     repeats = repeated_words(hash_spans(data, start, end))
     # Bytes of words that begin a character.
-    word_chars = int(((~SPACE[data]) & ((data & 0xC0) != 0x80)).sum())
+    word_chars = sum(int(_FIRST_BYTES[data[i:i + PIECE]].sum(dtype=np.int64)) for i in range(0, len(data), PIECE))
     cuts = np.flatnonzero(data == 10)
     first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
     words = np.searchsorted(start, last) - np.searchsorted(start, first)
-    lines = raw.split(b"\n")
+    full = np.flatnonzero(words)
+    again = np.zeros(len(words), bool)
     seen: set[bytes] = set()
-    again = np.zeros(len(lines), bool)
-    for i in np.flatnonzero(words):
-        line = lines[i]
-        if line in seen:
+    for i in full:
+        line = raw[first[i]:last[i]]
+        # Long lines are told apart by a digest.
+        key = line if len(line) <= 64 else hashlib.blake2b(line, digest_size=16).digest() + b"\n"
+        if key in seen:
             again[i] = True
         else:
-            seen.add(line)
+            seen.add(key)
+    del seen
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    use = words > 0
-    full = np.flatnonzero(use)
-    sums = np.zeros((len(_COUNTED), len(data) + 1), np.int32)
-    for k, flags in enumerate(_COUNTED):
-        np.cumsum(flags[data], out=sums[k, 1:])
-    inside = sums[:, last[full]] - sums[:, first[full]]
+    inside = _line_sums(data, first[full])
     size = np.maximum(1, inside[5])
     share = inside[:3] / size
     covered = np.concatenate([[0], np.cumsum(repeats)])
@@ -128,7 +159,7 @@ def sheet(text: str) -> Sheet:
     n = words[full]
     features = np.stack([np.ones(len(full), bool), share[0] > .02, share[0] > .08, share[1] > .3, share[1] > .7, share[2] > .1, share[2] > .4,
                          inside[3] >= 2, inside[4] >= 2, n <= 3, (n >= 4) & (n <= 8), n > 80, np.isin(tail, list(b".!?:;")), again[full],
-                         in_windows > .5, marked, noticed], axis=1).astype(np.float64)
+                         in_windows > .5, marked, noticed], axis=1)
     return Sheet(len(start), word_chars, n_symbols, int(again.sum()), int(repeats.sum()), features, n)
 
 
@@ -141,22 +172,26 @@ class Field:
 
 def viterbi(field: Field, features: np.ndarray) -> np.ndarray:
     """Best labels of a sequence of lines."""
-    scores = (features @ field.line).tolist()
-    if not scores:
+    n = len(features)
+    if not n:
         return np.zeros(0, bool)
     (s00, s01), (s10, s11) = field.step.tolist()
-    a, b = scores[0]
-    back = []
-    for x, y in scores[1:]:
-        to0, to1 = a + s00 < b + s10, a + s01 < b + s11
-        back.append((to0, to1))
-        a, b = (b + s10 if to0 else a + s00) + x, (b + s11 if to1 else a + s01) + y
-    label = a < b
-    out = [label]
-    for to0, to1 in reversed(back):
-        label = to1 if label else to0
-        out.append(label)
-    return np.array(out[::-1], bool)
+    back0, back1 = bytearray(), bytearray()
+    a = b = None
+    for i in range(0, n, LINES_AT_ONCE):
+        for x, y in (features[i:i + LINES_AT_ONCE].astype(np.float64) @ field.line).tolist():
+            if a is None:
+                a, b = x, y
+                continue
+            to0, to1 = a + s00 < b + s10, a + s01 < b + s11
+            back0.append(to0)
+            back1.append(to1)
+            a, b = (b + s10 if to0 else a + s00) + x, (b + s11 if to1 else a + s01) + y
+    out = np.zeros(n, bool)
+    label = out[-1] = a < b
+    for i in range(n - 2, -1, -1):
+        label = out[i] = bool(back1[i] if label else back0[i])
+    return out
 
 
 def _log_add(a: np.ndarray, axis: int) -> np.ndarray:

@@ -7,20 +7,21 @@ node of the graph, so exact copies are never paired with each other.
 1. Every node gets MinHash values, cut into bands; rows and bands are chosen for the target
    recall at the threshold (``choose_bands``). Band hashes are shuffled; a bucket ties its
    nodes to its smallest one, and ties make candidate families by connected components.
-2. The texts of families of two and more nodes, and only those, are turned into full sets.
-   Inside a family all pairs are verified on the full sets by matrix products. A big family is
-   cut into blocks of about 2 * sqrt(nodes), and pairs of blocks are the units of work; blocks
-   whose set sizes rule out a link are not paired. A task emits link counts and one edge per
-   node, never the pairs.
+2. The texts of families of two and more nodes, and only those, are turned into full sets. In a
+   family of one block (``ONE_BLOCK`` nodes) all pairs are verified on the full sets. A bigger one,
+   often a chain or texts around a common passage, is cut into blocks of about 2 * sqrt(nodes);
+   pairs of blocks are the units of work, blocks whose set sizes rule out a link are not paired, and
+   in a unit the pairs that share a band hash are verified, no others. A task emits link counts and
+   one edge per node, never the pairs.
 3. Classes are the connected components of the verified links.
 
-Any two linked nodes that share one band are in one family, as are all whose ties connect, so
-the miss rate is below that of the bands. No bucket, family or number of partners is capped.
+Any two linked nodes that share one band are in one family and are verified, so the miss rate is
+that of the bands at most. No bucket, family or number of partners is capped.
 
 Defined results: a null or empty text has no shingles, is linked to nothing and is a class of
 its own; a text of fewer than five words has one shingle; repeated rows are exact copies; a
-class is named by its smallest doc_id, null if it has none; nodes whose rows all lack an id
-cannot be looked up again and are joined to their exact copies only; an empty table gives no rows.
+class is named by its smallest doc_id, null if it has none; rows without an id are joined like any
+other, their texts are found again by hash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ THRESHOLD = 0.8
 WORDS = 5
 RECALL = 0.9999
 MOST_HASHES = 192
+#: Verifying one pair by itself costs about as much as this many pairs of a matrix product.
+PAIR_COST = 40
 #: Families of at most this many nodes are one block.
 ONE_BLOCK = 160
 
@@ -115,25 +118,38 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     return map_arrow(source, run, SIGNED)
 
 
-LINKS = "node binary, links long, docs long, root binary"
-
-
-def verify(group: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links inside a block or between the two blocks of a pair, on full shingle sets.
-
-    Intersections are products of 0/1 matrices over the shingles that occur twice or more,
-    some thousands of columns at a time.
-    """
-    rows = group.drop_duplicates("node")
-    one = group.iloc[0]
-    cross = (one["ab"], one["ax"]) != (one["bb"], one["bx"])
-    if len(rows) < 2 or cross and rows["side"].nunique() < 2:
-        return pd.DataFrame({"node": [], "links": [], "docs": [], "root": []})
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    side = rows["side"].to_numpy()
+def sharing(bands: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a < b) that have a band hash in common, each once; of different sides if given."""
+    n = len(bands)
+    found = []
+    for column in bands.T:
+        order = np.argsort(column, kind="stable")
+        _, first, counts = np.unique(column[order], return_index=True, return_counts=True)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        end = np.repeat(first + counts, counts)
+        live, d = np.arange(n), 1
+        while True:
+            live = live[live + d < end[live]]
+            if not len(live):
+                break
+            x, y = order[live], order[live + d]
+            if side is not None:
+                other = side[x] != side[y]
+                x, y = x[other], y[other]
+            found.append(np.minimum(x, y) * n + np.maximum(x, y))
+            d += 1
+        if sum(map(len, found)) > n * n:
+            found = [np.unique(np.concatenate(found))]
+    every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return every // n, every % n
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as products of 0/1 matrices over the shingles that occur twice
+    or more, some thousands of columns at a time."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], float)
-    owner = np.repeat(np.arange(n), sizes.astype(int))
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     found, which, counts = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     shared = counts > 1
     number = np.cumsum(shared) - 1
@@ -148,11 +164,43 @@ def verify(group: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
         part = np.zeros((n, min(columns, total - start)), np.float32)
         part[owner[lo:hi], which[lo:hi] - start] = 1
         common += (part @ part.T).astype(np.int64)
+    return common
+
+
+LINKS = "node binary, links long, docs long, root binary"
+
+
+def verify(group: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Links inside a block or between the two blocks of a pair, on full shingle sets.
+
+    Where rows bring their band hashes, only pairs that share one are verified: one by one if
+    they are few of all pairs, else by the products that give all of them.
+    """
+    rows = group.drop_duplicates("node")
+    one = group.iloc[0]
+    cross = (one["ab"], one["ax"]) != (one["bb"], one["bx"])
+    if len(rows) < 2 or cross and rows["side"].nunique() < 2:
+        return pd.DataFrame({"node": [], "links": [], "docs": [], "root": []})
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    side = rows["side"].to_numpy()
+    n = len(sets)
+    whole = np.array([len(s) for s in sets], np.int64)
+    asked = None if rows["bands"].iloc[0] is None else sharing(np.stack(rows["bands"].to_numpy()), side if cross else None)
     # common / union >= p / q in whole numbers, so that exact ties are links.
     ratio = Fraction(str(threshold)).limit_denominator(10**8)
     p, q = ratio.numerator, ratio.denominator
-    whole = sizes.astype(np.int64)
-    linked = common * (p + q) >= p * (whole[:, None] + whole[None, :])
+    if asked is not None and len(asked[0]) * PAIR_COST < n * n:
+        a, b = asked
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+        hit = common * (p + q) >= p * (whole[a] + whole[b])
+        linked = np.zeros((n, n), bool)
+        linked[a[hit], b[hit]] = linked[b[hit], a[hit]] = True
+    else:
+        linked = common_counts(sets) * (p + q) >= p * (whole[:, None] + whole[None, :])
+        if asked is not None:
+            mask = np.zeros((n, n), bool)
+            mask[asked[0], asked[1]] = mask[asked[1], asked[0]] = True
+            linked &= mask
     np.fill_diagonal(linked, False)
     if cross:
         linked &= side[:, None] != side[None, :]
@@ -211,19 +259,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # Rows of one node have equal bands and set sizes; any copy of them will do.
     nodes = materialise(
         signed.filter(F.col("_node").isNotNull()).groupBy("_node")
-        .agg(F.min(F.when(F.col("_doc").isNotNull(), F.struct("_doc", "_text_key"))).alias("_first"),
+        .agg(F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_text_key")).alias("_first"),
              F.count(F.lit(1)).alias("_copies"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
         .select("_node", F.col("_first._doc").alias("_rep"), F.col("_first._text_key").alias("_text_key"), "_copies", "_size", "_bands"),
         "nodes")
     # A band's number is part of its hash, so the hash alone is the key of a bucket.
-    keys = nodes.filter(F.col("_rep").isNotNull()).select("_node", F.explode("_bands").alias("_key"))
+    keys = nodes.select("_node", F.explode("_bands").alias("_key"))
     buckets = (keys.groupBy("_key").agg(F.min("_node").alias("_low"), F.count(F.lit(1)).alias("_n"))
                .filter("_n > 1").drop("_n"))
     ties = keys.join(buckets, "_key").filter("_node <> _low").select(F.col("_node").alias("a"), F.col("_low").alias("b"))
     family = components(ties)
     # Families and their blocks.
-    member = materialise(family.join(nodes.drop("_bands"), F.col("node") == F.col("_node"))
-                         .select("component", "node", "_rep", "_text_key", "_copies", "_size",
+    member = materialise(family.join(nodes, F.col("node") == F.col("_node"))
+                         .select("component", "node", "_rep", "_text_key", "_copies", "_size", "_bands",
                                  F.floor(F.log(F.col("_size").cast("double")) / F.lit(-math.log(threshold))).cast("int").alias("_band")),
                          "members")
     big = (member.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_s"),
@@ -235,11 +283,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     units = placed.withColumn("_unit", F.explode(_units()))
 
     # Full sets, once per node, from the texts of family members.
-    wanted = member.select(F.col("_rep").alias("_doc"), F.col("_text_key").alias("_want"), F.col("node").alias("_name"))
+    wanted = member.filter(F.col("_rep").isNotNull()).select(F.col("_rep").alias("_doc"), F.col("_text_key").alias("_want"), F.col("node").alias("_name"))
     bodies = docs.select(F.col(id_col).cast("long").alias("_doc"), F.unhex(F.md5(F.col(text_col))).alias("_text_key"), F.col(text_col).alias("_text"))
     # The list grows with the corpus, so it is never broadcast; texts move once, by the same plan at every size.
     chosen = bodies.join(wanted.hint("merge"), (bodies["_doc"] == wanted["_doc"]) & (bodies["_text_key"] == wanted["_want"])).select("_name", "_text")
 
+    unnamed = member.filter(F.col("_rep").isNull()).select(F.col("_text_key").alias("_want"), F.col("node").alias("_name"))
+    if not unnamed.isEmpty():
+        # Many rows may have one of these texts; copies go before the shuffle.
+        without = bodies.filter(F.col("_doc").isNull()).groupBy("_text_key").agg(F.first("_text").alias("_text"))
+        chosen = chosen.unionByName(without.join(unnamed.hint("merge"), without["_text_key"] == unnamed["_want"]).select("_name", "_text"))
+
     def full_sets(batches):
         for b in batches:
             made = [shingles(t, WORDS).tobytes() for i in range(0, b.num_rows, 256) for t in texts(b.column("_text").slice(i, 256))]
@@ -247,7 +301,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     sets = map_arrow(chosen, full_sets, "_name binary, shingles binary")
     work = units.join(sets, units["node"] == sets["_name"]).select(
-        "component", "_unit.ab", "_unit.ax", "_unit.bb", "_unit.bx", "_unit.side", "node", F.col("_copies").alias("copies"), "shingles")
+        "component", "_unit.ab", "_unit.ax", "_unit.bb", "_unit.bx", "_unit.side", "node", F.col("_copies").alias("copies"),
+        F.when(F.col("_k").isNotNull(), F.col("_bands")).alias("bands"), "shingles")
     verified = materialise(
         work.groupBy("component", "ab", "ax", "bb", "bx").applyInPandas(lambda g: verify(g, threshold), LINKS),
         "verified")
@@ -282,26 +337,27 @@ def join_documents(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, of each class only the document with the smallest id.
 
-    Texts are not shuffled for the decision; the ids to drop are joined against the rows. Rows
-    without an id or without words stay; of repeated rows (same id and text) one stays.
+    Texts are not shuffled for the decision; the keys (id and hash of text) to drop are joined
+    against the rows. Rows without words stay; of repeated rows (same id and text) one stays; a row
+    without an id stays only in a class without ids, there the one with the smallest hash.
     """
     rows, nodes = similar(docs, id_col, text_col, **options)
-    info = classes_of_nodes(nodes)
-    ruled = rows.filter(F.col("_doc").isNotNull() & F.col("_node").isNotNull()).join(info.select("_node", "class_id"), "_node")
-    drop = ruled.filter("_doc <> class_id").select("_doc", "_text_key").distinct()
-    # One id may stand beside several texts of its own class; of those the smallest hash stays.
-    kept = ruled.filter("_doc = class_id").groupBy("class_id").agg(F.min("_text_key").alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    twice = materialise(kept.filter("_n > 1").select(F.col("class_id").alias("_again"), "_stays"), "repeated")
-    columns = docs.columns
-    rows_ = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_key"))
-    left = rows_.join(drop.hint("merge"), (rows_["_id"] == drop["_doc"]) & (rows_["_key"] == drop["_text_key"]), "left_anti")
+    keys = (rows.filter(F.col("_node").isNotNull()).groupBy("_doc", "_text_key", "_node").agg(F.count(F.lit(1)).alias("_n"))
+            .join(nodes.select("_node", "_class"), "_node"))
+    order = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_text_key")
+    first = keys.groupBy("_class").agg(F.min(order).alias("_stays"))
+    judged = materialise(keys.join(first, "_class").select("_doc", "_text_key", (F.col("_doc").eqNullSafe(F.col("_stays._doc")) & (F.col("_text_key") == F.col("_stays._text_key"))).alias("_stay"), "_n"), "judged")
+    drop = judged.filter(~F.col("_stay"))
+    twice = judged.filter(F.col("_stay") & (F.col("_n") > 1)).select("_doc", "_text_key", F.lit(True).alias("_again"))
+    rows_ = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_key"))
+
+    def same(other: DataFrame) -> Column:
+        return rows_["_id"].eqNullSafe(other["_doc"]) & rows_["_key"].eqNullSafe(other["_text_key"])
+
+    left = rows_.join(drop.hint("merge"), same(drop), "left_anti")
     if twice.isEmpty():
         return left.select("_row.*")
-    marked = left.join(twice, left["_id"] == twice["_again"], "left")
+    marked = left.join(twice.hint("merge"), same(twice), "left")
     single = marked.filter(F.col("_again").isNull()).select("_row")
-    again = marked.filter(F.col("_key") == F.col("_stays")).dropDuplicates(["_id"]).select("_row")
-    # Other classes and rows without words may use the same id; they are not copies.
-    mine = ruled.filter("_doc = class_id").select("_doc", "_text_key").distinct()
-    others = (marked.filter(F.col("_again").isNotNull())
-              .join(mine, (marked["_id"] == mine["_doc"]) & (marked["_key"].eqNullSafe(mine["_text_key"])), "left_anti").select("_row"))
-    return single.unionByName(again).unionByName(others).select("_row.*")
+    again = marked.filter(F.col("_again")).dropDuplicates(["_id", "_key"]).select("_row")
+    return single.unionByName(again).select("_row.*")

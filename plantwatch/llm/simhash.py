@@ -97,9 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             marks, held, counts, total = [], [], [], 0
             for raw in b.column("_text"):
                 mine = 0
-                # The bits of a huge text are counted as it is read.
-                parts = shingle_hashes(raw.as_py() or b"")
-                for h in parts:
+                for h in shingle_hashes(raw.as_py() or b""):
                     held.append(h)
                     mine += len(h)
                 counts.append(mine)

@@ -6,7 +6,9 @@ vocabulary; it depends on the prefix alone, so words that share a prefix share i
 Nodes where a word ends store the number of pieces of the best cut.
 
 A task keeps its trie and word counts from batch to batch and drops them when they reach a
-bound, so memory does not grow with the input; nothing is shuffled.
+bound, so memory does not grow with the input; nothing is shuffled. A word of more than
+``LONGEST_IN_TRIE`` characters shares no more than its head with others: it is scored by the same
+rule in a window as wide as the longest piece, without nodes, and its count is not kept.
 
 The vocabulary is that of a tokenizer file. Piece probabilities are fixed by rank
 (probability falls as 1 / (rank + 1)); nothing is learned. Characters no piece covers cost their
@@ -30,6 +32,9 @@ from plantwatch.llm.arrow import map_arrow, texts
 MARK = "▁"
 MOST_NODES = 1_000_000
 MOST_WORDS = 400_000
+LONGEST_IN_TRIE = 4096
+#: Most characters of the words whose counts a task keeps.
+MOST_CHARACTERS = 30_000_000
 
 
 @dataclass(frozen=True)
@@ -111,6 +116,28 @@ class Trie:
         return self.count[at]
 
 
+def windowed_tokens(vocabulary: Vocabulary, word: str) -> int:
+    """Pieces of the best cut of a word, as a trie finds it, keeping scores for one longest piece only."""
+    v, text = vocabulary, MARK + word
+    wide = max((len(p) for p in v.tails), default=1) + 1
+    score, count = [0.0] * wide, [0] * wide
+    for end in range(1, len(text) + 1):
+        char = text[end - 1]
+        bytes_, last = len(char.encode("utf-8", "surrogatepass")), (end - 1) % wide
+        best, fewest = score[last] + bytes_ * v.byte, count[last] + bytes_
+        for start in range(end - 1, max(-1, end - wide), -1):
+            piece = text[start:end]
+            if piece not in v.tails:
+                break
+            p = v.pieces.get(piece)
+            if p is not None:
+                at = start % wide
+                if score[at] + p > best or score[at] + p == best and count[at] + 1 < fewest:
+                    best, fewest = score[at] + p, count[at] + 1
+        score[end % wide], count[end % wide] = best, fewest
+    return count[len(text) % wide]
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_tokens."""
     # Some 32,000 pieces; the size is fixed by the file, not by the data.
@@ -118,19 +145,26 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        trie, known = Trie(shared.value), {}
+        trie, known, held = Trie(shared.value), {}, 0
         for b in batches:
             words, tokens = [], []
             for i in range(0, b.num_rows, 256):
                 for text in texts(b.column(text_col).slice(i, 256)):
-                    seen = Counter(text.encode().split())
-                    if len(known) > MOST_WORDS:
-                        known.clear()
-                    for w in seen:
-                        if w not in known:
-                            known[w] = trie.tokens(w.decode())
+                    seen, total = Counter(text.encode().split()), 0
+                    for w, n in seen.items():
+                        got = known.get(w)
+                        if got is None:
+                            if len(w) > LONGEST_IN_TRIE:
+                                got = windowed_tokens(shared.value, w.decode())
+                            else:
+                                if len(known) > MOST_WORDS or held > MOST_CHARACTERS:
+                                    known.clear()
+                                    held = 0
+                                got = known[w] = trie.tokens(w.decode())
+                                held += len(w)
+                        total += n * got
                     words.append(seen.total())
-                    tokens.append(sum(n * known[w] for w, n in seen.items()))
+                    tokens.append(total)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
                                              names=[id_col, "n_words", "n_tokens"])
 

@@ -381,7 +381,7 @@ def test_links_equal_all_pairs(spark, docs, monkeypatch, one_block):
 
 
 def test_exact_ties_are_links():
-    one = {"ab": 0, "ax": 0, "bb": 0, "bx": 0, "side": 0, "copies": 1}
+    one = {"ab": 0, "ax": 0, "bb": 0, "bx": 0, "side": 0, "copies": 1, "bands": None}
     for n in range(1, 401):
         whole = np.arange(5 * n, dtype=np.uint64)
         for a, b, tie in ((whole, whole[n:], True), (whole, whole[n + 1:], False),
@@ -399,6 +399,61 @@ def test_a_tie_is_one_class(spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got.collect()} == {(1, 1, 1), (2, 1, 1)}
 
 
+def test_rows_without_an_id_are_joined(spark):
+    words_ = [f"w{i}" for i in range(80)]
+    near = [" ".join([*words_, *extra]) for extra in ([], ["more"], ["more", "still"])]
+    schema = "doc_id long, text string"
+    for ids in ((1, None, None), (None, None, None), (7, 3, None), (None, 5, 5)):
+        df = spark.createDataFrame([*zip(ids, near), (None, near[2]), (None, None), (None, "")], schema)
+        got = ngram_join.join_documents(df).collect()
+        least = min((i for i in ids if i is not None), default=None)
+        inside = [r for r in got if r.n_links]
+        assert len(inside) == 4 and {r.class_id for r in inside} == {least} and {r.n_links for r in inside} == {3}
+        kept = [r for r in ngram_join.keep_one(df).collect() if r.text]
+        assert len(kept) == 1 and kept[0].doc_id == least
+        assert ngram_join.keep_one(df).count() == 3
+
+
+def chain(n, words_=260, step=20):
+    """Texts of which only neighbours are alike: each drops the first words of the one before."""
+    stream = [f"c{i}" for i in range(words_ + n * step)]
+    return [" ".join(stream[i * step:i * step + words_]) for i in range(n)]
+
+
+def around_a_passage(n, passage=150, rest=110):
+    block = [f"p{i}" for i in range(passage)]
+    return [" ".join([*block, *[f"q{k}x{i}" for i in range(rest)]]) for k in range(n)]
+
+
+@pytest.mark.parametrize("texts", [chain(400), around_a_passage(400)])
+def test_big_families_verify_pairs_that_share_a_band(texts):
+    hasher = ngram_join.BandHasher(*ngram_join.choose_bands())
+    sets = [words.shingles(t) for t in texts]
+    bands = np.stack([hasher(s) for s in sets])
+    a, b = ngram_join.sharing(bands)
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (bands[i] == bands[j]).any()}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) < len(sets) ** 2 / 4
+    group = pd.DataFrame([{"ab": 0, "ax": 0, "bb": 0, "bx": 0, "side": 0, "copies": 1, "node": b"%d" % i, "shingles": s.tobytes(), "bands": k}
+                          for i, (s, k) in enumerate(zip(sets, bands))])
+    links = ngram_join.verify(group)
+    linked = {(i, j) for i, j in want if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert links["links"].sum() == 2 * len(linked)
+
+
+def test_planted_pairs_at_the_threshold_are_found():
+    rng = np.random.default_rng(11)
+    hasher = ngram_join.BandHasher(*ngram_join.choose_bands())
+    found = 0
+    for _ in range(2000):
+        n = int(rng.integers(60, 600))
+        both = int(np.ceil(n * rng.uniform(0.80, 0.82)))
+        pool = rng.integers(0, 2**63, n, dtype=np.uint64)
+        cut = int(rng.integers(0, n - both + 1))
+        a, b = pool[:both + cut], np.concatenate([pool[:both], pool[both + cut:]])
+        found += bool((hasher(a) == hasher(b)).any())
+    assert found >= 1997
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.8, 0.95), (0.5, 0.99)):
         b, r = ngram_join.choose_bands(threshold, recall)
@@ -684,3 +739,85 @@ def test_word_encoder_equals_the_tokenizer_on_odd_words_and_small_caches():
         encode = packing.word_encoder(vocabulary, size)
         assert encode(bodies) == wanted
         assert [encode([b])[0] for b in bodies] == wanted
+
+
+# Long input ----------------------------------------------------------------------------------
+
+def peak_mb(code):
+    """Memory that a fresh Python process needs beyond its imports and its input."""
+    import subprocess
+    import sys
+    probe = ("import resource, sys; sys.path.insert(0, %r)\nuse = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\n" % sys.path[0]) + code
+    return float(subprocess.run([sys.executable, "-c", probe], capture_output=True, text=True, check=True, timeout=300,
+                                env={**__import__("os").environ, "PYTHONPATH": ":".join(sys.path)}).stdout)
+
+
+def test_a_long_word_is_scored_in_a_window(monkeypatch, spark):
+    v = token_counts.rank_vocabulary(["▁a", "b", "ab", "abc", "▁", "c", "é", "bb"])
+    rng = random.Random(5)
+    for n in (1, 2, 3, 10, 200, 900):
+        w = "".join(rng.choice("abcéx") for _ in range(n))
+        assert token_counts.windowed_tokens(v, w) == token_counts.Trie(v).tokens(w)
+    docs = spark.createDataFrame([(1, "abc " * 5 + "x" * 6000 + " " + "x" * 6000), (2, "abcx")], "doc_id long, text string")
+    long_ = token_counts.count_tokens(docs, queries.PIECES).collect()
+    monkeypatch.setattr(token_counts, "LONGEST_IN_TRIE", 10**9)
+    assert long_ == token_counts.count_tokens(docs, queries.PIECES).collect()
+
+
+def test_a_long_word_needs_no_memory():
+    assert peak_mb("""
+from plantwatch.llm import token_counts as t
+v = t.rank_vocabulary(["ab", "b", "a"])
+w = "ab" * 1_000_000
+before = use()
+assert t.windowed_tokens(v, w) > 0
+print(use() - before)""") < 60
+
+
+@pytest.mark.parametrize("piece", ["<", "<!--", "<script", "<style ", "<script><!--", "&a", "<html "])
+def test_unclosed_markup_takes_linear_time(piece):
+    import time
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    language_id.visible(page)
+    assert time.perf_counter() - start < 2
+
+
+def test_visible_text_of_broken_pages():
+    hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+    tag = re.compile(r"<[^>]*>")
+    rng = random.Random(4)
+    parts = ["<script>", "</script >", "</SCRIPT>", "<style x>", "</style>", "<!--", "-->", "<p>", "<", ">", " text ", "<scripty>", "&amp;", "\n", "<!-->"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = language_id.ENTITY.sub(" ", tag.sub(" ", hidden.sub(" ", page)))
+        assert language_id.visible(page) == want, page
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    for k in range(60):
+        text = "".join(rng.choice(["word ", "Ab ", "#| ", "\n", "\n\n", "é", "same line\n", " ", "x" * 50]) for _ in range(rng.choice([0, 3, 40, 300])))
+        whole = line_rules.sheet(text)
+        field = line_rules.Field(np.random.default_rng(k).normal(size=(17, 2)), np.random.default_rng(k).normal(size=(2, 2)))
+        labels = line_rules.viterbi(field, whole.features)
+        with monkeypatch.context() as m:
+            m.setattr(line_rules, "PIECE", 16)
+            m.setattr(line_rules, "LINES_AT_ONCE", 2)
+            small = line_rules.sheet(text)
+            assert (line_rules.viterbi(field, small.features) == labels).all()
+        assert (small.features == whole.features).all() and (small.words == whole.words).all()
+        assert (small.n_words, small.word_chars, small.n_symbols, small.n_dup_lines, small.n_repeat_words) == (
+            whole.n_words, whole.word_chars, whole.n_symbols, whole.n_dup_lines, whole.n_repeat_words)
+
+
+def test_a_long_text_needs_some_times_its_size():
+    mb = peak_mb("""
+import numpy as np
+from plantwatch.llm import line_rules as r
+text = "".join(f"word{i} stands in line {i % 977}, and so on.\\n" for i in range(500_000))
+field = r.Field(np.zeros((17, 2)), np.zeros((2, 2)))
+before = use()
+r.content_share(field, r.sheet(text))
+print((use() - before) / (len(text) / 1e6))""")
+    assert mb < 16  # was over 60
