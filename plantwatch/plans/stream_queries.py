@@ -14,7 +14,7 @@ from plantwatch.plans.model_queries import machines
 from plantwatch.plans.profile_queries import NUM
 from plantwatch.plans.registry import query
 from plantwatch.plans.timeline_queries import EVENT_TEXT
-from plantwatch.session import fresh_path
+from plantwatch.session import fresh_path, materialise, rows_per_task
 from plantwatch.sources import artifacts as A, tables as S
 from plantwatch.streaming import streams as ST
 
@@ -177,49 +177,83 @@ def stream_score(spark, sf):
     return both.select("row_id", F.coalesce(F.col("batch") == F.col("stream"), F.lit(False)).alias("same"))
 
 
-def flow_files(spark, sf, files: int = 4):
-    """Flows in time order, as several files that a stream reads one after the other."""
+def feed(df, label: str, by, late=None, close: bool = False, slices: int = 4):
+    """Rows as files that a stream reads in time order, a slice a batch; returns (path, schema, files per batch).
+
+    ``late`` rows come after all others. ``close`` ends with a row that has a time only, long after the rest, so that
+    the watermark passes every row.
+    """
+    spark = df.sparkSession
+    df = materialise(df.withColumn("_by", by), label)
+    cuts = df.approxQuantile("_by", [i / slices for i in range(1, slices)], 0.01)
+    files = 1 + df.count() // (slices * rows_per_task(spark))
+    path = fresh_path(spark, "feed")
+    bounds = list(zip([None, *cuts], [*cuts, None]))
+    parts = [df.filter((F.lit(True) if lo is None else F.col("_by") > lo) & (F.lit(True) if hi is None else F.col("_by") <= hi))
+             for lo, hi in bounds]
+    if late is not None:
+        parts.append(df.filter(late))
+    if close:
+        end = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 2 days")).alias("ts"))
+        parts.append(df.limit(0).unionByName(end, allowMissingColumns=True))
+    for part in parts:
+        part.drop("_by").repartition(files).write.mode("append").parquet(path)
+    return path, StructType(df.drop("_by").schema.fields), files
+
+
+def flow_feed(spark, sf, **options):
+    """Flows by event time; every 20th flow of the first day comes once more after the last one, far too late."""
     rows = V.flow_rows(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = fresh_path(spark, "flows")
-    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return path, StructType(spark.read.parquet(path).schema.fields)
+    first = rows.agg(F.min(F.unix_timestamp("ts"))).scalar()
+    rows = rows.withColumn("first_day", F.unix_timestamp("ts") < first + 86_400)
+    return feed(rows, "flows", F.unix_timestamp("ts"), F.col("first_day") & (F.col("event_id") % 20 == 0), **options)
+
+
+def read_feed(spark, source):
+    path, schema, files = source
+    return ST.read_stream(spark, path, schema, files_per_batch=files)
 
 
 @query("stream_debounce", V.with_views(V.FLOW, V.CONFIRM) + "select machine, event_id, n_flagged, n_seen, confirmed from conf")
 def stream_debounce(spark, sf):
-    src, schema = flow_files(spark, sf)
-    out, state = fresh_path(spark, "debounced"), fresh_path(spark, "carry")
-    ST.debounce_stream(ST.read_stream(spark, src, schema), out, state)
-    return ST.read_batches(spark, out).select("machine", "event_id", "n_flagged", "n_seen", "confirmed")
+    out = fresh_path(spark, "debounced")
+    ST.run_available(ST.debounce_stream(read_feed(spark, flow_feed(spark, sf, close=True))), out)
+    return spark.read.parquet(out).select("machine", "event_id", "n_flagged", "n_seen", "confirmed")
+
+
+def at_tick(df):
+    return df.withColumn("ts", F.timestamp_seconds(F.col("tick") * 120 + 1_704_067_200))
+
+
+def tick_feed(spark, df, label):
+    """Rows with ticks by event time; the rows of tick 0 come once more after the last tick."""
+    return feed(at_tick(df), label, F.col("tick"), F.col("tick") == 0, close=True)
 
 
 @query("stream_events", V.TIMELINE_SQL + f"select tick, machine, level, {EVENT_TEXT} as text from line where level <> prev_level")
 def stream_events(spark, sf):
-    src = A.write_table(tl.align(V.telemetry(spark, sf), V.flows(spark, sf)).select(
-        "machine", "tick", "p", "attack_p", "flagged"), "series")
-    schema = spark.read.parquet(src).schema
-    out, state = fresh_path(spark, "events"), fresh_path(spark, "carry")
-    ST.event_stream(ST.read_stream(spark, src, schema), out, state, primary=V.PRIMARY, early=V.EARLY)
-    return ST.read_batches(spark, out)
+    series = tl.align(V.telemetry(spark, sf), V.flows(spark, sf)).select("machine", "tick", "p", "attack_p", "flagged")
+    out = fresh_path(spark, "events")
+    stream = read_feed(spark, tick_feed(spark, series, "series"))
+    ST.run_available(ST.event_stream(stream, primary=V.PRIMARY, early=V.EARLY), out)
+    return spark.read.parquet(out)
 
 
-@query("stream_join", V.with_views(V.SCORED, V.TEL, V.FLOW) + """select t.machine, t.tick, t.p, f.flagged, f.event_id
-  from tel t join flow f on t.machine = f.machine and t.tick = f.tick""")
+@query("stream_join", V.with_views(V.SCORED, V.TEL, V.FLOW) + """select machine, tick, t.p, coalesce(f.flagged, false) as flagged, f.event_id
+  from tel t full join flow f using (machine, tick)""")
 def stream_join(spark, sf):
-    at = F.timestamp_seconds(F.col("tick") * 120 + 1_704_067_200)
-    a = A.write_table(V.telemetry(spark, sf).withColumn("ts", at), "telemetry")
-    b = A.write_table(V.flows(spark, sf).select("machine", "tick", "flagged", "event_id").withColumn("ts", at), "flows")
-    read = lambda p: ST.read_stream(spark, p, spark.read.parquet(p).schema)
+    a = tick_feed(spark, V.telemetry(spark, sf), "telemetry")
+    b = tick_feed(spark, V.flows(spark, sf).select("machine", "tick", "flagged", "event_id"), "flows")
     out = fresh_path(spark, "joined")
-    ST.run_available(ST.join_stream(read(a), read(b)), out)
-    return spark.read.parquet(out).select("machine", "tick", "p", "flagged", "event_id")
+    ST.run_available(ST.join_stream(read_feed(spark, a), read_feed(spark, b)), out)
+    return spark.read.parquet(out).filter(F.col("machine").isNotNull()).select(
+        "machine", "tick", "p", F.coalesce("flagged", F.lit(False)).alias("flagged"), "event_id")
 
 
 @query("stream_kpis", V.with_views(V.FLOW) + """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, machine,
   cast(sum(case when flagged then 1 else 0 end) as bigint) as flagged, count(*) as flows, max(attack_p) as peak from flow group by 1, 2""")
 def stream_kpis(spark, sf):
-    src, schema = flow_files(spark, sf)
     out = fresh_path(spark, "kpis")
-    ST.kpi_stream(ST.read_stream(spark, src, schema), out)
+    ST.kpi_stream(read_feed(spark, flow_feed(spark, sf)), out)
     return ST.latest_kpis(spark, out).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "machine", "flagged", "flows", "peak")

@@ -1,26 +1,32 @@
 """The row rules and the order rules as Structured Streaming queries.
 
-Order rules need the last rows of each machine from earlier micro-batches. Those rows
-are a small table in the shared folder, one version per batch; a batch reads the
-version before its own, so a batch that is run again gives the same result. Inside a
-batch the same chunked windows run as in the batch functions, so a busy machine is
-never one task.
+Order rules keep their rows in Spark's state store: rows wait there until the watermark
+has passed them, so they are taken in event time, and a batch that is run again starts
+from the same version of the state. The rows of one machine in one micro-batch are one
+task; ``files_per_batch`` bounds them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plantwatch import constants as K
 from plantwatch.functions import expressions as X
 from plantwatch.operators import timeline as tl
-from plantwatch.operators.ordering import ordered_index
 from plantwatch.operators.training import Detector
 from plantwatch.operators.validation import Rule, with_reasons
-from plantwatch.session import fresh_path
+from plantwatch.session import fresh_path, ship_package
+
+AT = "at_micros"
+LATE = "10 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
@@ -34,12 +40,22 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str, mode: str = "append") -> None:
-    """Process what is there and stop; the file sink commits each batch once."""
+def run_available(stream: DataFrame, out: str, mode: str = "append", checkpoint: str | None = None) -> None:
+    """Process what is there and stop; the file sink commits each batch once.
+
+    State is kept in the RocksDB store, which keyed state with timers needs and which does not
+    hold all keys in memory.
+    """
     spark = stream.sparkSession
-    (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-     .option("checkpointLocation", fresh_path(spark, "stream-log")).trigger(availableNow=True)
-     .start().awaitTermination())
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        running = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+                   .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-log"))
+                   .trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    running.awaitTermination()
 
 
 def run_batches(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], mode: str = "append",
@@ -81,66 +97,141 @@ def score_stream(stream: DataFrame, detector: Detector, score: str = "attack_pro
         "classification": X.classification(score), "risk_level": X.risk_level(score)})
 
 
-def carry_stream(stream: DataFrame, order: list[str], depth: int, process: Callable[[DataFrame], DataFrame],
-                 out: str, state: str, key: str = "machine", checkpoint: str | None = None) -> None:
-    """Run ``process`` per batch on the new rows plus the last ``depth`` rows of each key.
+class TrailingFlags(StatefulProcessor):
+    """Counts of flags over the last rows of a machine, in event time.
 
-    ``process`` sees both, marked by ``is_new``; only results of new rows are written.
-    Rows are expected in time order between batches; inside a batch they are sorted.
+    Rows wait in list state until the watermark has passed them, so rows that are out of
+    order inside the allowed lateness are put in order. A timer at the earliest waiting row
+    wakes the machine; ``tail`` keeps the last ``window`` rows, so that the row before a new one has its own count.
+    Nothing else is kept, so the state of a machine is its rows within the lateness.
     """
-    spark = stream.sparkSession
 
-    def on_batch(df: DataFrame, batch_id: int) -> None:
-        both = df.withColumn("is_new", F.lit(True))
-        if batch_id:
-            try:
-                before = spark.read.schema(df.schema).parquet(f"{state}/v={batch_id - 1}")
-                both = both.unionByName(before.withColumn("is_new", F.lit(False)))
-            except AnalysisException as e:
-                raise RuntimeError(f"state of batch {batch_id - 1} is missing in {state}") from e
-        both = both.persist()
-        _write_batch(process(both).filter("is_new").drop("is_new"), out, batch_id)
-        w = W.partitionBy(key).orderBy(F.desc("is_new"), *[F.desc(c) for c in order])
-        carry = (both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth)
-                 .drop("_rn", "is_new"))
-        carry.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
-        both.unpersist()
-
-    run_batches(stream, on_batch, checkpoint=checkpoint)
-
-
-def debounce_stream(stream: DataFrame, out: str, state: str, window: int = K.CONFIRM_WINDOW,
-                    count: int = K.CONFIRM_COUNT, checkpoint: str | None = None) -> None:
+    def __init__(self, key: str, columns: list[str], flag: str, lag: list[str], window: int, schema: StructType):
+        self.key, self.columns, self.flag, self.lag, self.window, self.schema = key, columns, flag, lag, window, schema
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.tail = handle.getListState("tail", self.schema)
+
+    def _frame(self, state) -> pd.DataFrame:
+        rows = list(state.get()) if state.exists() else []
+        return pd.DataFrame(rows, columns=self.columns, dtype=object)
+
+    def _keep(self, state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            state.put([tuple(r) for r in rows[self.columns].to_numpy(dtype=object)])
+        else:
+            state.clear()
+
+    def _wake(self, micros) -> None:
+        self.handle.registerTimer(-(-int(micros) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        first = None
+        for pdf in rows:
+            cells = pdf[self.columns].astype(object)
+            cells = cells.where(cells.notna(), None)
+            self.waiting.appendList([tuple(r) for r in cells.to_numpy(dtype=object)])
+            low = int(pdf[AT].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        waiting = self._frame(self.waiting)
+        ripe = waiting[AT].astype("int64") <= timerValues.getCurrentWatermarkInMs() * 1000
+        rest = waiting[~ripe]
+        self._keep(self.waiting, rest)
+        if len(rest):
+            self._wake(rest[AT].min())
+        new = waiting[ripe].sort_values(self.columns[:self.columns.index(self.flag)], kind="stable")
+        if not len(new):
+            return
+        tail = self._frame(self.tail)
+        both = pd.concat([tail, new], ignore_index=True)
+        counted = flag_counts(both, self.flag, self.window)
+        for c in self.lag:
+            both[f"prev_{c}"] = both[c].shift(1)
+        both["n_flagged"], both["n_seen"] = counted
+        both["prev_n_flagged"] = both["n_flagged"].shift(1)
+        self._keep(self.tail, both.tail(self.window))
+        out = both.iloc[len(tail):].drop(columns=AT)
+        out.insert(0, self.key, key[0])
+        yield out.astype({"n_flagged": "int64", "n_seen": "int64", "prev_n_flagged": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def flag_counts(rows: pd.DataFrame, flag: str, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set flags and known flags among the last ``window`` rows, for every row."""
+    known = rows[flag].notna().to_numpy()
+    hit = np.array([x is not None and bool(x) for x in rows[flag].where(rows[flag].notna(), None)], bool)
+    out = []
+    for x in (hit, known):
+        total = np.concatenate([[0], np.cumsum(x)])
+        at = np.arange(1, len(total))
+        out.append((total[at] - total[np.maximum(at - window, 0)]).astype("int64"))
+    return out[0], out[1]
+
+
+def trailing_stream(stream: DataFrame, order: list[str], flag: str, window: int, late: str, lag: list[str] = (),
+                    key: str = "machine") -> DataFrame:
+    """n_flagged and n_seen over the last ``window`` rows of each key, by event time ``ts``, then ``order``.
+
+    Columns out: key, order, flag, lag, n_flagged, n_seen and the lagged columns of the row before
+    (``prev_``; NULL at the start). A row comes out once the watermark has passed it; rows later than
+    ``late`` are dropped. Rows without a key take no part, though their time moves the watermark:
+    a source that falls silent sends such a row to release what waits.
+    """
+    columns = [AT, *order, flag, *lag]
+    marked = stream.withWatermark("ts", late).withColumn(AT, F.unix_micros("ts"))
+    # One condition on both columns stays above the watermark, which must see the rows without a key.
+    kept = marked.filter(F.when(F.col("ts").isNotNull(), F.col(key).isNotNull())).select(key, "ts", *columns)
+    state = StructType([StructField(c, kept.schema[c].dataType) for c in columns])
+    typed = {f.name: f for f in state.fields}
+    out = StructType([StructField(key, kept.schema[key].dataType), *[typed[c] for c in columns[1:]],
+                      *[StructField(f"prev_{c}", typed[c].dataType) for c in lag],
+                      *[StructField(c, LongType()) for c in ("n_flagged", "n_seen", "prev_n_flagged")]])
+    ship_package(stream.sparkSession)
+    return kept.groupBy(key).transformWithStateInPandas(
+        TrailingFlags(key, columns, flag, list(lag), window, state), out, "Append", "EventTime")
+
+
+def debounce_stream(stream: DataFrame, window: int = K.CONFIRM_WINDOW, count: int = K.CONFIRM_COUNT,
+                    late: str = LATE) -> DataFrame:
     """Trailing flag counts per machine; stream columns: machine, ts, event_id, flagged."""
-    def process(both: DataFrame) -> DataFrame:
-        seconds = F.when(F.col("is_new"), F.unix_timestamp("ts")).otherwise(F.lit(-(2 ** 40)))
-        rows = ordered_index(both, ["machine"], ["is_new", "ts", "event_id"], "tick", by=seconds)
-        return tl.trailing_flags(rows, "flagged", window, count).drop("tick")
+    rows = stream.withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    out = trailing_stream(rows, ["event_id"], "flagged", window, late)
+    return out.select("machine", "event_id", "flagged", "n_flagged", "n_seen", (F.col("n_flagged") >= count).alias("confirmed"))
 
-    carry_stream(stream, ["ts", "event_id"], window - 1, process, out, state, checkpoint=checkpoint)
 
+def event_stream(stream: DataFrame, window: int = K.CONFIRM_WINDOW, count: int = K.CONFIRM_COUNT, late: str = LATE,
+                 primary: float = K.PRIMARY_THRESHOLD, early: float = K.EARLY_WARNING_THRESHOLD) -> DataFrame:
+    """Level-change events; stream columns: machine, tick, ts, p, attack_p, flagged.
 
-def event_stream(stream: DataFrame, out: str, state: str, window: int = K.CONFIRM_WINDOW,
-                 checkpoint: str | None = None, **thresholds) -> None:
-    """Level-change events; stream columns: machine, tick, p, attack_p, flagged (dense ticks)."""
-    def process(both: DataFrame) -> DataFrame:
-        telemetry = both.select("machine", "tick", "p", "is_new")
-        flows = both.select("machine", "tick", "attack_p", "flagged")
-        line = tl.build_timeline(telemetry, flows, window=window, **thresholds)
-        return tl.level_events(line.filter("is_new")).withColumn("is_new", F.lit(True))
-
-    carry_stream(stream, ["tick"], window, process, out, state, checkpoint=checkpoint)
+    The state holds counts only; levels and texts are the batch expressions on its output.
+    """
+    rows = trailing_stream(stream, ["tick"], "flagged", window, late, ["p"])
+    level = lambda p, n: X.fuse(X.machine_status(p, primary, early), F.col(n) >= count)
+    line = rows.withColumns({
+        "status": X.machine_status("p", primary, early), "level": level("p", "n_flagged"),
+        "prev_level": F.when(F.col("prev_n_flagged").isNull(), "OK").otherwise(level("prev_p", "prev_n_flagged"))})
+    line = line.withColumn("reason", X.explain_fusion("level", "status", "p", "n_flagged", "n_seen"))
+    return tl.level_events(line)
 
 
-def join_stream(telemetry: DataFrame, flows: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Readings with the flow of the same machine, tick and event time ``ts``.
+def join_stream(telemetry: DataFrame, flows: DataFrame, late: str = LATE, how: str = "full_outer") -> DataFrame:
+    """Readings with the flow of the same machine, tick and event time ``ts``; unmatched rows of both sides are kept.
 
-    Both sides have a watermark, so state of old ticks is dropped; rows later than
-    that are dropped as well.
+    Both sides have a watermark: an unmatched row comes out when both have passed it, the
+    state of that time is dropped, and rows later than that are dropped as well.
     """
     a = telemetry.withWatermark("ts", late)
     b = flows.withWatermark("ts", late)
-    return a.join(b, ["machine", "tick", "ts"])
+    return a.join(b, ["machine", "tick", "ts"], how)
 
 
 def kpi_stream(stream: DataFrame, out: str, width: str = "1 day", late: str = "1 hour",
