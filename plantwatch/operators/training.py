@@ -9,14 +9,14 @@ from __future__ import annotations
 import json
 import random
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache, reduce
 
 from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantwatch import constants as K
 from plantwatch.operators import errors as E, metrics as M
@@ -41,6 +41,24 @@ SEARCH_SPACE = {
 }
 
 
+@dataclass
+class LinearModel:
+    """Published coefficients: log-odds = intercept + sum of weight * value; contributions are counted from ``means``."""
+
+    weights: dict[str, float]
+    intercept: float
+    means: dict[str, float]
+
+    def odds(self) -> Column:
+        return reduce(lambda a, kv: a + F.lit(float(kv[1])) * F.col(f"`{kv[0]}`").cast("double"), self.weights.items(), F.lit(float(self.intercept)))
+
+
+def linear_detector(weights: dict[str, float], intercept: float, means: dict[str, float], unused: list[str] = ()) -> Detector:
+    """A detector from given coefficients; ``unused`` columns belong to its schema but have no weight."""
+    model = LinearModel(dict(weights), intercept, {c: means.get(c, 0.0) for c in weights})
+    return Detector("linear", Preprocessor(list(weights), list(unused), scale=False), model)
+
+
 @dataclass
 class Detector:
     """A fitted model with its column preparation; scores are P(positive class)."""
@@ -57,6 +75,8 @@ class Detector:
     def score(self, df: DataFrame, name: str = "probability") -> DataFrame:
         if self.kind == "dummy":
             return df.withColumn(name, F.lit(self.constant))
+        if self.kind == "linear":
+            return df.withColumn(name, 1 / (1 + F.exp(-self.model.odds())))
         keep = df.columns
         if isinstance(self.model, TreeModel):
             return self.model.add_scores(self.prep.transform(df, "_features"), "_features", name).select(*keep, name)
@@ -66,13 +86,13 @@ class Detector:
         return out.withColumn(name, vector_to_array(source)[1]).select(*keep, name)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        trees = isinstance(self.model, TreeModel)
-        meta = {"kind": self.kind, "constant": self.constant, "prep": self.prep.to_dict(), "trees": trees, "written": uuid.uuid4().hex}
+        trees, linear = isinstance(self.model, TreeModel), isinstance(self.model, LinearModel)
+        meta = {"linear": asdict(self.model) if linear else None, "kind": self.kind, "constant": self.constant, "prep": self.prep.to_dict(), "trees": trees, "written": uuid.uuid4().hex}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/schema")
         if trees:
             self.model.save(spark, f"{path}/model")
-        elif self.model is not None:
+        elif self.model is not None and not linear:
             self.model.write().overwrite().save(f"{path}/model")
 
 
@@ -91,6 +111,8 @@ def _load(path: str, schema: str) -> Detector:
     meta = json.loads(schema)
     if meta["trees"]:
         model = load_trees(SparkSession.getActiveSession(), meta["kind"], f"{path}/model")
+    elif meta.get("linear"):
+        model = LinearModel(**meta["linear"])
     else:
         model = KINDS[meta["kind"]].load(f"{path}/model") if meta["kind"] in KINDS else None
     return Detector(meta["kind"], Preprocessor.from_dict(meta["prep"]), model, meta["constant"])

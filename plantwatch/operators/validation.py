@@ -7,13 +7,16 @@ aside without stopping the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from plantwatch import constants as K
 from plantwatch.functions.expressions import finite
+from plantwatch.session import materialise
 
 
 @dataclass
@@ -88,15 +91,40 @@ def split_valid(df: DataFrame, name: str = "reasons") -> tuple[DataFrame, DataFr
     return df.filter(F.size(name) == 0).drop(name), df.filter(F.size(name) > 0)
 
 
+def _first_of_row(rules: list[Rule], row_id: str) -> Column:
+    """The row's first violation by step, then column; NULL for a valid row."""
+    return F.array_min(F.array_compact(F.array(*[F.when(r.bad, F.struct(
+        F.lit(r.step).alias("step"), F.col(row_id).alias("row"), F.lit(r.place).alias("place"),
+        r.message.alias("message"))) for r in rules])))
+
+
 def first_violation(df: DataFrame, rules: list[Rule], row_id: str) -> str | None:
     """Message of the first violation: by step, then row, then column."""
-    cells = F.array_compact(F.array(*[F.when(r.bad, F.struct(
-        F.lit(r.step).alias("step"), F.col(row_id).alias("row"), F.lit(r.place).alias("place"),
-        r.message.alias("message"))) for r in rules]))
-    row = df.select(F.inline(cells)).agg(F.min(F.struct("step", "row", "place", "message")).alias("m")).first()
+    row = df.agg(F.min(_first_of_row(rules, row_id)).alias("m")).first()
     return row["m"]["message"] if row["m"] else None
 
 
+def strict(df: DataFrame, rules: list[Rule], row_id: str, system: str, work: Callable[[DataFrame], DataFrame],
+           label: str = "checked") -> DataFrame:
+    """The table of ``work`` over the batch, refused if the batch is empty or any row breaks a rule.
+
+    The rows are read once: a row that breaks a rule stops the job that writes the table. Only then is
+    the batch read again, to name its first violation in declared order rather than the one met first.
+    """
+    first = _first_of_row(rules, row_id)
+    stop = F.when(first.isNotNull(), F.raise_error(first["message"]).cast("boolean"))
+    try:
+        table = materialise(work(df.filter(F.coalesce(stop, F.lit(True)))), label)
+    except PySparkException as e:
+        message = first_violation(df, rules, row_id)
+        if message:
+            raise ValueError(message) from e
+        raise
+    if table.isEmpty():
+        raise ValueError(f"{system}: empty batch")
+    return table
+
+
 def require_valid(df: DataFrame, rules: list[Rule], row_id: str, system: str) -> DataFrame:
     """Refuse the batch if it is empty or any row breaks a rule."""
     if df.isEmpty():

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline_queries", "audit_queries", "profile_queries", "metric_queries", "model_queries", "stream_queries"]
+MODULES = ["timeline_queries", "audit_queries", "profile_queries", "metric_queries", "model_queries", "stream_queries", "inference_queries"]
 
 for _m in MODULES:
     import_module(f"plantwatch.plans.{_m}")

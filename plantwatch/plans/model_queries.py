@@ -117,7 +117,7 @@ def ablation(spark, sf):
 @query("leave_family_out")
 def leave_family_out(spark, sf):
     df = materialise(V.vectors(spark, sf).withColumn("gid", F.col("row_id")), "vectors")
-    return T.run_study(df, V.FEATURES, {"nine": [9], "five_six": [5, 6]}, [42], "y", "label", "gid", "row_id")
+    return T.run_study(df, V.FEATURES, {"five": [5], "six": [6], "seven": [7], "eight": [8], "nine": [9]}, [42, 43, 44], "y", "label", "gid", "row_id")
 
 
 WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": 0.00001, "l_discount": -3.0, "l_tax": 1.5}
@@ -130,7 +130,7 @@ LIN = "m as (select " + ", ".join(f"round(avg({c}), 9) as m_{c}" for c in WEIGHT
 def linear(spark, sf):
     s = spread(V.scored(spark, sf).select("row_id", "score", *WEIGHTS))
     means = s.agg(*[F.round(F.avg(c), 9).alias(c) for c in WEIGHTS]).first().asDict()
-    return s, X.linear_contributions(s, "row_id", WEIGHTS, means)
+    return s, lambda rows: X.linear_contributions(rows, "row_id", WEIGHTS, means)
 
 
 @query("linear_contributions", V.with_views(V.SCORED, LIN) + """select row_id, cast(rn - 1 as int) as rank, feature, round(shap, 8) as shap,
@@ -138,8 +138,8 @@ def linear(spark, sf):
   from (select *, max(abs(shap)) over (partition by row_id) as most,
     row_number() over (partition by row_id order by abs(shap) desc, feature) as rn from lin) where rn <= 3""")
 def linear_contributions(spark, sf):
-    _, c = linear(spark, sf)
-    top = X.top_contributions(c, 3)
+    s, explain = linear(spark, sf)
+    top = X.top_contributions(explain(s), 3)
     zipped = F.arrays_zip(F.col("contributions").alias("c"), X.scaled().alias("s"))
     return top.select("row_id", F.posexplode(zipped).alias("rank", "z")).select(
         "row_id", "rank", "z.c.feature", F.round("z.c.shap", 8).alias("shap"),
@@ -148,15 +148,16 @@ def linear_contributions(spark, sf):
 
 @query("global_importance", V.with_views(V.SCORED, LIN) + "select feature, round(avg(abs(shap)), 6) as mean_abs_shap from lin group by 1")
 def global_importance(spark, sf):
-    return rounded(X.global_importance(linear(spark, sf)[1]), ["mean_abs_shap"])
+    s, explain = linear(spark, sf)
+    return rounded(X.global_importance(explain(s)), ["mean_abs_shap"])
 
 
 @query("top_risk_explanation", V.with_views(V.SCORED, LIN) + """select row_id, score, cast(row_number() over (order by abs(shap) desc, feature) - 1 as int) as rank,
   feature, value, round(shap, 8) as shap, case when shap > 0 then 'toward' else 'away from' end as direction from lin
   where row_id = (select row_id from scored order by score desc, row_id limit 1)""")
 def top_risk_explanation(spark, sf):
-    s, c = linear(spark, sf)
-    return rounded(X.top_risk(s, c, "row_id", "score"), ["shap"], 8)
+    s, explain = linear(spark, sf)
+    return rounded(X.top_risk(s, explain, "row_id", "score"), ["shap"], 8)
 
 
 @query("tree_shap")

@@ -35,6 +35,35 @@ def test_machine_rules(spark, row, message):
     assert ok.count() == 2 and [r["row_id"] for r in bad.collect()] == [2]
 
 
+def test_strict_mode_names_the_first_violation_and_reads_once(spark):
+    rules = VA.machine_rules("row_id")
+    df = spark.createDataFrame([(i, *GOOD) for i in range(40)] + [(41, *with_value(4, 150.0)), (40, *with_value(5, float("nan")))], COLUMNS)
+    work = lambda ok: ok.select("row_id", (F.col("Torque") * 2).alias("double_torque"))
+    with pytest.raises(ValueError, match="row 40: 'Tool wear'"):
+        VA.strict(df, rules, "row_id", "AI4I", work)
+    with pytest.raises(ValueError, match="AI4I: empty batch"):
+        VA.strict(df.limit(0), rules, "row_id", "AI4I", work)
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            passed.add(len(f))
+            yield f
+    good = df.filter("row_id < 40").mapInPandas(count, df.schema)
+    assert VA.strict(good, rules, "row_id", "AI4I", work).count() == 40 and passed.value == 40
+
+
+def test_linear_detector_is_stored(spark):
+    from plantwatch.operators.training import linear_detector, load_detector
+    det = linear_detector({"a.b": 2.0, "c": -1.0}, 0.5, {"c": 3.0}, ["kind"])
+    path = fresh_path(spark, "linear")
+    det.save(spark, path)
+    back = load_detector(path)
+    df = spark.createDataFrame([(1.0, 2.0, "x")], "`a.b` double, c double, kind string")
+    assert back.expected_features == ["a.b", "c", "kind"] and back.model == det.model
+    assert back.score(df).first()["probability"] == pytest.approx(1 / (1 + 2.718281828459045 ** -0.5))
+
+
 def test_order_of_checks(spark):
     df = spark.createDataFrame([(0, *with_value(4, 150.0)), (1, *with_value(5, float("nan"))), (2, *with_value(0, "l"))], COLUMNS)
     assert "row 2: 'Type'" in VA.first_violation(df, VA.machine_rules("row_id"), "row_id")
@@ -113,27 +142,60 @@ def ordered_files(df, by, path, n=4):
         df.filter((F.col(by) > lo) & (F.col(by) <= hi)).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_debounce_over_many_batches(spark, sf):
-    rows = V.flow_rows(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("o", F.unix_timestamp("ts"))
-    path, out = fresh_path(spark, "f"), fresh_path(spark, "o")
-    ordered_files(rows, "o", path)
-    stream = ST.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
-    ST.debounce_stream(stream, out, fresh_path(spark, "s"))
-    got = ST.read_batches(spark, out, keep_batch=True)
-    assert got.select("batch").distinct().count() == 4
-    want = tl.trailing_flags(V.flows(spark, sf)).select("event_id", "n_flagged", "n_seen", "confirmed")
-    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+def write_slices(df, path, *conditions):
+    for c in conditions:
+        df.filter(c).coalesce(1).write.mode("append").parquet(path)
+
+
+END = [(None, None, "2024-03-01 00:00:00", None)]
+
+
+def test_rows_out_of_order_and_late_rows(spark):
+    """Rows inside the lateness are put in event time, later ones are dropped, and the rows of each machine come out once."""
+    rows = [(1, 1, "00:00:00", True), (1, 3, "00:04:00", False), (2, 4, "00:05:00", True),
+            (1, 2, "00:02:00", True), (1, 5, "00:30:00", True), (1, 6, "00:01:00", True), (2, 7, "00:31:00", None)]
+    df = spark.createDataFrame([(m, e, f"2024-01-01 {t}", f) for m, e, t, f in rows] + END, "machine long, event_id long, t string, flagged boolean")
+    df = df.select("machine", "event_id", F.col("t").cast("timestamp").alias("ts"), "flagged").cache()
+    path, out, log = (fresh_path(spark, x) for x in "fol")
+    # 6 comes when the watermark is beyond it (00:30 less ten minutes); 2 comes late, but in time.
+    write_slices(df, path, "event_id in (1, 3, 4)", "event_id in (2, 5)", "event_id = 7", "event_id = 6")
+    read = lambda: ST.read_stream(spark, path, df.schema, files_per_batch=1)
+    ST.run_available(ST.debounce_stream(read()), out, checkpoint=log)
+    before = {r["event_id"] for r in spark.read.parquet(out).collect()}
+    assert before == {1, 2, 3, 4}
+    # The same stream goes on from its state after a stop.
+    write_slices(df, path, "machine is null")
+    ST.run_available(ST.debounce_stream(read()), out, checkpoint=log)
+    got = {r["event_id"]: (r["n_flagged"], r["n_seen"], r["confirmed"]) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (1, 1, False), 2: (2, 2, True), 3: (2, 3, True), 5: (2, 3, True), 4: (1, 1, False), 7: (1, 2, False)}
+    assert spark.read.parquet(out).count() == 6
 
 
-def test_events_over_many_batches(spark, sf):
-    series = tl.align(V.telemetry(spark, sf), V.flows(spark, sf)).select("machine", "tick", "p", "attack_p", "flagged")
+def test_stream_without_rows_of_a_machine(spark):
+    df = spark.createDataFrame([(None, 1, "2024-01-01 00:00:00", True), (3, 2, None, True)] + END, "machine long, event_id long, t string, flagged boolean")
+    df = df.select("machine", "event_id", F.col("t").cast("timestamp").alias("ts"), "flagged")
     path, out = fresh_path(spark, "f"), fresh_path(spark, "o")
-    ordered_files(series.cache(), "tick", path, 3)
-    stream = ST.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
-    ST.event_stream(stream, out, fresh_path(spark, "s"), primary=V.PRIMARY, early=V.EARLY)
-    want = tl.level_events(tl.build_timeline(V.telemetry(spark, sf), V.flows(spark, sf), primary=V.PRIMARY, early=V.EARLY))
-    got = ST.read_batches(spark, out).select(*want.columns)
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    df.write.parquet(path)
+    ST.run_available(ST.debounce_stream(ST.read_stream(spark, path, df.schema)), out)
+    assert spark.read.parquet(out).count() == 0
+
+
+def test_outer_join_of_streams_waits_for_the_watermark(spark):
+    at = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("tick") * 120 + 1_704_067_200))
+    tel = at(spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.6), (1, 90, 0.7)], "machine long, tick long, p double"))
+    flow = at(spark.createDataFrame([(1, 1, True), (2, 2, False), (1, 90, True)], "machine long, tick long, flagged boolean"))
+    a, b, out, log = (fresh_path(spark, x) for x in "abol")
+    write_slices(tel, a, "tick < 50", "tick > 50")
+    write_slices(flow, b, "tick < 50", "tick > 50")
+    read = lambda p, df: ST.read_stream(spark, p, df.schema, files_per_batch=1)
+    run = lambda: ST.run_available(ST.join_stream(read(a, tel), read(b, flow)), out, checkpoint=log)
+    run()
+    rows = lambda: {(r["machine"], r["tick"], r["p"], r["flagged"]) for r in spark.read.parquet(out).collect()}
+    want = {(1, 0, 0.5, None), (1, 1, 0.6, True), (2, 2, None, False), (1, 90, 0.7, True)}
+    assert rows() == want
+    write_slices(tel.filter("tick = 0"), a, "true")
+    run()
+    assert rows() == want
 
 
 def test_timeline_without_flows(spark, sf):
