@@ -123,10 +123,14 @@ COLS = {"featuresCol": "_features", "rawPredictionCol": "_raw", "probabilityCol"
 
 
 def _fit(estimator, df: DataFrame, prep: Preprocessor, label: str, weight: str):
+    return _fit_all([estimator], df, prep, label, weight)[0]
+
+
+def _fit_all(estimators: list, df: DataFrame, prep: Preprocessor, label: str, weight: str) -> list:
     """Fit on the prepared vectors, which every pass over the data reads again.
 
     They are written once to the shared folder, so a lost executor re-reads them and
-    nothing upstream runs twice, and kept in memory while the fit lasts.
+    nothing upstream runs twice, and kept in memory while the fits last.
     """
     vectors = prep.transform(df, "_features").select("_features", label, weight)
     data = materialise(vectors, "training")
@@ -135,7 +139,7 @@ def _fit(estimator, df: DataFrame, prep: Preprocessor, label: str, weight: str):
         data = data.repartition(tasks)
     data = data.persist()
     try:
-        return estimator.fit(data)
+        return [e.fit(data) for e in estimators]
     finally:
         data.unpersist()
 
@@ -162,15 +166,22 @@ def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[
     A table beyond one task's rows goes to Spark ML, which balances the classes once and takes
     ``BIG_FOREST_DEPTH`` where no depth is given.
     """
+    return fit_forests(df, label, numeric, [seed], categorical, trees, depth, min_leaf, scale)[0]
+
+
+def fit_forests(df: DataFrame, label: str, numeric: list[str], seeds: list[int], categorical: list[str] = (), trees: int = 200,
+                depth: int | None = None, min_leaf: int = 2, scale: bool = False) -> list[Detector]:
+    """A forest per seed on the same rows, which are prepared and read once for all of them."""
     prep = Preprocessor(list(numeric), list(categorical), scale=scale).fit(df)
     if fits_one_task(df):
-        spec = Spec(kind="forest", n_estimators=trees, max_depth=depth, min_leaf=min_leaf, seed=seed)
-        model = fit_forest_trees(prep.transform(df.filter(F.col(label).isNotNull()), "_features"), "_features", len(prep.names), label, spec)
-        return Detector("forest", prep, model)
-    rf = RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth or BIG_FOREST_DEPTH, maxBins=64,
-                                minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-                                maxMemoryInMB=1024, **COLS)
-    return Detector("forest", prep, _fit(rf, with_class_weight(df, label, "_w"), prep, label, "_w"))
+        specs = [Spec(kind="forest", n_estimators=trees, max_depth=depth, min_leaf=min_leaf, seed=s) for s in seeds]
+        known = prep.transform(df.filter(F.col(label).isNotNull()), "_features")
+        return [Detector("forest", prep, m) for m in fit_forest_trees(known, "_features", len(prep.names), label, specs)]
+    weighted = with_class_weight(df, label, "_w")
+    forests = [RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth or BIG_FOREST_DEPTH, maxBins=64,
+                                      minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=s, maxMemoryInMB=1024, **COLS)
+               for s in seeds]
+    return [Detector("forest", prep, m) for m in _fit_all(forests, weighted, prep, label, "_w")]
 
 
 #: Spark ML keeps whole levels of trees; deeper ones do not pay on big tables.
@@ -306,24 +317,45 @@ def run_study(df: DataFrame, features: list[str], families: dict[str, list[str]]
     the family, and evaluated on all rows of the family plus the normal test rows.
     One reference model per seed, fitted on everything, gives the seen results.
     Families without rows are skipped.
+
+    The study's columns are written once. The forests of all seeds share a family's prepared
+    rows, and all scores go to one table that is evaluated in one job.
     """
-    data = df.select(row_id, gid, cls, label, split, *features)
+    data = materialise(df.select(row_id, gid, cls, label, split, *features), "study")
     dev = data.filter(F.col(split).isin("train", "validation"))
     test_normal = data.filter((F.col(split) == "test") & (F.col(label) == 0))
-    present = {r[cls] for r in data.select(cls).distinct().collect()}
-    out = []
-    for seed in seeds:
-        ref = fit_forest(dev, label, features, trees=trees, seed=seed, **forest)
-        for fam, classes in families.items():
-            if not present & set(classes):
-                continue
-            pool = E.without_family(dev, families, fam, cls)
-            rows = data.filter(F.col(cls).isin(classes)).withColumn("family", F.lit(fam))
-            model = fit_forest(pool, label, features, trees=trees, seed=seed, **forest)
-            part = lambda d, pos: E.unseen_family_eval(d.score(pos), d.score(test_normal), "probability", gid, row_id)  # noqa: E731,B023
-            unseen = part(model, rows).withColumn("seed", F.lit(seed))
-            test_rows = rows.filter(F.col(split) == "test")
-            seen = part(ref, test_rows).withColumn("seed", F.lit(seed))
-            merged = E.merge_runs(unseen, seen, ["family", "seed"])
-            out.append(merged.withColumns({"classes": F.lit("+".join(map(str, classes))), "train_rows": F.lit(pool.count())}))
-    return materialise(reduce(lambda a, b: a.unionByName(b), out), "family-runs")
+    listed = sorted({c for classes in families.values() for c in classes})
+    is_dev = F.coalesce(F.col(split).isin("train", "validation"), F.lit(False)).cast("bigint")
+    found = {r[cls]: r for r in data.filter(F.col(cls).isin(listed)).groupBy(cls).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(is_dev).alias("dev")).collect()}
+    n_dev, scored, runs = dev.count(), [], []
+
+    def add(models: list[Detector], family: str, positives: DataFrame, kind: str) -> None:
+        """Scores of the family's rows and of the normal ones under every seed's model."""
+        both = positives.select("*", F.lit(1).alias("_y")).unionByName(test_normal.select("*", F.lit(0).alias("_y")))
+        for i, m in enumerate(models):
+            both = m.score(both, f"_s{i}")
+        cells = F.array(*[F.struct(F.lit(len(runs) + i).cast("string").alias("family"), F.col(f"_s{i}").alias("score")) for i in range(len(models))])
+        scored.append(both.select(row_id, gid, "_y", F.inline(cells)))
+        runs.extend((str(len(runs) + i), family, s, kind) for i, s in enumerate(seeds))
+
+    kept = {f: c for f, c in families.items() if any(x in found for x in c)}
+    if not kept:
+        raise ValueError("no listed family has rows")
+    refs = fit_forests(dev, label, features, seeds, trees=trees, **forest)
+    for fam, classes in kept.items():
+        rows = data.filter(F.col(cls).isin(classes))
+        models = fit_forests(E.without_family(dev, families, fam, cls), label, features, seeds, trees=trees, **forest)
+        add(models, fam, rows, "unseen")
+        add(refs, fam, rows.filter(F.col(split) == "test"), "seen")
+    scores = materialise(reduce(lambda a, b: a.unionByName(b), scored), "family-scores")
+    pos, neg = (scores.filter(F.col("_y") == y).select("family", row_id, gid, "score") for y in (1, 0))
+    spark = df.sparkSession
+    names = spark.createDataFrame(runs, "family string, _name string, seed int, _kind string")
+    result = materialise(E.unseen_family_eval(pos, neg, "score", gid, row_id).join(F.broadcast(names), "family"), "family-results")
+    part = lambda kind: (result.filter(F.col("_kind") == kind).drop("family", "_kind")
+                         .withColumnRenamed("_name", "family"))
+    sizes = spark.createDataFrame(
+        [(f, "+".join(map(str, c)), n_dev - sum(found[x]["dev"] for x in set(c) if x in found)) for f, c in kept.items()],
+        "family string, classes string, train_rows bigint")
+    return materialise(E.merge_runs(part("unseen"), part("seen"), ["family", "seed"]).join(F.broadcast(sizes), "family"), "family-runs")

@@ -613,13 +613,21 @@ def cross_scores(df: DataFrame, features: str, n: int, label: str, fold: str, sp
                        else _level_scores(_fit_by_levels(blocks, specs, cuts)[1], specs), "scores")
 
 
-def fit_forest_trees(df: DataFrame, features: str, n: int, label: str, spec: Spec) -> TreeModel:
-    """A forest on a table that fits one task; groups of its trees are grown side by side."""
+def fit_forest_trees(df: DataFrame, features: str, n: int, label: str, specs: list[Spec]) -> list[TreeModel]:
+    """Forests on a table that fits one task; groups of the trees of all of them are grown side by side."""
     blocks, cuts, _ = _one_table(df, features, n, label, None)
-    tasks = max(1, min(spec.n_estimators, df.sparkSession.sparkContext.defaultParallelism))
-    first = [spec.n_estimators * k // tasks for k in range(tasks + 1)]
-    parts = [Spec(**{**spec.__dict__, "n_estimators": b - a, "first_tree": a}) for a, b in zip(first, first[1:])]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts, model, first = [], [], []
+    for m, spec in enumerate(specs):
+        groups = max(1, min(spec.n_estimators, -(-cores // len(specs))))
+        ends = [spec.n_estimators * k // groups for k in range(groups + 1)]
+        for a, b in zip(ends, ends[1:]):
+            parts.append(Spec(**{**spec.__dict__, "n_estimators": b - a, "first_tree": a}))
+            model.append(m)
+            first.append(a)
     nodes = _fit_in_tasks(blocks, parts, cuts, scores=False).toPandas()
-    nodes["tree"] += np.array(first)[nodes["model"]]
-    nodes["value"] /= spec.n_estimators
-    return TreeModel.from_frame("forest", nodes.drop(columns="model"))
+    part = nodes.pop("model").to_numpy()
+    nodes["tree"] += np.array(first)[part]
+    owner = np.array(model)[part]
+    nodes["value"] /= np.array([s.n_estimators for s in specs])[owner]
+    return [TreeModel.from_frame("forest", nodes[owner == m]) for m in range(len(specs))]
