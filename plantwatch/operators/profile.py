@@ -139,6 +139,35 @@ def _modes(long: DataFrame) -> DataFrame:
         "feature", "n_unique", F.col("t.v").alias("most_common_value"), (-F.col("t.neg")).alias("most_common_count"))
 
 
+#: Texts up to this many characters are counted as they are, longer ones by their start and a hash.
+PLAIN_TEXT = 64
+
+
+def _text_modes(values: DataFrame) -> DataFrame:
+    """``_modes`` for texts: what is shuffled per value does not grow with its length.
+
+    A long text is counted under its first characters and its md5. Only if the most common value
+    of a feature is a long one are the rows read again, to fetch it (the smallest of equally
+    frequent ones); each task then sends one text per feature.
+    """
+    start = F.substring("v", 1, PLAIN_TEXT)
+    keyed = values.withColumn("k", F.when(F.length("v") <= PLAIN_TEXT, F.col("v")).otherwise(F.concat(start, F.md5("v"))))
+    counts = keyed.groupBy("feature", "k").agg(F.count(F.lit(1)).alias("n"))
+    long, start = F.length("k") > PLAIN_TEXT, F.substring("k", 1, PLAIN_TEXT)
+    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("k").isNull().alias("null"), start.alias("start"), long.alias("long")))
+    winners = pin_small(counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"), top.alias("t")).select(
+        "feature", "n_unique", F.col("t.start").alias("most_common_value"), (-F.col("t.neg")).alias("most_common_count"),
+        F.coalesce("t.long", F.lit(False)).alias("is_long")))
+    to_fetch = winners.filter("is_long")
+    if to_fetch.isEmpty():
+        return winners.drop("is_long")
+    w = to_fetch.select("feature", F.col("most_common_value").alias("_start"), F.col("most_common_count").alias("_n"))
+    tied = counts.filter(long).join(w, "feature").filter((F.col("n") == F.col("_n")) & (start == F.col("_start")))
+    whole = keyed.join(pin_small(tied.select("feature", "k")), ["feature", "k"]).groupBy("feature").agg(F.min("v").alias("_whole"))
+    return winners.join(whole, "feature", "left").select(
+        "feature", "n_unique", F.coalesce("_whole", "most_common_value").alias("most_common_value"), "most_common_count")
+
+
 def _dtype(df: DataFrame, columns: list[str]) -> Column:
     """Type name of the column that ``feature`` names."""
     names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -181,7 +210,7 @@ def _text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     values = df.select(F.inline(cells))
     long = (values.groupBy("feature").agg(F.count(F.lit(1)).alias("_rows"), F.count("v").alias("n"))
             .withColumn("dtype", _dtype(df, columns)))
-    return long.join(_modes(values), "feature").select(
+    return long.join(_text_modes(values), "feature").select(
         "feature", "dtype", "n_unique", ratio(F.col("n_unique"), F.col("_rows")).alias("unique_ratio"),
         (F.col("_rows") - F.col("n")).alias("missing_count"),
         (ratio(F.col("_rows") - F.col("n"), F.col("_rows")) * 100).alias("missing_pct"),

@@ -332,12 +332,13 @@ def run_study(df: DataFrame, features: list[str], families: dict[str, list[str]]
 
     def add(models: list[Detector], family: str, positives: DataFrame, kind: str) -> None:
         """Scores of the family's rows and of the normal ones under every seed's model."""
+        first = len(runs)
         both = positives.select("*", F.lit(1).alias("_y")).unionByName(test_normal.select("*", F.lit(0).alias("_y")))
         for i, m in enumerate(models):
             both = m.score(both, f"_s{i}")
-        cells = F.array(*[F.struct(F.lit(len(runs) + i).cast("string").alias("family"), F.col(f"_s{i}").alias("score")) for i in range(len(models))])
+        cells = F.array(*[F.struct(F.lit(str(first + i)).alias("family"), F.col(f"_s{i}").alias("score")) for i in range(len(models))])
         scored.append(both.select(row_id, gid, "_y", F.inline(cells)))
-        runs.extend((str(len(runs) + i), family, s, kind) for i, s in enumerate(seeds))
+        runs.extend((str(first + i), family, s, kind) for i, s in enumerate(seeds))
 
     kept = {f: c for f, c in families.items() if any(x in found for x in c)}
     if not kept:

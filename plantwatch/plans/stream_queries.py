@@ -72,11 +72,12 @@ def csv_round_trip(spark, sf):
                       "p_partkey bigint, p_name string, p_size int, p_retailprice double")
 
 
-@query("aligned_tables", "select d.doc_id, lang, source, n_chars, quality, toxic from documents d join labels l on d.doc_id = l.doc_id")
+@query("aligned_tables", """select doc_id, lang, source, n_chars, quality, toxic,
+  case when d.doc_id is null then 'right' when l.doc_id is null then 'left' else 'both' end as side
+  from documents d full join labels l using (doc_id)""")
 def aligned_tables(spark, sf):
-    labels = V.table(spark, sf, "labels")
-    docs = V.table(spark, sf, "documents").drop("text").join(labels.select("doc_id"), "doc_id", "left_semi")
-    return S.align_by_key(docs, labels, "doc_id")
+    """All documents and all labels side by side; ``side`` reports the rows that lack a partner."""
+    return S.align_by_key(V.table(spark, sf, "documents").drop("text"), V.table(spark, sf, "labels"), "doc_id", unmatched="report")
 
 
 @query("positional_alignment", "select row_number() over (order by c_custkey) - 1 as row_id, c_custkey, c_acctbal, c_mktsegment from customer")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plantwatch.session import fresh_path, shared_dir
+from plantwatch.session import fresh_path, shared_dir, ship_package
 
 
 def write_table(df: DataFrame, label: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> str:
@@ -40,11 +46,38 @@ def write_report(df: DataFrame, line: Column, label: str) -> str:
     return path
 
 
-def artifact_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of every file below a folder; files are hashed in parallel."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob).load(path)
-            .select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+#: Files up to this size are read as one value; longer ones are hashed block by block.
+WHOLE_FILE = 64 << 20
+BLOCK = 8 << 20
+
+
+def artifact_manifest(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE_FILE) -> DataFrame:
+    """Path, size and SHA-256 of every file below a folder; files are hashed in parallel.
+
+    A file above ``whole`` bytes passes through its task in blocks, so its size has no limit.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", glob).load(path))
+    small = files.filter(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    big = files.filter(F.col("length") > whole).select("path", F.col("length").alias("bytes"))
+    ship_package(spark)
+    return small.unionByName(big.repartition("path").mapInPandas(_hash_files, "path string, bytes bigint, sha256 string"))
+
+
+def _hash_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in frames:
+        yield files.assign(sha256=[_sha256(p) for p in files["path"]])
+
+
+def _sha256(path: str) -> str:
+    digest = hashlib.sha256()
+    # Spark writes local paths with one slash.
+    uri = re.sub("^file:/+", "file:///", path)
+    store, name = FileSystem.from_uri(uri) if ":/" in uri else (LocalFileSystem(), uri)
+    with store.open_input_stream(name) as stream:
+        while block := stream.read(BLOCK):
+            digest.update(block)
+    return digest.hexdigest()
 
 
 def model_path(spark: SparkSession, name: str) -> str:

@@ -59,12 +59,19 @@ def dense_row_id(df: DataFrame, order: list[str], by: Column, name: str = "row_i
     return ordered_index(df, [], order, name, by=by)
 
 
-def align_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Join two tables that must have exactly one row per key on both sides."""
+def align_by_key(left: DataFrame, right: DataFrame, key: str, unmatched: str = "refuse") -> DataFrame:
+    """Join two tables that have at most one row per key on both sides.
+
+    ``refuse`` stops if a key is on one side only. ``report`` keeps such rows and adds ``side``
+    (both, left or right). Rows without a key match nothing and are kept likewise.
+    """
     for side, df in (("left", left), ("right", right)):
-        if not df.groupBy(key).count().filter(F.col("count") > 1).isEmpty():
+        if not df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > 1).isEmpty():
             raise ValueError(f"{side} table has several rows for one {key}")
     joined = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), key, "full")
+    if unmatched == "report":
+        side = F.when(F.col("_l") & F.col("_r"), "both").when(F.col("_l"), "left").otherwise("right")
+        return joined.withColumn("side", side).drop("_l", "_r")
     if not joined.filter(F.col("_l").isNull() | F.col("_r").isNull()).isEmpty():
         raise ValueError(f"the tables do not have the same {key} values")
     return joined.drop("_l", "_r")

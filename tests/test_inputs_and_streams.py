@@ -119,9 +119,46 @@ def test_alignment_is_one_to_one(spark):
 def test_manifest_hashes(spark):
     path = fresh_path(spark, "files")
     spark.range(10).write.csv(path)
-    for r in A.artifact_manifest(spark, path, "part-*").collect():
-        raw = Path(r["path"].removeprefix("file:")).read_bytes()
-        assert r["sha256"] == hashlib.sha256(raw).hexdigest() and r["bytes"] == len(raw)
+    for whole in (A.WHOLE_FILE, 2, 0):
+        rows = A.artifact_manifest(spark, path, "part-*", whole).collect()
+        assert sum(r["bytes"] for r in rows) == 20
+        for r in rows:
+            raw = Path(r["path"].removeprefix("file:")).read_bytes()
+            assert r["sha256"] == hashlib.sha256(raw).hexdigest() and r["bytes"] == len(raw)
+
+
+def test_long_files_are_hashed_in_blocks(tmp_path):
+    path = tmp_path / "long"
+    with path.open("wb") as f:
+        f.truncate(200 << 20)
+    digest = hashlib.sha256()
+    for _ in range(200):
+        digest.update(bytes(1 << 20))
+    before = peak_mb()
+    assert A._sha256(f"file:{path}") == A._sha256(str(path)) == digest.hexdigest()
+    assert peak_mb() - before < 100
+
+
+def peak_mb() -> float:
+    import resource
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def test_alignment_reports_what_has_no_partner(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k long, x string")
+    b = spark.createDataFrame([(2, "B"), (3, "C")], "k long, y string")
+    got = {(r["k"], r["x"], r["y"], r["side"]) for r in S.align_by_key(a, b, "k", unmatched="report").collect()}
+    assert got == {(1, "a", None, "left"), (2, "b", "B", "both"), (3, None, "C", "right"), (None, "c", None, "left"), (None, "d", None, "left")}
+
+
+def test_long_texts_are_profiled_by_key(spark):
+    from plantwatch.operators import profile as P
+    long = "x" * P.PLAIN_TEXT
+    rows = [(long + "b", long, None), (long + "b", long + "a", None), (long + "a", long, None), (long + "a", "y", None), (None, "y", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = {r["feature"]: (r["n_unique"], r["most_common_value"], r["most_common_count"]) for r in P.mixed_profile(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": (3, long + "a", 2), "b": (3, long, 2), "c": (1, None, 5)}
+    assert P.mixed_profile(df.limit(0), ["a"]).count() == 0
 
 
 def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
