@@ -204,6 +204,17 @@ def tree_shap_additivity(spark, sf):
     return det.score(val).join(sums, "row_id").select("row_id", (F.abs(odds - F.col("total")) < 1e-6).alias("adds_up"))
 
 
+@query("forest_shap_additivity", V.with_views(V.FEAT, "s as (select row_id, " + SPLIT.format(key="row_id") + " as split from feat)") +
+       "select row_id, true as adds_up from s where split = 'validation'")
+def forest_shap_additivity(spark, sf):
+    """Whether base value and contributions of each row add up to the probability of a full-depth forest."""
+    train, val = parts(V.vectors(spark, sf))
+    det = T.fit_forest(train, "y", V.FEATURES)
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap"])
+    sums = X.tree_contributions(det, val, "row_id").select("row_id", total.alias("total"))
+    return det.score(val).join(sums, "row_id").select("row_id", (F.abs(F.col("probability") - F.col("total")) < 1e-9).alias("adds_up"))
+
+
 @query("tree_shap_forest")
 def tree_shap_forest(spark, sf):
     train, val = parts(V.vectors(spark, sf))

@@ -66,6 +66,53 @@ def test_tree_contributions(spark, data, kind):
         assert r["base_value"] + sum(s) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("bits", [0, 1, 16])
+def test_contributions_by_codes_and_by_bounds(spark, data, monkeypatch, bits):
+    det = T.fit_boosted(data, "y", NUM, n_estimators=5, max_depth=4, gamma=0.0)
+    trees = X.flat_trees(det, spark)
+    nodes = [p.set_index("id").to_dict("index") for _, p in X.model_nodes(det, spark).groupby("tree")]
+    x = np.random.default_rng(1).normal(size=(30, 3))
+    monkeypatch.setattr(X, "CODE_BITS", bits)
+    got = X.shapley(x, trees)
+    assert np.allclose(got, [brute(nodes, [1.0] * 5, r) for r in x], atol=1e-9)
+    assert np.allclose(X.base_value(trees) + got.sum(1), trees.raw(x))
+
+
+def chain(d, rng):
+    """One tree that asks d features in turn, the first of them twice."""
+    rows, cover = [], 1024.0 * 2**d
+    for k, f in enumerate([*range(d), 0]):
+        rows.append((0, 2 * k, 2 * k + 1, 2 * k + 2, f, rng.normal() / 3, 0.0, cover))
+        rows.append((0, 2 * k + 1, -1, -1, -1, 0.0, rng.normal(), cover * 0.75 if k else 0.0))
+        cover *= 0.25 if k else 1.0
+    rows.append((0, 2 * d + 2, -1, -1, -1, 0.0, rng.normal(), cover))
+    return pd.DataFrame(rows, columns=["tree", "id", "left", "right", "feature", "cut", "value", "cover"])
+
+
+def test_contributions_of_deep_paths_and_empty_branches(monkeypatch):
+    rng = np.random.default_rng(2)
+    small = chain(5, rng)
+    trees = X.TreeModel.from_frame("boosted", small)
+    x = rng.normal(size=(40, 5))
+    nodes = [small.set_index("id").to_dict("index")]
+    assert np.allclose(X.shapley(x, trees), [brute(nodes, [1.0], r) for r in x], atol=1e-9)
+    deep = X.TreeModel.from_frame("boosted", chain(24, rng))
+    x = rng.normal(size=(600, 24))
+    got = X.shapley(x, deep)
+    assert np.allclose(X.base_value(deep) + got.sum(1), deep.raw(x))
+    monkeypatch.setattr(X, "CODE_BITS", 3)
+    assert np.allclose(got, X.shapley(x, deep))
+    assert np.allclose(got[:50], X.shapley(x[:50], deep))
+    monkeypatch.setattr(X, "MAX_MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="over the limit"):
+        X.flat_trees(T.Detector("boosted", None, deep), None)
+
+
+def test_contributions_of_no_rows(spark, data):
+    det = T.fit_forest(data, "y", NUM, trees=2, depth=2)
+    assert X.tree_contributions(det, data.limit(0), "row_id").count() == 0
+
+
 def test_reloaded_detector_scores_the_same(spark, data):
     det = T.fit_logistic(data, "y", NUM, ["k"], max_iter=20)
     path = fresh_path(spark, "detector")
