@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plantwatch import constants as K
 from plantwatch.functions.expressions import decision, nan_to_null
 from plantwatch.functions.keys import poisson_weight
 from plantwatch.operators.metrics import confusion, ranking, with_rates
 from plantwatch.operators.ordering import ordered_index
-from plantwatch.session import pin_small
+from plantwatch.session import materialise, pin_small, ship_package
 
 METRICS = ["precision", "recall", "f1"]
 CELLS_PER_TASK = 2_000
 REPLICATES_PER_TASK = 500
+MOST_CHUNKS = 1 << 16
 
 
 def _modes_long(df: DataFrame, keep: list[str], score: str, modes: dict[str, float]) -> DataFrame:
@@ -79,62 +80,94 @@ def count_bootstrap(df: DataFrame, y: str, score: str, modes: dict[str, float],
     return _intervals(with_rates(reps.filter(F.col("fn") + F.col("tp") > 0)), with_rates(counts), METRICS)
 
 
-def _draws(pdf: pd.DataFrame, seed: int, chunk: int, block: int, replicates: int):
-    """Poisson copies of the positives and negatives of each score, highest score first."""
-    pdf = pdf.sort_values("_neg")
-    rng = np.random.default_rng([seed, chunk, block])
-    shape = (len(pdf), replicates)
-    pos = rng.poisson(pdf["pos"].to_numpy()[:, None], shape).astype(float)
-    neg = rng.poisson(pdf["neg"].to_numpy()[:, None], shape).astype(float)
-    return pos, neg
+def _descend(seed: list[int], ends: np.ndarray, chunk: int, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``drawn`` rows (one number a replicate): how many fall before the chunk, and how many into it.
+
+    ``ends`` are running sums of the rows of all chunks. A range of chunks is halved, and its
+    rows are split by a binomial draw seeded by the range, until the chunk is left; so every
+    chunk finds the same split without hearing of the others.
+    """
+    before, lo, hi = np.zeros_like(drawn), 0, len(ends) - 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        whole = ends[hi] - ends[lo]
+        share = (ends[mid] - ends[lo]) / whole if whole else 0.0
+        left = np.random.default_rng([*seed, lo, hi]).binomial(drawn, share)
+        if chunk < mid:
+            drawn, hi = left, mid
+        else:
+            before, drawn, lo = before + left, drawn - left, mid
+    return before, drawn
+
+
+def _pieces(seed: list[int], counts: np.ndarray, drawn: np.ndarray, size: int):
+    """Copies (replicates x cells) of each run of ``size`` cells of one chunk that receives ``drawn`` rows."""
+    rest = int(counts.sum())
+    for start in range(0, len(counts), size):
+        part = counts[start:start + size]
+        rows = int(part.sum())
+        rng = np.random.default_rng([*seed, start])
+        # The last rows of a chunk all go to its last piece that has any.
+        here = drawn if rows == rest else rng.binomial(drawn, rows / rest)
+        yield rng.multinomial(here, part / rows) if rows else np.zeros((len(drawn), len(part)), np.int64)
+        drawn, rest = drawn - (here if rows else 0), rest - rows
+
+
+def ranking_replicates(df: DataFrame, y: str, score: str, replicates: int = K.BOOTSTRAP_RESAMPLES,
+                       seed: int = K.SEED) -> DataFrame:
+    """rep, positives, negatives, roc_auc and average_precision of resamples of exactly as many rows.
+
+    Drawing rows with replacement gives each distinct score a multinomial number of
+    positives and negatives. Scores are numbered and cut into chunks, and the multinomial
+    law is drawn along a binary tree of chunks (``_descend``), so a chunk needs only the
+    table of chunk totals (at most MOST_CHUNKS + 1 rows) to know its copies and what ranks
+    before it: one pass, and no score meets a replicate outside its task. A resample
+    without one of the classes has no metrics.
+    """
+    s = F.coalesce(nan_to_null(F.col(score).cast("double")), F.lit(float("-inf")))
+    target = F.col(y).cast("bigint")
+    cells = df.filter(F.col(y).isNotNull()).groupBy((-s).alias("_neg")).agg(
+        F.sum(target).alias("pos"), F.sum(1 - target).alias("neg"))
+    numbered = materialise(ordered_index(cells, [], ["_neg"], "_i", by=F.col("_neg")).select("_i", "pos", "neg"), "score-cells")
+    per_task = CELLS_PER_TASK
+    size = max(per_task, -(-numbered.count() // MOST_CHUNKS))
+    chunk = F.floor(F.col("_i") / size).cast("int")
+    totals = numbered.groupBy(chunk.alias("chunk")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy("chunk").toPandas()
+    ends = [np.concatenate([[0], np.cumsum(totals[c].to_numpy(np.int64))]) for c in ("pos", "neg")]
+    n_pos, n_neg = (int(e[-1]) for e in ends)
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(ends)
+
+    def parts(key, pdf):
+        at, pdf = int(key[0]), pdf.sort_values("_i")
+        counts = [pdf[c].to_numpy(np.int64) for c in ("pos", "neg")]
+        for block, first in enumerate(range(0, replicates, REPLICATES_PER_TASK)):
+            many = min(REPLICATES_PER_TASK, replicates - first)
+            positives = np.random.default_rng([seed, 2, block]).binomial(np.full(many, n_pos + n_neg), n_pos / (n_pos + n_neg))
+            drawn = [positives, n_pos + n_neg - positives]
+            found = [_descend([seed, k, block], shared.value[k], at, drawn[k]) for k in (0, 1)]
+            tp, fp = (f[0].astype(float)[:, None] for f in found)
+            out = np.zeros((4, many))
+            for pos, neg in zip(*[_pieces([seed, 3 + k, block, at], counts[k], found[k][1], per_task) for k in (0, 1)]):
+                tps, fps = tp + np.cumsum(pos, 1), fp + np.cumsum(neg, 1)
+                out += [pos.sum(1), neg.sum(1), (neg * (tps - pos / 2)).sum(1), (pos * tps / np.maximum(tps + fps, 1)).sum(1)]
+                tp, fp = tps[:, -1:], fps[:, -1:]
+            yield pd.DataFrame({"rep": np.arange(first, first + many), "p": out[0].astype(np.int64), "n": out[1].astype(np.int64),
+                                "auc": out[2], "ap": out[3]})
+
+    sums = (numbered.withColumn("chunk", chunk).groupBy("chunk")
+            .applyInPandas(lambda key, pdf: pd.concat(parts(key, pdf), ignore_index=True),
+                           "rep int, p bigint, n bigint, auc double, ap double")
+            .groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("p", "n", "auc", "ap")]))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    return sums.select("rep", F.col("p").alias("positives"), F.col("n").alias("negatives"),
+                       F.when(both, F.col("auc") / F.col("p") / F.col("n")).alias("roc_auc"),
+                       F.when(both, F.col("ap") / F.col("p")).alias("average_precision"))
 
 
 def ranking_bootstrap(df: DataFrame, y: str, score: str, replicates: int = K.BOOTSTRAP_RESAMPLES,
                       seed: int = K.SEED) -> DataFrame:
-    """Intervals of ROC-AUC and average precision by a Poisson bootstrap.
-
-    Distinct scores are numbered and cut into chunks, replicates into blocks. The
-    first pass sums each (chunk, block), a small running sum gives the offsets, and
-    the second pass repeats the same seeded draws to add up the ranking sums.
-    """
-    s = F.coalesce(nan_to_null(F.col(score).cast("double")), F.lit(float("-inf")))
-    cells = df.groupBy((-s).alias("_neg")).agg(
-        F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum((F.col(y) == 0).cast("bigint")).alias("neg"))
-    size = min(REPLICATES_PER_TASK, replicates)
-    blocks = -(-replicates // size)
-    numbered = ordered_index(cells, [], ["_neg"], "_i", by=F.col("_neg"))
-    work = (numbered.withColumn("chunk", F.floor(F.col("_i") / CELLS_PER_TASK)).drop("_i")
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-
-    def totals(key, pdf):
-        chunk, block = int(key[0]), int(key[1])
-        pos, neg = _draws(pdf, seed, chunk, block, size)
-        return pd.DataFrame({"chunk": chunk, "block": block, "rep": np.arange(size),
-                             "p": pos.sum(0), "n": neg.sum(0)})
-
-    sums = work.groupBy("chunk", "block").applyInPandas(
-        totals, "chunk bigint, block int, rep int, p double, n double")
-    before = W.partitionBy("block", "rep").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("chunk", "block", "rep",
-                          F.coalesce(F.sum("p").over(before), F.lit(0.0)).alias("p0"),
-                          F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("n0"))
-
-    def parts(key, pdf, off):
-        chunk, block = int(key[0]), int(key[1])
-        pos, neg = _draws(pdf, seed, chunk, block, size)
-        off = off.sort_values("rep")
-        ctp = np.cumsum(pos, 0) + off["p0"].to_numpy()
-        cn = ctp + np.cumsum(neg, 0) + off["n0"].to_numpy()
-        return pd.DataFrame({
-            "block": block, "rep": np.arange(size), "p": pos.sum(0), "n": neg.sum(0),
-            "auc": (neg * (ctp - pos / 2)).sum(0), "ap": (pos * ctp / np.maximum(cn, 1)).sum(0)})
-
-    reps = (work.groupBy("chunk", "block").cogroup(offsets.groupBy("chunk", "block"))
-            .applyInPandas(parts, "block int, rep int, p double, n double, auc double, ap double")
-            .filter(F.col("block") * size + F.col("rep") < replicates)
-            .groupBy("block", "rep").agg(*[F.sum(c).alias(c) for c in ("p", "n", "auc", "ap")])
-            .filter((F.col("p") > 0) & (F.col("n") > 0))
-            .select(F.lit("ranking").alias("mode"), (F.col("auc") / (F.col("p") * F.col("n"))).alias("roc_auc"),
-                    (F.col("ap") / F.col("p")).alias("average_precision")))
+    """Intervals of ROC-AUC and average precision over resamples that have both classes."""
+    reps = ranking_replicates(df, y, score, replicates, seed).filter(F.col("roc_auc").isNotNull())
     points = ranking(df, y, score).withColumn("mode", F.lit("ranking"))
-    return _intervals(reps, points, ["roc_auc", "average_precision"])
+    return _intervals(reps.withColumn("mode", F.lit("ranking")), points, ["roc_auc", "average_precision"])

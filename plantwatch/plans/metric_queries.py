@@ -14,7 +14,7 @@ from plantwatch.plans import views as V
 from plantwatch.plans.audit_queries import SPLIT
 from plantwatch.plans.profile_queries import rounded
 from plantwatch.plans.registry import query
-from plantwatch.session import spread
+from plantwatch.session import materialise, spread
 
 RATES = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "negative_recall", "predicted_positive_rate"]
 RATES_SQL = """round(cast(tp + tn as double) / (tp + tn + fp + fn), 6) as accuracy,
@@ -174,6 +174,24 @@ def bootstrap_ranking(spark, sf):
     return B.ranking_bootstrap(scored(spark, sf), "y", "score")
 
 
+@query("bootstrap_ranking_rows", V.with_views(V.SCORED, rank_sql("r", "scored")) + " union all ".join(
+    f"""select '{m}' as metric, round({m}, 6) as point, cast(5000 as bigint) as replicates, (select count(*) from scored) as least_rows,
+  (select count(*) from scored) as most_rows, true as centred from r""" for m in ("roc_auc", "average_precision")))
+def bootstrap_ranking_rows(spark, sf):
+    """Rows of every resample, and whether the resamples scatter around the metric of the table itself."""
+    reps = materialise(B.ranking_replicates(scored(spark, sf), "y", "score"), "replicates")
+    rows = F.col("positives") + F.col("negatives")
+    both = ["roc_auc", "average_precision"]
+    of = lambda name: F.array(*[F.struct(F.lit(m).alias("metric"), name(m)) for m in both])
+    spread_of = reps.agg(F.count(F.lit(1)).alias("replicates"), F.min(rows).alias("least_rows"), F.max(rows).alias("most_rows"), *[
+        f(m).alias(f"{m}_{n}") for m in both for n, f in (("mean", F.avg), ("std", F.stddev))])
+    points = M.ranking(scored(spark, sf), "y", "score").select(F.inline(of(lambda m: F.col(m).alias("point"))))
+    return points.join(spread_of.select("replicates", "least_rows", "most_rows", F.inline(F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(f"{m}_mean").alias("mean"), F.col(f"{m}_std").alias("std")) for m in both]))), "metric").select(
+        "metric", F.round("point", 6).alias("point"), "replicates", "least_rows", "most_rows",
+        (F.abs(F.col("mean") - F.col("point")) <= F.col("std")).alias("centred"))
+
+
 FOLDS = """f as (select cast(l_linenumber as bigint) as candidate, cast(('0x' || substr(md5(row_id || ':42'), 1, 8)) as bigint) % 4 as fold,
   avg(y) as test_score, avg(score) as train_score from scored group by 1, 2)"""
 

@@ -89,3 +89,38 @@ def test_ranking_bootstrap_does_not_depend_on_chunks(spark, monkeypatch):
         assert parts[m]["point"] == pytest.approx(r["point"])
         assert parts[m]["ci_low"] == pytest.approx(r["ci_low"], abs=0.02)
         assert parts[m]["ci_high"] == pytest.approx(r["ci_high"], abs=0.02)
+
+
+def test_resamples_have_exactly_as_many_rows(spark, monkeypatch):
+    rows = [(int(i % 3 == 0), float(i % 37)) for i in range(500)] + [(0, None), (1, float("nan"))]
+    df = spark.createDataFrame(rows, "y int, s double")
+    monkeypatch.setattr(B, "CELLS_PER_TASK", 4)
+    monkeypatch.setattr(B, "MOST_CHUNKS", 3)
+    monkeypatch.setattr(B, "REPLICATES_PER_TASK", 60)
+    out = B.ranking_replicates(df, "y", "s", 400).toPandas()
+    assert sorted(out["rep"]) == list(range(400)) and (out["positives"] + out["negatives"] == 502).all()
+    assert abs(out["positives"].mean() - 168) < 3 and 8 < out["positives"].std() < 13
+    again = B.ranking_replicates(df.repartition(5), "y", "s", 400).toPandas()
+    merged = out.merge(again, on="rep")
+    assert (merged["positives_x"] == merged["positives_y"]).all() and np.allclose(merged["roc_auc_x"], merged["roc_auc_y"])
+
+
+def test_chunks_share_a_resample_by_their_rows():
+    counts = np.array([5, 0, 20, 1, 14])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    drawn = np.full(4000, 40)
+    found = [B._descend([1, 2], ends, c, drawn) for c in range(5)]
+    own = np.array([f[1] for f in found])
+    assert (own.sum(0) == 40).all() and (own[1] == 0).all()
+    assert all((f[0] == own[:c].sum(0)).all() for c, f in enumerate(found))
+    assert np.allclose(own.mean(1), counts, atol=0.3) and np.allclose(own.var(1), counts * (1 - counts / 40), rtol=0.15)
+    cells = np.concatenate(list(B._pieces([3], counts, drawn, 2)), 1)
+    assert (cells.sum(1) == 40).all() and np.allclose(cells.mean(0), counts, atol=0.3) and (cells[:, 1] == 0).all()
+
+
+def test_resamples_of_one_class_or_no_rows(spark):
+    one = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    reps = B.ranking_replicates(one, "y", "s", 20).toPandas()
+    assert len(reps) == 20 and (reps["positives"] == 2).all() and reps["roc_auc"].isna().all()
+    assert all(r["ci_low"] is None for r in B.ranking_bootstrap(one, "y", "s", 20).collect())
+    assert B.ranking_replicates(one.limit(0), "y", "s", 20).count() == 0
