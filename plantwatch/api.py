@@ -12,7 +12,7 @@ from plantwatch.functions.expressions import (
 )
 from plantwatch.operators import explain as X, validation as VA
 from plantwatch.operators.errors import class_breakdown as build_breakdown, family_summary as summarise, mode_recall
-from plantwatch.operators.splits import pick_samples, select_best_group_fold
+from plantwatch.operators.splits import balanced_group_folds, balanced_groups, pick_samples, select_best_group_fold
 from plantwatch.operators.timeline import build_timeline
 from plantwatch.operators.training import Detector, load_detector, run_study
 from plantwatch.sources.artifacts import model_path
@@ -21,7 +21,7 @@ AI4I_PRIMARY_THRESHOLD = K.PRIMARY_THRESHOLD
 AI4I_EARLY_WARNING_THRESHOLD = K.EARLY_WARNING_THRESHOLD
 
 __all__ = [
-    "AI4I_EARLY_WARNING_THRESHOLD", "AI4I_PRIMARY_THRESHOLD", "build_breakdown", "build_timeline", "explain_ai4i_batch",
+    "balanced_group_folds", "balanced_groups", "AI4I_EARLY_WARNING_THRESHOLD", "AI4I_PRIMARY_THRESHOLD", "build_breakdown", "build_timeline", "explain_ai4i_batch",
     "explain_fusion", "explain_rt_iot2022_batch", "fuse", "get_expected_features", "load_models", "mode_recall",
     "pick_samples", "predict_ai4i_batch", "predict_rt_iot2022_batch", "run_study", "scored_timeline", "select_best_group_fold",
     "severity", "summarise",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plantwatch import constants as K
-from plantwatch.functions.keys import hash_hex, hash_mod, hex_cut
-from plantwatch.operators.ordering import ordered_index
-from plantwatch.session import pin_small
+from plantwatch.functions.keys import hash_hex, hash_mod, hex_cut, key_text
+from plantwatch.operators.ordering import ordered_index, spread_join
+from plantwatch.session import materialise, pin_small
 
 SHARES = (("train", 0.64), ("validation", 0.16), ("test", 0.20))
+MOST_SIGNATURES = 10_000
 
 
 def hash_split(df: DataFrame, key: str, seed: int = K.SEED, shares=SHARES, name: str = "split") -> DataFrame:
@@ -96,6 +98,93 @@ def group_split(df: DataFrame, label: str, group: str, n_splits: int = 5, seed:
     return df.withColumn(name, F.when(is_test, "test").when(is_val, "validation").otherwise("train"))
 
 
+def _deal(levels: np.ndarray, shares: np.ndarray, step: float, groups: int) -> np.ndarray:
+    """How many of ``groups`` equal groups each part receives; a group lifts a part's level by step / share.
+
+    Parts are filled like vessels: the lowest levels rise together; what is left after whole
+    numbers goes where the level stays lowest.
+    """
+    if step <= 0:
+        return np.bincount(np.arange(groups) % len(shares), minlength=len(shares)) if groups < len(shares) else _deal(
+            np.zeros(len(shares)), shares, 1.0, groups)
+    order = np.argsort(levels, kind="stable")
+    width, volume = 0.0, 0.0
+    for n, f in enumerate(order):
+        width, volume = width + shares[f], volume + shares[f] * levels[f]
+        top = (groups * step + volume) / width
+        if n + 1 == len(order) or top <= levels[order[n + 1]]:
+            break
+    out = np.floor(np.maximum(0.0, top - levels) * shares / step + 1e-9).astype(np.int64)
+    while (left := groups - int(out.sum())) != 0:
+        f = int(np.argmin(levels + (out + 1) * step / shares)) if left > 0 else int(np.argmax(out))
+        out[f] += 1 if left > 0 else -1
+    return out
+
+
+def _plan(signatures: list, rest: dict, totals: dict, shares: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """Groups of each signature per part, as running sums, and the shares of the parts in all other groups."""
+    classes = {c: i for i, c in enumerate(totals)}
+    whole = np.array([totals[c] for c in classes], float)
+    filled = np.zeros((len(shares), len(classes)))
+    bounds = []
+    for counts, groups in signatures:
+        v = np.zeros(len(classes))
+        for c, n in counts:
+            v[classes[c]] = n / whole[classes[c]]
+        many = _deal(filled @ v / shares, shares, float(v @ v), groups)
+        filled += many[:, None] * v
+        bounds.append([int(x) for x in np.cumsum(many)])
+    v = np.array([rest.get(c, 0) for c in classes], float) / np.maximum(whole, 1.0)
+    if not v.any():
+        return bounds, shares
+    units = 1_000_000
+    return bounds, _deal(filled @ v / shares, shares, float(v @ v) / units, units) / units
+
+
+def balanced_groups(df: DataFrame, label: str, group: str, row_key: str, shares=SHARES, seed: int = K.SEED,
+                    name: str = "split") -> DataFrame:
+    """Deal whole groups to named parts so that every class keeps the wanted shares, however unequal the groups are.
+
+    Groups with equal class counts (one signature) are alike: a signature is dealt at once,
+    those of the biggest groups first, each to the parts that lack its classes most. Only
+    the MOST_SIGNATURES signatures of the biggest groups come to the driver. Any other group
+    holds at most 1 / MOST_SIGNATURES of the rows; those are dealt by hash, with the shares
+    that even out what is left. Inside a signature groups go by the hash of their id, so the
+    result does not depend on the order or the place of rows. A missing group id is one group, a
+    missing label one class.
+    """
+    work = df.withColumn("_g", key_text(df, [group]))
+    counts = work.groupBy("_g", F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("_counts"), F.sum("n").alias("_rows"))
+    groups = materialise(groups.withColumn("_sig", F.md5(F.to_json(F.struct("_counts")))), "groups")
+    kinds = groups.groupBy("_sig").agg(F.count(F.lit(1)).alias("many"), F.max("_rows").alias("rows"), F.any_value("_counts").alias("counts"))
+    big = kinds.orderBy(F.desc("rows"), "_sig").limit(MOST_SIGNATURES).collect()
+    totals = {r["c"]: r["n"] for r in groups.select(F.inline("_counts")).groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    rest = dict(totals)
+    for r in big:
+        for c, n in r["counts"]:
+            rest[c] -= n * r["many"]
+    names = [s for s, _ in shares]
+    bounds, others = _plan([(r["counts"], r["many"]) for r in big], rest, dict(sorted(totals.items(), key=str)),
+                           np.array([float(x) for _, x in shares]))
+    plan = df.sparkSession.createDataFrame([(r["_sig"], b) for r, b in zip(big, bounds)], "_sig string, _bounds array<bigint>")
+    dealt = _hash_position(groups.join(F.broadcast(plan), "_sig", "left"), ["_sig"], "_g", seed, "_i")
+    by_hash = F.lit(names[-1])
+    for part, end in reversed(list(zip(names[:-1], np.cumsum(others)[:-1]))):
+        by_hash = F.when(hash_hex("_g", seed) < hex_cut(float(end)), part).otherwise(by_hash)
+    at = F.size(F.filter("_bounds", lambda b: b <= F.col("_i")))
+    part = F.when(F.col("_bounds").isNull(), by_hash).otherwise(F.element_at(F.array(*[F.lit(n) for n in names]), at + 1))
+    out = spread_join(work, dealt.select("_g", part.alias("_part")), "_g", F.col(row_key))
+    return out.select(*df.columns, F.col("_part").alias(name))
+
+
+def balanced_group_folds(df: DataFrame, label: str, group: str, row_key: str, k: int = 5, seed: int = K.SEED,
+                         name: str = "fold") -> DataFrame:
+    """Fold number of whole groups, balanced in size and class mix (see ``balanced_groups``)."""
+    out = balanced_groups(df, label, group, row_key, [(str(i), 1 / k) for i in range(k)], seed, name)
+    return out.withColumn(name, F.col(name).cast("int"))
+
+
 def split_crosstab(df: DataFrame, label: str, labels: list, split: str = "split") -> DataFrame:
     """Rows per split and class, one column per class, 0 where there are none."""
     return df.groupBy(split).pivot(label, labels).count().na.fill(0)

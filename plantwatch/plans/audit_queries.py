@@ -222,6 +222,33 @@ def leakage_gate(spark, sf):
     return D.crossing_groups(split_items(spark, sf), "gid")
 
 
+def balance(rows, part: str, shares: dict):
+    """Per part: rows of the table, groups it shares with other parts, and whether its size and classes are as wanted."""
+    total = rows.count()
+    most = rows.groupBy("gid").count().agg(F.max("count")).scalar()
+    cut = rows.groupBy("gid").agg(F.count_distinct(part).alias("u")).filter("u > 1").agg(F.count(F.lit(1))).scalar()
+    want = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col(part))
+    of_class = rows.groupBy("label").agg(F.count(F.lit(1)).alias("whole"))
+    per = rows.groupBy(part, "label").agg(F.count(F.lit(1)).alias("n")).join(of_class, "label")
+    return per.groupBy(part).agg(F.bool_and(F.abs(F.col("n") - want * F.col("whole")) <= most + 1).alias("balanced")).select(
+        part, F.lit(total).cast("bigint").alias("total_rows"), cut.alias("cut_groups"), "balanced")
+
+
+@query("balanced_group_folds", V.with_views(CLEAN) + """select cast(fold as int) as fold, (select count(*) from clean) as total_rows,
+  cast(0 as bigint) as cut_groups, true as balanced from range(5) t(fold)""")
+def balanced_group_folds(spark, sf):
+    clean = materialise(clean_items(spark, sf).select("row_id", "gid", "label"), "clean")
+    folds = materialise(S.balanced_group_folds(clean, "label", "gid", "row_id"), "folds")
+    return balance(folds, "fold", {i: 0.2 for i in range(5)})
+
+
+@query("balanced_group_split", V.with_views(CLEAN) + """select split, (select count(*) from clean) as total_rows,
+  cast(0 as bigint) as cut_groups, true as balanced from (values ('train'), ('validation'), ('test')) t(split)""")
+def balanced_group_split(spark, sf):
+    clean = materialise(clean_items(spark, sf).select("row_id", "gid", "label"), "clean")
+    return balance(materialise(S.balanced_groups(clean, "label", "gid", "row_id"), "parts"), "split", dict(S.SHARES))
+
+
 @query("sample_per_class", V.with_views("e as (select event_id, event_type, value, " + SPLIT.format(key="event_id") +
        " as split from events)") + """select event_id, event_type, value from (select *, row_number() over (
        partition by event_type order by md5(event_id || ':42'), event_id) as rn from e where split = 'validation') where rn <= 40""")

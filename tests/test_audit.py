@@ -124,3 +124,42 @@ def test_resamples_of_one_class_or_no_rows(spark):
     assert len(reps) == 20 and (reps["positives"] == 2).all() and reps["roc_auc"].isna().all()
     assert all(r["ci_low"] is None for r in B.ranking_bootstrap(one, "y", "s", 20).collect())
     assert B.ranking_replicates(one.limit(0), "y", "s", 20).count() == 0
+
+
+@pytest.mark.parametrize("signatures", [10_000, 3])
+def test_balanced_groups_with_one_huge_group(spark, monkeypatch, signatures):
+    """One group holds 30 % of the rows and one class is rare; with few signatures most groups go by hash."""
+    monkeypatch.setattr(S, "MOST_SIGNATURES", signatures)
+    rng = np.random.default_rng(4)
+    gid = ["huge"] * 1800 + [f"g{i}" for i in rng.integers(0, 1500, 4180)] + [None] * 20
+    y = np.where(rng.random(6000) < 0.05, "rare", "usual")
+    rows = pd.DataFrame({"id": range(6000), "gid": gid, "y": y})
+    df = spark.createDataFrame(rows).withColumn("_extra", F.lit(1))
+    out = S.balanced_group_folds(df, "y", "gid", "id").toPandas()
+    assert list(out.columns) == ["id", "gid", "y", "_extra", "fold"] and sorted(out["id"]) == list(range(6000))
+    assert out.fillna("none").groupby("gid")["fold"].nunique().max() == 1
+    home = out.loc[out["gid"] == "huge", "fold"].iloc[0]
+    sizes = out.groupby("fold").size() / 6000
+    slack = 0.005 if signatures > 3 else 0.03
+    assert sizes[home] <= 0.30 + slack and (abs(sizes.drop(home) - 0.175) < slack).all()
+    again = S.balanced_group_folds(df.repartition(7), "y", "gid", "id").toPandas()
+    assert (out.set_index("id")["fold"] == again.set_index("id")["fold"].reindex(out["id"])).all()
+    parts = S.balanced_groups(df, "y", "gid", "id").toPandas()
+    mix = parts.groupby(["y", "split"]).size().unstack()
+    for _, row in mix.iterrows():
+        for split, share in S.SHARES:
+            assert abs(row[split] / row.sum() - share) < (0.02 if signatures > 3 else 0.1)
+
+
+def test_deal_fills_the_lowest_parts():
+    even = np.full(4, 0.25)
+    assert list(S._deal(np.zeros(4), even, 1.0, 10)) in ([3, 3, 2, 2], [2, 3, 3, 2])
+    assert list(S._deal(np.array([40.0, 0, 0, 0]), even, 1.0, 9)) == [0, 3, 3, 3]
+    assert list(S._deal(np.zeros(2), np.array([0.9, 0.1]), 1.0, 1)) == [1, 0]
+    assert S._deal(np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.2, 0.3]), 0.0, 7).sum() == 7
+
+
+def test_balanced_groups_of_nothing_and_of_one_group(spark):
+    df = spark.createDataFrame([(1, "g", None), (2, "g", "a")], "id int, gid string, y string")
+    assert S.balanced_groups(df.limit(0), "y", "gid", "id").count() == 0
+    assert {r["split"] for r in S.balanced_groups(df, "y", "gid", "id").collect()} == {"train"}
