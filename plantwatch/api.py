@@ -21,8 +21,8 @@ AI4I_PRIMARY_THRESHOLD = K.PRIMARY_THRESHOLD
 AI4I_EARLY_WARNING_THRESHOLD = K.EARLY_WARNING_THRESHOLD
 
 __all__ = [
-    "balanced_group_folds", "balanced_groups", "AI4I_EARLY_WARNING_THRESHOLD", "AI4I_PRIMARY_THRESHOLD", "build_breakdown", "build_timeline", "explain_ai4i_batch",
-    "explain_fusion", "explain_rt_iot2022_batch", "fuse", "get_expected_features", "load_models", "mode_recall",
+    "AI4I_EARLY_WARNING_THRESHOLD", "AI4I_PRIMARY_THRESHOLD", "balanced_group_folds", "balanced_groups", "build_breakdown",
+    "build_timeline", "explain_ai4i_batch", "explain_fusion", "explain_rt_iot2022_batch", "fuse", "get_expected_features", "load_models", "mode_recall",
     "pick_samples", "predict_ai4i_batch", "predict_rt_iot2022_batch", "run_study", "scored_timeline", "select_best_group_fold",
     "severity", "summarise",
 ]
