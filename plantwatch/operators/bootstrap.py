@@ -17,6 +17,7 @@ METRICS = ["precision", "recall", "f1"]
 CELLS_PER_TASK = 2_000
 REPLICATES_PER_TASK = 500
 MOST_CHUNKS = 1 << 16
+MOST_TASKS = 4_096
 
 
 def _modes_long(df: DataFrame, keep: list[str], score: str, modes: dict[str, float]) -> DataFrame:
@@ -155,7 +156,9 @@ def ranking_replicates(df: DataFrame, y: str, score: str, replicates: int = K.BO
             yield pd.DataFrame({"rep": np.arange(first, first + many), "p": out[0].astype(np.int64), "n": out[1].astype(np.int64),
                                 "auc": out[2], "ap": out[3]})
 
-    sums = (numbered.withColumn("chunk", chunk).groupBy("chunk")
+    # The rows are few bytes and much work: a stated number of tasks is not merged by their bytes.
+    tasks = max(1, min(len(totals), MOST_TASKS))
+    sums = (numbered.withColumn("chunk", chunk).repartition(tasks, "chunk").groupBy("chunk")
             .applyInPandas(lambda key, pdf: pd.concat(parts(key, pdf), ignore_index=True),
                            "rep int, p bigint, n bigint, auc double, ap double")
             .groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("p", "n", "auc", "ap")]))
