@@ -79,9 +79,12 @@ def fold_scores(df: DataFrame, label: str, group: str, target_fraction: float =
 
 
 def select_best_group_fold(df: DataFrame, label: str, group: str, target_fraction: float = 0.20,
-                           n_splits: int = 5, salt: int | str = K.SEED) -> int:
+                           n_splits: int = 5, salt: int | str = K.SEED) -> int | None:
+    """The fold of the lowest score, the lower number among equal ones; None if there are no rows."""
     scores = fold_scores(df, label, group, target_fraction, n_splits, salt)
-    return scores.orderBy("score", "fold").first()["fold"]
+    # Sums of shares differ in their last bits: equal scores are told apart by the fold alone.
+    best = scores.orderBy(F.round("score", 12), "fold").first()
+    return best["fold"] if best else None
 
 
 def group_split(df: DataFrame, label: str, group: str, n_splits: int = 5, seed: int = K.SEED,
@@ -89,12 +92,14 @@ def group_split(df: DataFrame, label: str, group: str, n_splits: int = 5, seed:
     """64/16/20 split where a group is never divided; folds are hashes of the group id.
 
     The second choice uses another salt: the first hash modulo k would leave the
-    rest with k-1 folds only.
+    rest with k-1 folds only. Where no row is left to choose from, no row gets the part.
     """
-    test_fold = select_best_group_fold(df, label, group, 0.20, n_splits, f"{seed}t")
-    is_test = hash_mod(group, f"{seed}t", n_splits) == test_fold
-    val_fold = select_best_group_fold(df.filter(~is_test), label, group, 0.20, n_splits, f"{seed}v")
-    is_val = hash_mod(group, f"{seed}v", n_splits) == val_fold
+    def in_best(rows: DataFrame, salt: str):
+        fold = select_best_group_fold(rows, label, group, 0.20, n_splits, salt)
+        return F.lit(False) if fold is None else hash_mod(group, salt, n_splits) == fold
+
+    is_test = in_best(df, f"{seed}t")
+    is_val = in_best(df.filter(~is_test), f"{seed}v")
     return df.withColumn(name, F.when(is_test, "test").when(is_val, "validation").otherwise("train"))
 
 

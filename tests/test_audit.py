@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,3 +164,28 @@ def test_balanced_groups_of_nothing_and_of_one_group(spark):
     df = spark.createDataFrame([(1, "g", None), (2, "g", "a")], "id int, gid string, y string")
     assert S.balanced_groups(df.limit(0), "y", "gid", "id").count() == 0
     assert {r["split"] for r in S.balanced_groups(df, "y", "gid", "id").collect()} == {"train"}
+
+
+def test_splits_when_every_group_conflicts(spark, tmp_path):
+    """The cleaned table is empty: the registered queries still give what their SQL gives."""
+    from compare import difference
+    from plantwatch.plans import audit_queries as A, catalog
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
+    other = lines.withColumns({"l_orderkey": F.col("l_orderkey") + 10_000_000,
+                               "l_returnflag": F.when(F.col("l_returnflag") == "A", "N").when(F.col("l_returnflag") == "N", "R").otherwise("A")})
+    lines.unionByName(other).coalesce(1).write.parquet(str(tmp_path / "parts"))
+    part, = (tmp_path / "parts").glob("*.parquet")
+    part.rename(tmp_path / "lineitem.parquet")
+    assert A.clean_items(spark, str(tmp_path)).count() == 0
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    for name in ("best_group_fold", "group_split", "split_crosstab", "leakage_gate", "balanced_group_folds", "balanced_group_split", "conflict_gate"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert difference(got, con.execute(catalog.CHECKS[name]).df()) is None, name
+
+
+def test_group_split_of_one_group(spark):
+    """All rows are in the test fold: nothing is left for the second choice."""
+    df = spark.createDataFrame([("g", 0), ("g", 0)], "gid string, y int")
+    assert {r["split"] for r in S.group_split(df, "y", "gid").collect()} == {"test"}
