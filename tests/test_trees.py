@@ -158,3 +158,48 @@ def test_odd_features(spark):
     assert out[0] == 60 and 0 < out[1] <= out[2] < 1
     with pytest.raises(ValueError):
         T.fit_boosted(df.filter("y = 0"), "y", ["a"])
+
+
+def coarse(spark, copies=5):
+    """Few different rows, each many times."""
+    pdf = table(300)
+    pdf[["a", "b", "c"]] = pdf[["a", "b", "c"]].round(0)
+    pdf = pd.concat([pdf.assign(k=pdf["k"] + 300 * i) for i in range(copies)], ignore_index=True)
+    return pdf, VectorAssembler(inputCols=NAMES, outputCol="x").transform(spark.createDataFrame(pdf).repartition(3, "k"))
+
+
+def test_equal_rows_are_one_entry_and_fit_alike(spark):
+    pdf, df = coarse(spark)
+    blocks, cuts, _ = R._one_table(df, "x", 4, "y", None)
+    rows = R.Rows.of(blocks.toPandas())
+    codes = R._codes(pdf[NAMES].to_numpy(float), cuts)
+    assert len(rows.y) == len(np.unique(np.column_stack([codes, pdf["y"]]), axis=0)) < 250 and rows.count.sum() == len(pdf)
+    plain = R.Rows(np.ascontiguousarray(codes.T), pdf["y"].to_numpy(np.uint8), np.full(len(pdf), 255, np.uint8), R._row_keys(1, len(pdf)))
+    spec = R.Spec(n_estimators=6, max_depth=4, pos_weight=1.7)
+    bins = max(len(c) for c in cuts) + 1
+    a, b = (R.TreeModel.from_frame("boosted", R.finish("boosted", R.fit_here(r, spec, bins)[0], cuts)) for r in (rows, plain))
+    assert np.allclose(a.raw(pdf[NAMES].to_numpy(float)), b.raw(pdf[NAMES].to_numpy(float)))
+
+
+def test_samples_of_entries_are_samples_of_their_rows(spark):
+    _, df = coarse(spark, 40)
+    rows = R.Rows.of(R._one_table(df, "x", 4, "y", None)[0].toPandas())
+    n = rows.count.sum()
+    w, seen = rows.weights(R.Spec(kind="forest"), 3)
+    assert np.array_equal(w, rows.weights(R.Spec(kind="forest"), 3)[0]) and not np.array_equal(w, rows.weights(R.Spec(kind="forest"), 4)[0])
+    assert (seen <= rows.count).all() and abs(seen.sum() / n - (1 - np.exp(-1))) < 0.02
+    assert w[rows.y == 1].sum() == pytest.approx(w[rows.y == 0].sum())
+    part = rows.weights(R.Spec(subsample=0.7), 0)[0]
+    assert (part <= rows.count).all() and abs(part.sum() / n - 0.7) < 0.02
+
+
+def test_levels_over_many_tasks_take_entries_too(spark, tiny_tasks):
+    pdf, df = coarse(spark)
+    spec = R.Spec(n_estimators=3, max_depth=3, subsample=0.7)
+    blocks, cuts, small = R._one_table(df, "x", 4, "y", None)
+    assert not small
+    trees, _ = R._fit_by_levels(blocks, [spec], cuts)
+    nodes = R._fit_in_tasks(blocks, [spec], cuts, scores=False).toPandas()
+    x = pdf[NAMES].to_numpy(float)
+    b = R.TreeModel.from_frame("boosted", nodes.drop(columns="model"))
+    assert np.allclose(R.TreeModel.from_frame("boosted", R.finish("boosted", trees[0], cuts)).raw(x), b.raw(x))
