@@ -93,3 +93,9 @@ def test_correlations_of_complete_pairs(spark):
             ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
             want = None if "c" in (p, q) else np.corrcoef(x[ok, i], x[ok, j])[0, 1]
             assert got[p, q] == (None if want is None else pytest.approx(want, abs=1e-7))
+
+
+def test_small_tables_are_broadcast(spark):
+    df = spark.range(2000).selectExpr("id", "cast(id % 2 as int) as y", "cast(id as double) as x")
+    plan = preparation.with_class_weight(df, "y")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
