@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from plantwatch.session import fits_one_task, rows_per_task
+from plantwatch.session import fits_one_task, pin_small, rows_per_task
 
 MAX_SLOTS = 8_192
 
@@ -85,17 +85,29 @@ def add_offsets(df: DataFrame, keys: list[str], slot: str, sums: dict[str, Colum
     return out.withColumns({f"_off_{n}": F.coalesce(f"_off_{n}", F.lit(0)) for n in names})
 
 
+def big_keys(parts: list[DataFrame], keys: list[str], limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows in all parts together, or None when there are none.
+
+    Only the key columns are read. At most rows / limit keys can be big, so the table is small by construction.
+    """
+    counts = reduce(DataFrame.unionByName, [p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for p in parts])
+    big = pin_small(counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > limit).select(*keys))
+    return None if big.isEmpty() else big
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
-                  by: Column, slot: Column | None = None) -> DataFrame:
+                  by: Column, slot: Column | None = None, counted: list[DataFrame] | None = None) -> DataFrame:
     """0-based position of each row inside its key, dense and exact.
 
     ``by`` grows with ``order`` (its leading part): a number, a time as a number, or a text. When no key
-    can be big, this is one plain window. Otherwise rows of big keys are cut into
+    is big, this is one plain window. Otherwise rows of big keys are cut into
     slots along ``by``; ``slot`` replaces the measured cut when the caller has an
     even one, such as leading digits of a hash. Rows without a key are one group.
+    ``counted``: tables that hold at least the rows of every key, when they are cheaper to count than ``df``.
     """
     limit = rows_per_task(df.sparkSession)
-    if fits_one_task(df, limit):
+    big = big_keys(counted or [df], keys, limit) if keys else None
+    if big is None if keys else fits_one_task(df, limit):
         w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     if slot is not None:
@@ -105,9 +117,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, name: str,
         work = assign_slot(df, by, range_splits(df, by, limit))
     only = None
     if keys:
-        # At most rows / limit keys can be big, so this side is small by construction.
-        big = (df.groupBy(*keys).count().filter(F.col("count") > limit)
-               .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big")))
+        big = big.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big"))
         pairs = [(k, f"_b_{k}") for k in keys]
         same = reduce(lambda a, b: a & b, [work[x].eqNullSafe(big[y]) for x, y in pairs])
         work = (work.join(F.broadcast(big), same, "left")
@@ -139,16 +149,20 @@ def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, s
     return work.withColumns(cols).drop("_slot", *[f"_off_{o}" for o in sums])
 
 
-def tick_chunks(df: DataFrame, tick: str, overlap: int, size: int | None = None) -> DataFrame:
+def tick_chunks(df: DataFrame, tick: str, overlap: int, size: int | None = None,
+                counted: list[DataFrame] | None = None) -> DataFrame:
     """Cut the series of each machine into chunks for windows that look back ``overlap`` rows.
 
     Chunks are runs of row positions, so ticks may have gaps. The last rows of a chunk are repeated at the head of the next one and marked
     in ``_halo``; drop those rows after the window. A chunk never exceeds
-    ``size + overlap`` rows, whatever the length of the series.
+    ``size + overlap`` rows, whatever the length of the series. When no machine has more rows than that,
+    every series is one chunk and its rows are not numbered. ``counted`` as in ``ordered_index``.
     """
     size = size or rows_per_task(df.sparkSession)
     size = max(size, overlap + 1)
-    rows = ordered_index(df, ["machine"], [tick], "_at", by=F.col(tick))
+    if big_keys(counted or [df], ["machine"], size) is None:
+        return df.withColumns({"_chunk": F.lit(0).cast("bigint"), "_halo": F.lit(False)})
+    rows = ordered_index(df, ["machine"], [tick], "_at", by=F.col(tick), counted=counted)
     base = F.floor(F.col("_at") / F.lit(size))
     chunks = F.when(F.pmod(F.col("_at"), F.lit(size)) >= size - overlap, F.array(base, base + 1)
                     ).otherwise(F.array(base))

@@ -49,12 +49,13 @@ def build_timeline(telemetry: DataFrame, flows: DataFrame | None, how: str = "fu
     flows:     machine, tick, flagged, attack_p, true_class, true_attack (optional)
 
     ``prev_level`` is the level of the machine one tick earlier (OK at the start).
-    Debounce and level change share one shuffle: the overlap covers both look-backs.
+    Debounce and level change share one shuffle: the overlap covers both look-backs. Rows are counted
+    before the join, which is the work of the whole plan.
     """
     joined = align(telemetry, flows, how)
     recent = W.partitionBy("machine", "_chunk").orderBy("tick").rowsBetween(1 - window, 0)
     step = W.partitionBy("machine", "_chunk").orderBy("tick")
-    out = (tick_chunks(joined, "tick", window)
+    out = (tick_chunks(joined, "tick", window, counted=[telemetry] if flows is None else [telemetry.select("machine"), flows.select("machine")])
            .withColumn("status", X.machine_status("p", primary, early))
            .withColumn("n_flagged", F.sum(F.coalesce("flagged", F.lit(False)).cast("int")).over(recent))
            .withColumn("n_seen", (F.count("flagged") if flows is not None else F.count(F.lit(1))).over(recent))

@@ -99,3 +99,18 @@ def test_small_tables_are_broadcast(spark):
     df = spark.range(2000).selectExpr("id", "cast(id % 2 as int) as y", "cast(id as double) as x")
     plan = preparation.with_class_weight(df, "y")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_timeline_without_big_machines_is_counted_before_the_join(spark, monkeypatch):
+    """Of a table of many small machines only the keys are counted; the joined series is numbered by nobody."""
+    tel = spark.range(400).selectExpr("id % 20 as machine", "id div 20 as tick", "0.9D as p")
+    flows = tel.selectExpr("machine", "tick", "true as flagged", "0.9D as attack_p", "'c' as true_class", "true as true_attack")
+    spark.conf.set(ROWS_PER_TASK_KEY, "100")
+    try:
+        counted = []
+        real = ordering.big_keys
+        monkeypatch.setattr(ordering, "big_keys", lambda parts, keys, limit: counted.append([p.columns for p in parts]) or real(parts, keys, limit))
+        plan = tl.build_timeline(tel, flows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_KEY)
+    assert counted == [[["machine"], ["machine"]]] and " _at#" not in plan and "explode" not in plan
