@@ -12,7 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -102,7 +104,7 @@ class TrailingFlags(StatefulProcessor):
 
     Rows wait in list state until the watermark has passed them, so rows that are out of
     order inside the allowed lateness are put in order. A timer at the earliest waiting row
-    wakes the machine; ``tail`` keeps the last ``window`` rows, so that the row before a new one has its own count.
+    wakes the machine. Rows are kept some at a time, as one Arrow message each; ``tail`` keeps the last ``window`` rows, so that the row before a new one has its own count.
     Nothing else is kept, so the state of a machine is its rows within the lateness.
     """
 
@@ -111,16 +113,29 @@ class TrailingFlags(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.tail = handle.getListState("tail", self.schema)
+        # Times stay as pandas has them, without a zone.
+        self.arrow = pa.schema([pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type)
+                                for f in to_arrow_schema(self.schema)])
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.tail = handle.getListState("tail", "rows binary")
 
     def _frame(self, state) -> pd.DataFrame:
-        rows = list(state.get()) if state.exists() else []
-        return pd.DataFrame(rows, columns=self.columns, dtype=object)
+        parts = [pa.ipc.open_stream(r[0]).read_all() for r in state.get()] if state.exists() else []
+        table = pa.concat_tables(parts) if parts else self.arrow.empty_table()
+        # Object columns keep NULL apart from NaN and whole numbers whole.
+        return pd.DataFrame({c: pd.Series(table[c].to_pylist(), dtype=object) for c in self.columns}, columns=self.columns)
+
+    def _packed(self, rows: pd.DataFrame) -> list[tuple[bytes]]:
+        """Some rows as one element of a list state: an element costs a call, whatever it holds."""
+        sink = pa.BufferOutputStream()
+        arrays = [pa.array(rows[f.name], f.type, from_pandas=True) for f in self.arrow]
+        with pa.ipc.new_stream(sink, self.arrow) as out:
+            out.write_table(pa.Table.from_arrays(arrays, schema=self.arrow))
+        return [(sink.getvalue().to_pybytes(),)]
 
     def _keep(self, state, rows: pd.DataFrame) -> None:
         if len(rows):
-            state.put([tuple(r) for r in rows[self.columns].to_numpy(dtype=object)])
+            state.put(self._packed(rows))
         else:
             state.clear()
 
@@ -130,9 +145,7 @@ class TrailingFlags(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         first = None
         for pdf in rows:
-            cells = pdf[self.columns].astype(object)
-            cells = cells.where(cells.notna(), None)
-            self.waiting.appendList([tuple(r) for r in cells.to_numpy(dtype=object)])
+            self.waiting.appendList(self._packed(pdf[self.columns]))
             low = int(pdf[AT].min())
             first = low if first is None else min(first, low)
         if first is not None:

@@ -252,3 +252,34 @@ def test_events_name_the_top_driver(spark):
 def test_hash_mod_is_even(spark):
     n = spark.range(4000).groupBy(hash_mod("id", 1, 4).alias("m")).count().collect()
     assert len(n) == 4 and all(850 < r["count"] < 1150 for r in n)
+
+
+def test_waiting_rows_are_one_state_element():
+    """What a machine keeps costs a call per element, so the rows of a batch are one; NULL, NaN-free numbers and flags come back whole."""
+    import pandas as pd
+    from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+    from plantwatch.streaming.streams import AT, TrailingFlags
+
+    class Kept:
+        def __init__(self):
+            self.rows = []
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        put = lambda self, rows: setattr(self, "rows", list(rows))
+        appendList = lambda self, rows: self.rows.extend(rows)
+        clear = lambda self: self.rows.clear()
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: Kept())
+        registerTimer = staticmethod(lambda at: None)
+
+    columns = [AT, "tick", "flagged", "p"]
+    kinds = [LongType(), LongType(), BooleanType(), DoubleType()]
+    flags = TrailingFlags("machine", columns, "flagged", ["p"], 3, StructType([StructField(c, k) for c, k in zip(columns, kinds)]))
+    flags.init(Handle())
+    rows = pd.DataFrame({AT: range(1000), "tick": [2**60 + i for i in range(1000)],
+                         "flagged": [None if i % 3 == 0 else i % 2 == 0 for i in range(1000)], "p": [None if i % 5 == 0 else i / 7 for i in range(1000)]})
+    list(flags.handleInputRows((1,), iter([rows]), None))
+    assert len(flags.waiting.rows) == 1
+    back = flags._frame(flags.waiting)
+    assert [list(r) for r in back.to_numpy()] == [[i, 2**60 + i, None if i % 3 == 0 else i % 2 == 0, None if i % 5 == 0 else i / 7] for i in range(1000)]
