@@ -203,3 +203,20 @@ def test_levels_over_many_tasks_take_entries_too(spark, tiny_tasks):
     x = pdf[NAMES].to_numpy(float)
     b = R.TreeModel.from_frame("boosted", nodes.drop(columns="model"))
     assert np.allclose(R.TreeModel.from_frame("boosted", R.finish("boosted", trees[0], cuts)).raw(x), b.raw(x))
+
+
+def test_forest_nodes_weigh_only_the_bins_they_hold(monkeypatch):
+    """Every cut is the best of a direct count, and a full-depth tree does not weigh 64 bins for each of its small nodes."""
+    rng = np.random.default_rng(1)
+    n = 12_000
+    rows = R.Rows(rng.integers(0, 64, (4, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint8), np.full(n, 255, np.uint8), R._row_keys(1, n))
+    node, use, weights = rng.integers(0, 300, n), rng.integers(1, 4, n).astype(float), np.array([1.0, 2.0])
+    sums = [use * (1 - rows.y), use * rows.y, np.ones(n)]
+    got = R._present_splits(rows, R.Spec(kind="forest", min_leaf=2), np.arange(4), np.arange(n), node, np.tile(np.arange(4), (300, 1)), 64, sums, weights)
+    w = use * weights[rows.y]
+    want = R.best_splits(R._histogram(rows, np.arange(4), np.arange(n), node, 300, 64, [-w * rows.y, w, np.ones(n)]), R.Spec(kind="forest", min_leaf=2))
+    assert all(np.allclose(got[c], want[c]) for c in ("split", "col", "bin", "g", "h"))
+    weighed, dense = [], R.best_splits
+    monkeypatch.setattr(R, "best_splits", lambda hist, spec: weighed.append(hist.size) or dense(hist, spec))
+    trees, _ = R.fit_here(rows, R.Spec(kind="forest", n_estimators=1, max_depth=None), 64)
+    assert len(trees[0].feature) > 5_000 and sum(weighed) < 20 * n
