@@ -220,3 +220,16 @@ def test_forest_nodes_weigh_only_the_bins_they_hold(monkeypatch):
     monkeypatch.setattr(R, "best_splits", lambda hist, spec: weighed.append(hist.size) or dense(hist, spec))
     trees, _ = R.fit_here(rows, R.Spec(kind="forest", n_estimators=1, max_depth=None), 64)
     assert len(trees[0].feature) > 5_000 and sum(weighed) < 20 * n
+
+
+def test_a_task_of_a_search_holds_one_model_and_its_different_scores(spark, data):
+    n = 4 * spark.sparkContext.defaultParallelism + 3
+    specs = [R.Spec(n_estimators=1, max_depth=2, seed=i, fold=0) for i in range(n)]
+    cuts = R.quantile_cuts(data, "x", 4)
+    blocks = R.binned(data.withColumn("f", F.col("k") % 3), "x", 4, "y", cuts, "f")
+    got = R._fit_in_tasks(blocks, specs, cuts, scores=True).withColumn("task", F.spark_partition_id()).toPandas()
+    assert (got.groupby("task")["model"].nunique() == 1).all() and sorted(set(got["model"])) == list(range(n))
+    assert not got.duplicated(["model", "y", "outside", "score"]).any()
+    sums = got.groupby(["model", "y", "outside"])["n"].sum().unstack("model")
+    want = table().assign(outside=lambda p: p["k"] % 3 == 0).groupby(["y", "outside"]).size()
+    assert (sums.T == want).all().all()
