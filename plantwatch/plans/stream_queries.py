@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from plantwatch.operators import timeline as tl, training as T, validation as VA
@@ -184,19 +186,29 @@ def feed(df, label: str, by, late=None, close: bool = False, slices: int = 4):
     ``late`` rows come after all others. ``close`` ends with a row that has a time only, long after the rest, so that
     the watermark passes every row.
     """
-    spark = df.sparkSession
     df = materialise(df.withColumn("_by", by), label)
-    cuts = df.approxQuantile("_by", [i / slices for i in range(1, slices)], 0.01)
-    files = 1 + df.count() // (slices * rows_per_task(spark))
+    return sliced(df, df.approxQuantile("_by", shares(slices), 0.01), late, close)
+
+
+def shares(slices: int) -> list[float]:
+    return [i / slices for i in range(1, slices)]
+
+
+def sliced(df, cuts: list[float], late=None, close: bool = False, end_of=None):
+    """Rows with ``_by`` as a feed whose slices end at the cuts; ``end_of`` gives the time of a cut, and a slice then ends with rows of that time only."""
+    spark = df.sparkSession
+    files = 1 + df.count() // ((len(cuts) + 1) * rows_per_task(spark))
     path = fresh_path(spark, "feed")
-    bounds = list(zip([None, *cuts], [*cuts, None]))
-    parts = [df.filter((F.lit(True) if lo is None else F.col("_by") > lo) & (F.lit(True) if hi is None else F.col("_by") <= hi))
-             for lo, hi in bounds]
+    parts = []
+    # As many rows of a time only as files: every slice is one batch, however few rows it has.
+    only = lambda ts: df.limit(0).unionByName(ts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(files)))).drop("_n"), allowMissingColumns=True)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df.filter((F.lit(True) if lo is None else F.col("_by") > lo) & (F.lit(True) if hi is None else F.col("_by") <= hi))
+        parts.append(part if end_of is None or hi is None else part.unionByName(only(spark.range(1).select(end_of(F.lit(hi)).alias("ts")))))
     if late is not None:
         parts.append(df.filter(late))
     if close:
-        end = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 2 days")).alias("ts"))
-        parts.append(df.limit(0).unionByName(end, allowMissingColumns=True))
+        parts.append(only(df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 2 days")).alias("ts"))))
     for part in parts:
         part.drop("_by").repartition(files).write.mode("append").parquet(path)
     return path, StructType(df.drop("_by").schema.fields), files
@@ -222,8 +234,12 @@ def stream_debounce(spark, sf):
     return spark.read.parquet(out).select("machine", "event_id", "n_flagged", "n_seen", "confirmed")
 
 
+def tick_time(tick):
+    return F.timestamp_seconds(tick * 120 + 1_704_067_200)
+
+
 def at_tick(df):
-    return df.withColumn("ts", F.timestamp_seconds(F.col("tick") * 120 + 1_704_067_200))
+    return df.withColumn("ts", tick_time(F.col("tick")))
 
 
 def tick_feed(spark, df, label):
@@ -231,6 +247,22 @@ def tick_feed(spark, df, label):
     return feed(at_tick(df), label, F.col("tick"), F.col("tick") == 0, close=True)
 
 
+#: Most rows of both sides of a join in one batch, in tasks' worth: what the state holds at a time.
+BATCH_TASKS = 2
+
+
+def paired_feeds(spark, frames: dict, slices: int = 4) -> list:
+    """Feeds whose slices end at the same times, also where one of them has no row left; at least ``slices`` of them.
+
+    The watermark of a join is that of its slower side, so what one side is ahead of the other waits in the state.
+    """
+    kept = [materialise(at_tick(df).withColumn("_by", F.col("tick")), label) for label, df in frames.items()]
+    both = reduce(DataFrame.unionByName, [df.select("_by") for df in kept])
+    slices = max(slices, -(-both.count() // (BATCH_TASKS * rows_per_task(spark))))
+    cuts = both.approxQuantile("_by", shares(slices), 0.1 / slices)
+    return [sliced(df, cuts, F.col("tick") == 0, close=True, end_of=tick_time) for df in kept]
+
+
 @query("stream_events", V.TIMELINE_SQL + f"select tick, machine, level, {EVENT_TEXT} as text from line where level <> prev_level")
 def stream_events(spark, sf):
     series = tl.align(V.telemetry(spark, sf), V.flows(spark, sf)).select("machine", "tick", "p", "attack_p", "flagged")
@@ -243,10 +275,11 @@ def stream_events(spark, sf):
 @query("stream_join", V.with_views(V.SCORED, V.TEL, V.FLOW) + """select machine, tick, t.p, coalesce(f.flagged, false) as flagged, f.event_id
   from tel t full join flow f using (machine, tick)""")
 def stream_join(spark, sf):
-    a = tick_feed(spark, V.telemetry(spark, sf), "telemetry")
-    b = tick_feed(spark, V.flows(spark, sf).select("machine", "tick", "flagged", "event_id"), "flows")
+    a, b = paired_feeds(spark, {"telemetry": V.telemetry(spark, sf),
+                                "flows": V.flows(spark, sf).select("machine", "tick", "flagged", "event_id")})
     out = fresh_path(spark, "joined")
-    ST.run_available(ST.join_stream(read_feed(spark, a), read_feed(spark, b)), out)
+    ST.run_available(ST.join_stream(read_feed(spark, a), read_feed(spark, b)), out, store=ST.MEMORY,
+                     partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(out).filter(F.col("machine").isNotNull()).select(
         "machine", "tick", "p", F.coalesce("flagged", F.lit(False)).alias("flagged"), "event_id")
 

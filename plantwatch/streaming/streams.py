@@ -28,7 +28,9 @@ from plantwatch.session import fresh_path, ship_package
 AT = "at_micros"
 LATE = "10 minutes"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
+STORES = "org.apache.spark.sql.execution.streaming.state."
+ROCKS, MEMORY = f"{STORES}RocksDBStateStoreProvider", f"{STORES}HDFSBackedStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
@@ -42,21 +44,26 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str, mode: str = "append", checkpoint: str | None = None) -> None:
+def run_available(stream: DataFrame, out: str, mode: str = "append", checkpoint: str | None = None, store: str = ROCKS,
+                  partitions: int | None = None) -> None:
     """Process what is there and stop; the file sink commits each batch once.
 
     State is kept in the RocksDB store, which keyed state with timers needs and which does not
-    hold all keys in memory.
+    hold all keys in memory. ``MEMORY`` is faster by row, for a join whose state is bounded by its batches.
+    ``partitions`` of the state, all of which are loaded and committed in every batch; a checkpoint keeps its own number.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKS)
+    wanted = {STATE_STORE: store, **({PARTITIONS: str(partitions)} if partitions else {})}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         running = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
                    .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-log"))
                    .trigger(availableNow=True).start())
     finally:
-        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     running.awaitTermination()
 
 

@@ -235,6 +235,28 @@ def test_outer_join_of_streams_waits_for_the_watermark(spark):
     assert rows() == want
 
 
+def test_both_sides_of_a_stream_join_move_on_together(spark, monkeypatch):
+    """A side without rows still moves the watermark, and the batches grow in number with the rows."""
+    from plantwatch.plans import stream_queries as Q
+    from plantwatch.session import ROWS_PER_TASK_KEY
+    monkeypatch.setattr(Q, "BATCH_TASKS", 1)
+    spark.conf.set(ROWS_PER_TASK_KEY, "50")
+    try:
+        long_, short = spark.range(300).selectExpr("1L as machine", "id as tick", "0.5D as p"), spark.range(9).selectExpr("1L as machine", "id as tick", "true as flagged")
+        a, b = Q.paired_feeds(spark, {"telemetry": long_, "flows": short})
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_KEY)
+    ends = []
+    for path, _, files in (a, b):
+        rows = spark.read.parquet(path).select("ts", "machine", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).toPandas()
+        batches = rows.groupby("file").agg({"at": "min", "ts": "max"}).sort_values(["at", "ts"])["ts"].tolist()
+        assert len(rows) - rows["machine"].isna().sum() == {a[0]: 301, b[0]: 10}[path]
+        assert len(batches) >= 8 * files
+        ends.append(batches[:6 * files:files])
+    # The cuts lie on whole ticks of both sides together; each of the first slices ends there in both feeds.
+    assert ends[0] == ends[1]
+
+
 def test_timeline_without_flows(spark, sf):
     line = tl.build_timeline(V.telemetry(spark, sf), None, primary=V.PRIMARY, early=V.EARLY)
     assert "attack_p" not in line.columns and line.filter("confirmed or level in ('CRITICAL', 'NETWORK ALERT')").count() == 0
