@@ -233,3 +233,22 @@ def test_a_task_of_a_search_holds_one_model_and_its_different_scores(spark, data
     sums = got.groupby(["model", "y", "outside"])["n"].sum().unstack("model")
     want = table().assign(outside=lambda p: p["k"] % 3 == 0).groupby(["y", "outside"]).size()
     assert (sums.T == want).all().all()
+
+
+@pytest.mark.parametrize("options", [dict(), dict(depth=3, min_leaf=5)])
+def test_forests_beyond_one_task_are_the_same_forests(spark, data, monkeypatch, options):
+    """The number of rows decides how a forest is grown, not what it becomes: same depth, same splits, same scores."""
+    from plantwatch.session import ROWS_PER_TASK_KEY
+    fit = lambda: T.fit_forests(data, "y", NAMES, [42, 7], trees=4, **options)
+    small = fit()
+    spark.conf.set(ROWS_PER_TASK_KEY, "100")
+    monkeypatch.setattr(R, "SIDE_BY_SIDE", 3 * 600)
+    monkeypatch.setattr(R, "PRESENT_CELLS", 1 << 11)
+    try:
+        big = fit()
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_KEY)
+    for a, b in zip(small, big):
+        assert a.model.depth == b.model.depth and (a.model.depth > 8 or options)
+        pd.testing.assert_frame_equal(a.model.frame(), b.model.frame())
+    assert not np.array_equal(small[0].model.value, small[1].model.value)
