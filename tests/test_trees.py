@@ -252,3 +252,11 @@ def test_forests_beyond_one_task_are_the_same_forests(spark, data, monkeypatch,
         assert a.model.depth == b.model.depth and (a.model.depth > 8 or options)
         pd.testing.assert_frame_equal(a.model.frame(), b.model.frame())
     assert not np.array_equal(small[0].model.value, small[1].model.value)
+
+
+def test_files_hold_few_trees(spark, data, monkeypatch):
+    """A task reads a file of big rows at once, so it holds a few trees only."""
+    monkeypatch.setattr(R, "MAX_LOCAL_NODES", 10)
+    model = T.fit_forest(data, "y", NAMES, trees=20).model
+    sizes = [r["count"] for r in model.rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 20 and max(sizes) <= 2
