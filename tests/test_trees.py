@@ -260,3 +260,21 @@ def test_files_hold_few_trees(spark, data, monkeypatch):
     model = T.fit_forest(data, "y", NAMES, trees=20).model
     sizes = [r["count"] for r in model.rows.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 20 and max(sizes) <= 2
+
+
+def test_entries_that_differ_in_their_fold_only_are_counted_as_one(monkeypatch):
+    """The same trees and margins, from fewer entries and fewer counts."""
+    rng = np.random.default_rng(5)
+    n = 800
+    bins = np.repeat(np.stack([rng.integers(0, w, n) for w in (16, 3, 4, 2)]).astype(np.uint8), 3, axis=1)
+    y = np.repeat((bins[0, ::3] + 3 * bins[1, ::3] + rng.integers(0, 9, n) > 14).astype(np.uint8), 3)
+    rows = R.Rows(bins, y, np.tile(np.arange(3), n).astype(np.uint8), R._row_keys(1, 3 * n), rng.integers(1, 4, 3 * n))
+    spec = R.Spec(n_estimators=6, max_depth=4, fold=1, subsample=0.8, gamma=0.0)
+    seen, counted = [], R._histogram
+    monkeypatch.setattr(R, "_histogram", lambda rows, *a: seen.append((len(rows.y), rows.joint is not None)) or counted(rows, *a))
+    monkeypatch.setattr(R, "JOINT_ROWS", 10)
+    trees, margin = R.fit_here(rows, spec, 16)
+    assert max(m for m, _ in seen) <= n and all(j for _, j in seen)
+    monkeypatch.setattr(R, "_without_folds", lambda rows: (rows, np.arange(len(rows.y))))
+    plain, want = R.fit_here(rows, spec, 16)
+    assert np.allclose(margin, want) and all(np.array_equal(a.feature, b.feature) for a, b in zip(trees, plain))
