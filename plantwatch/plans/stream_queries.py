@@ -227,10 +227,15 @@ def read_feed(spark, source):
     return ST.read_stream(spark, path, schema, files_per_batch=files)
 
 
+def state_partitions(spark) -> int:
+    """Partitions of the state of an order rule: each is loaded and committed in every batch, however few rows it has."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 @query("stream_debounce", V.with_views(V.FLOW, V.CONFIRM) + "select machine, event_id, n_flagged, n_seen, confirmed from conf")
 def stream_debounce(spark, sf):
     out = fresh_path(spark, "debounced")
-    ST.run_available(ST.debounce_stream(read_feed(spark, flow_feed(spark, sf, close=True))), out)
+    ST.run_available(ST.debounce_stream(read_feed(spark, flow_feed(spark, sf, close=True))), out, partitions=state_partitions(spark))
     return spark.read.parquet(out).select("machine", "event_id", "n_flagged", "n_seen", "confirmed")
 
 
@@ -268,7 +273,7 @@ def stream_events(spark, sf):
     series = tl.align(V.telemetry(spark, sf), V.flows(spark, sf)).select("machine", "tick", "p", "attack_p", "flagged")
     out = fresh_path(spark, "events")
     stream = read_feed(spark, tick_feed(spark, series, "series"))
-    ST.run_available(ST.event_stream(stream, primary=V.PRIMARY, early=V.EARLY), out)
+    ST.run_available(ST.event_stream(stream, primary=V.PRIMARY, early=V.EARLY), out, partitions=state_partitions(spark))
     return spark.read.parquet(out)
 
 

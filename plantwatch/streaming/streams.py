@@ -2,8 +2,9 @@
 
 Order rules keep their rows in Spark's state store: rows wait there until the watermark
 has passed them, so they are taken in event time, and a batch that is run again starts
-from the same version of the state. The rows of one machine in one micro-batch are one
-task; ``files_per_batch`` bounds them.
+from the same version of the state. Machines share a state by a hash (``BUCKETS``), since every
+key with state costs calls; the rows of one bucket in one micro-batch are one task, and
+``files_per_batch`` bounds them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
@@ -27,6 +29,8 @@ from plantwatch.session import fresh_path, ship_package
 
 AT = "at_micros"
 LATE = "10 minutes"
+#: Keys of the state of an order rule, each with the rows of many machines.
+BUCKETS = 1024
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 PARTITIONS = "spark.sql.shuffle.partitions"
 STORES = "org.apache.spark.sql.execution.streaming.state."
@@ -111,12 +115,15 @@ class TrailingFlags(StatefulProcessor):
 
     Rows wait in list state until the watermark has passed them, so rows that are out of
     order inside the allowed lateness are put in order. A timer at the earliest waiting row
-    wakes the machine. Rows are kept some at a time, as one Arrow message each; ``tail`` keeps the last ``window`` rows, so that the row before a new one has its own count.
-    Nothing else is kept, so the state of a machine is its rows within the lateness.
+    wakes the state. Rows are kept some at a time, as one Arrow message each; ``tail`` keeps the last ``window`` rows of
+    each machine, so that the row before a new one has its own count. Nothing else is kept.
+
+    ``series`` names the columns that tell machines apart that share a state; without it a state is one machine, ``key``.
     """
 
-    def __init__(self, key: str, columns: list[str], flag: str, lag: list[str], window: int, schema: StructType):
+    def __init__(self, key: str, columns: list[str], flag: str, lag: list[str], window: int, schema: StructType, series: list[str] = ()):
         self.key, self.columns, self.flag, self.lag, self.window, self.schema = key, columns, flag, lag, window, schema
+        self.series = list(series)
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -126,23 +133,25 @@ class TrailingFlags(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "rows binary")
         self.tail = handle.getListState("tail", "rows binary")
 
-    def _frame(self, state) -> pd.DataFrame:
+    def _table(self, state) -> pa.Table:
         parts = [pa.ipc.open_stream(r[0]).read_all() for r in state.get()] if state.exists() else []
-        table = pa.concat_tables(parts) if parts else self.arrow.empty_table()
+        return pa.concat_tables(parts) if parts else self.arrow.empty_table()
+
+    def _frame(self, state) -> pd.DataFrame:
+        table = self._table(state)
         # Object columns keep NULL apart from NaN and whole numbers whole.
         return pd.DataFrame({c: pd.Series(table[c].to_pylist(), dtype=object) for c in self.columns}, columns=self.columns)
 
-    def _packed(self, rows: pd.DataFrame) -> list[tuple[bytes]]:
+    def _packed(self, table: pa.Table) -> list[tuple[bytes]]:
         """Some rows as one element of a list state: an element costs a call, whatever it holds."""
         sink = pa.BufferOutputStream()
-        arrays = [pa.array(rows[f.name], f.type, from_pandas=True) for f in self.arrow]
         with pa.ipc.new_stream(sink, self.arrow) as out:
-            out.write_table(pa.Table.from_arrays(arrays, schema=self.arrow))
+            out.write_table(table)
         return [(sink.getvalue().to_pybytes(),)]
 
-    def _keep(self, state, rows: pd.DataFrame) -> None:
-        if len(rows):
-            state.put(self._packed(rows))
+    def _keep(self, state, table: pa.Table) -> None:
+        if len(table):
+            state.put(self._packed(table))
         else:
             state.clear()
 
@@ -152,7 +161,8 @@ class TrailingFlags(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         first = None
         for pdf in rows:
-            self.waiting.appendList(self._packed(pdf[self.columns]))
+            arrays = [pa.array(pdf[f.name], f.type, from_pandas=True) for f in self.arrow]
+            self.waiting.appendList(self._packed(pa.Table.from_arrays(arrays, schema=self.arrow)))
             low = int(pdf[AT].min())
             first = low if first is None else min(first, low)
         if first is not None:
@@ -160,41 +170,59 @@ class TrailingFlags(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        waiting = self._frame(self.waiting)
-        ripe = waiting[AT].astype("int64") <= timerValues.getCurrentWatermarkInMs() * 1000
-        rest = waiting[~ripe]
+        waiting = self._table(self.waiting)
+        ripe = pc.less_equal(waiting[AT], timerValues.getCurrentWatermarkInMs() * 1000)
+        rest, new = waiting.filter(pc.invert(ripe)), waiting.filter(ripe)
         self._keep(self.waiting, rest)
         if len(rest):
-            self._wake(rest[AT].min())
-        new = waiting[ripe].sort_values(self.columns[:self.columns.index(self.flag)], kind="stable")
+            self._wake(pc.min(rest[AT]).as_py())
         if not len(new):
             return
-        tail = self._frame(self.tail)
-        both = pd.concat([tail, new], ignore_index=True)
-        counted = flag_counts(both, self.flag, self.window)
-        for c in self.lag:
-            both[f"prev_{c}"] = both[c].shift(1)
-        both["n_flagged"], both["n_seen"] = counted
-        both["prev_n_flagged"] = both["n_flagged"].shift(1)
-        self._keep(self.tail, both.tail(self.window))
-        out = both.iloc[len(tail):].drop(columns=AT)
-        out.insert(0, self.key, key[0])
-        yield out.astype({"n_flagged": "int64", "n_seen": "int64", "prev_n_flagged": "Int64"})
+        order = self.columns[:self.columns.index(self.flag)]
+        new = new.take(pc.sort_indices(new, sort_keys=[(c, "ascending") for c in order]))
+        tail = self._table(self.tail)
+        both = pa.concat_tables([tail, new])
+        fresh = np.arange(len(both)) >= len(tail)
+        series = self._series(both)
+        # The rows of a machine side by side, the kept ones first.
+        place = np.argsort(series, kind="stable")
+        both, fresh, series = both.take(pa.array(place)), fresh[place], series[place]
+        starts = np.flatnonzero(np.append(True, series[1:] != series[:-1]))
+        start = np.repeat(starts, np.diff(np.append(starts, len(series))))
+        flag = both[self.flag]
+        known, hit = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (pc.is_valid(flag).combine_chunks(), pc.fill_null(flag, False).combine_chunks()))
+        n_flagged, n_seen = (trailing_counts(x, start, self.window) for x in (hit, known))
+        every = np.arange(len(series))
+        none = every == start
+        before = pa.array(every - 1, mask=none)
+        added = {**{f"prev_{c}": both[c].take(before) for c in self.lag}, "n_flagged": pa.array(n_flagged), "n_seen": pa.array(n_seen),
+                 "prev_n_flagged": pa.array(n_flagged).take(before)}
+        ends = np.append(starts[1:], len(series))
+        self._keep(self.tail, both.filter(pa.array(every >= np.repeat(ends, ends - starts) - self.window)))
+        for name, column in added.items():
+            both = both.append_column(name, column)
+        out = both.filter(pa.array(fresh)).drop_columns([AT]).to_pandas(integer_object_nulls=True)
+        if not self.series:
+            out.insert(0, self.key, key[0])
+        yield out
+
+    def _series(self, table: pa.Table) -> np.ndarray:
+        """A number per machine."""
+        code = np.zeros(len(table), np.int64)
+        for c in self.series:
+            mine = table[c].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = code * (len(mine.dictionary) + 1) + mine.indices.to_numpy(zero_copy_only=False)
+        return code
 
     def close(self) -> None:
         pass
 
 
-def flag_counts(rows: pd.DataFrame, flag: str, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set flags and known flags among the last ``window`` rows, for every row."""
-    known = rows[flag].notna().to_numpy()
-    hit = np.array([x is not None and bool(x) for x in rows[flag].where(rows[flag].notna(), None)], bool)
-    out = []
-    for x in (hit, known):
-        total = np.concatenate([[0], np.cumsum(x)])
-        at = np.arange(1, len(total))
-        out.append((total[at] - total[np.maximum(at - window, 0)]).astype("int64"))
-    return out[0], out[1]
+def trailing_counts(x: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Set entries among the last ``window`` rows, for every row; ``start``: the first row of its series."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    at = np.arange(1, len(total))
+    return (total[at] - total[np.maximum(at - window, start)]).astype("int64")
 
 
 def trailing_stream(stream: DataFrame, order: list[str], flag: str, window: int, late: str, lag: list[str] = (),
@@ -209,15 +237,16 @@ def trailing_stream(stream: DataFrame, order: list[str], flag: str, window: int,
     columns = [AT, *order, flag, *lag]
     marked = stream.withWatermark("ts", late).withColumn(AT, F.unix_micros("ts"))
     # One condition on both columns stays above the watermark, which must see the rows without a key.
-    kept = marked.filter(F.when(F.col("ts").isNotNull(), F.col(key).isNotNull())).select(key, "ts", *columns)
-    state = StructType([StructField(c, kept.schema[c].dataType) for c in columns])
+    kept = marked.filter(F.when(F.col("ts").isNotNull(), F.col(key).isNotNull())).select(
+        F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket"), key, "ts", *columns)
+    state = StructType([StructField(c, kept.schema[c].dataType) for c in [*columns, key]])
     typed = {f.name: f for f in state.fields}
-    out = StructType([StructField(key, kept.schema[key].dataType), *[typed[c] for c in columns[1:]],
-                      *[StructField(f"prev_{c}", typed[c].dataType) for c in lag],
+    out = StructType([*[typed[c] for c in [*columns[1:], key]], *[StructField(f"prev_{c}", typed[c].dataType) for c in lag],
                       *[StructField(c, LongType()) for c in ("n_flagged", "n_seen", "prev_n_flagged")]])
     ship_package(stream.sparkSession)
-    return kept.groupBy(key).transformWithStateInPandas(
-        TrailingFlags(key, columns, flag, list(lag), window, state), out, "Append", "EventTime")
+    return kept.groupBy("_bucket").transformWithStateInPandas(
+        TrailingFlags("_bucket", [*columns, key], flag, list(lag), window, state, [key]), out, "Append", "EventTime").select(
+            key, *[c for c in out.names if c != key])
 
 
 def debounce_stream(stream: DataFrame, window: int = K.CONFIRM_WINDOW, count: int = K.CONFIRM_COUNT,

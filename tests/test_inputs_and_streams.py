@@ -305,3 +305,26 @@ def test_waiting_rows_are_one_state_element():
     assert len(flags.waiting.rows) == 1
     back = flags._frame(flags.waiting)
     assert [list(r) for r in back.to_numpy()] == [[i, 2**60 + i, None if i % 3 == 0 else i % 2 == 0, None if i % 5 == 0 else i / 7] for i in range(1000)]
+
+
+def test_machines_share_a_state(spark, monkeypatch):
+    """Few states hold all machines: counts and the row before stay with their machine, over batches, NULLs and rows that come late."""
+    from plantwatch.streaming import streams
+    monkeypatch.setattr(streams, "BUCKETS", 2)
+    made, keep = [], streams.TrailingFlags
+    monkeypatch.setattr(streams, "TrailingFlags", lambda *a: made.append(a[0]) or keep(*a))
+    df = spark.range(400).selectExpr(
+        "id % 9 as machine", "id as tick", "case when id % 7 < 5 then id % 3 = 0 end as flagged", "case when id % 5 > 0 then id / 7 end as p",
+        "timestamp_seconds(1704067200 + 60 * id) as ts").cache()
+    path, out = fresh_path(spark, "f"), fresh_path(spark, "o")
+    write_slices(df, path, "tick < 100", "tick between 105 and 250", "tick between 100 and 104", "tick > 250")
+    end = spark.createDataFrame([("2024-03-01 00:00:00",)], "t string").selectExpr("cast(t as timestamp) as ts")
+    df.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
+    stream = ST.read_stream(spark, path, df.schema, files_per_batch=1)
+    ST.run_available(ST.trailing_stream(stream, ["tick"], "flagged", 3, "200 minutes", ["p"]), out)
+    w = "over (partition by machine order by tick"
+    want = df.selectExpr("machine", "tick", "flagged", "p", f"lag(p) {w}) as prev_p", f"count_if(flagged) {w} rows 2 preceding) as n_flagged",
+                         f"count(flagged) {w} rows 2 preceding) as n_seen").withColumn("prev_n_flagged", F.expr(f"lag(n_flagged) {w})"))
+    got = spark.read.parquet(out).select(*want.columns)
+    assert made == ["_bucket"] and got.count() == 400
+    assert got.exceptAll(want).count() == 0
