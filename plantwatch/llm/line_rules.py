@@ -179,7 +179,8 @@ def viterbi(field: Field, features: np.ndarray) -> np.ndarray:
     back0, back1 = bytearray(), bytearray()
     a = b = None
     for i in range(0, n, LINES_AT_ONCE):
-        for x, y in (features[i:i + LINES_AT_ONCE].astype(np.float64) @ field.line).tolist():
+        # No matrix product: what it rounds may depend on the number of lines.
+        for x, y in (features[i:i + LINES_AT_ONCE, :, None] * field.line).sum(axis=1).tolist():
             if a is None:
                 a, b = x, y
                 continue
